@@ -38,3 +38,12 @@ def sentence_case(text: Column) -> Column:
     """First letter upper, the rest lower."""
     rest = F.right(text, F.greatest(F.length(text) - 1, F.lit(0)))
     return F.concat(F.upper(F.left(text, F.lit(1))), F.lower(rest))
+
+
+def fixed_point(value: Column, digits: int) -> Column:
+    """Half-up decimal with exactly ``digits`` places.
+
+    The nudge makes a double that reads 1.005 round up although it is stored slightly below.
+    """
+    scale = F.lit(float(10 ** digits))
+    return (F.floor(value * scale + F.lit(0.5000001)) / scale).cast(f"decimal(18,{digits})")

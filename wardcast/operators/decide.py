@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardcast import fixed_values as V
-from wardcast.functions.scalars import clamp01, present_items
+from wardcast.functions.scalars import clamp01, fixed_point, present_items
 
 
 def weather_risk(rainfall: Column, temp: Column, humidity: Column) -> Column:
@@ -142,7 +142,7 @@ def alert_digest(df: DataFrame, as_of: Column) -> DataFrame:
     return df.select(
         F.format_string("Operational plan - %s", F.coalesce(F.col("plan.hospitalId"), none)).alias("title"),
         F.upper(F.coalesce(F.col("plan.monitorReport.alertLevel"), F.lit("unknown"))).alias("alert_level"),
-        F.coalesce(F.format_number("plan.predictedInflow", "0.00"), none).alias("inflow"),
+        F.coalesce(fixed_point(F.col("plan.predictedInflow"), 2).cast("string"), none).alias("inflow"),
         F.coalesce(F.col("plan.hospitalId"), none).alias("hospital"),
         F.date_format(as_of, "yyyy-MM-dd HH:mm:ss").alias("time"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardcast.fixed_values import ALERT_LEVELS, NOISE_TOKEN, URGENCIES
+from wardcast.functions.scalars import fixed_point
 
 MONITOR_SCHEMA = "alertLevel string, riskFactors array<string>, recommendedUrgency string"
 
@@ -46,11 +47,6 @@ def render_template(template: str, fields: dict[str, Column]) -> Column:
     return F.concat(*parts)
 
 
-def fixed_point(value: Column, digits: int) -> Column:
-    """Rounded number with exactly ``digits`` decimals."""
-    return F.round(value, digits).cast(f"decimal(18,{digits})")
-
-
 def render_prompts(df: DataFrame, inflow: str = "median", templates: dict[str, str] | None = None) -> DataFrame:
     """Add ``<name>_prompt`` per template to a monitored forecast."""
     templates = TEMPLATES if templates is None else templates
