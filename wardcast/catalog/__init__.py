@@ -6,7 +6,7 @@ from importlib import import_module
 
 from wardcast.catalog.registry import QUERIES, SQL
 
-SECTIONS = ["files", "cleaning"]
+SECTIONS = ["files", "cleaning", "features", "series"]
 
 
 def _load() -> None:
