@@ -8,7 +8,7 @@ from wardcast.catalog.registry import query
 from wardcast.operators import bands as B
 from wardcast.operators import metrics as M
 from wardcast.operators.ordering import expanding_folds
-from wardcast.plans.tables import FORECAST_SQL, raw_forecast
+from wardcast.plans.tables import FORECAST_SQL, raw_forecast, stored_forecast
 
 KEY = "hospital_id::BIGINT AS hospital_id, CAST(date AS VARCHAR) AS date"
 
@@ -64,28 +64,28 @@ def _six_sql(*columns):
 for _name, _column in (("scale_spike_1", "spike"), ("scale_spike_2", "extreme")):
     @query(_name, f"WITH {FORECAST_SQL}{scaled_sql()} SELECT {_six_sql(_column, _column + '_scaled')} FROM scaled")
     def scale(spark, folder, column=_column):
-        return _six(B.scale_corrections(raw_forecast(spark, folder), [column]), column, f"{column}_scaled")
+        return _six(B.scale_corrections(stored_forecast(spark, folder), [column]), column, f"{column}_scaled")
 
 
 @query("scale_spike_by_batch", f"WITH {FORECAST_SQL}{scaled_sql(batch='date')} SELECT {_six_sql('spike_scaled', 'extreme_scaled')} FROM scaled")
 def scale_by_day(spark, folder):
     """Every day is one request: most days have fewer rows than the small-batch limit."""
-    return _six(B.scale_corrections(raw_forecast(spark, folder), batch=["date"]), "spike_scaled", "extreme_scaled")
+    return _six(B.scale_corrections(stored_forecast(spark, folder), batch=["date"]), "spike_scaled", "extreme_scaled")
 
 
 @query("apply_adjustment", f"WITH {FORECAST_SQL}{scaled_sql()}{widened_sql()} SELECT {_six_sql('adjustment', 'q10', 'q50', 'q90')} FROM moved")
 def adjust(spark, folder):
-    return _six(B.apply_adjustment(B.scale_corrections(raw_forecast(spark, folder))), "adjustment", "q10", "q50", "q90")
+    return _six(B.apply_adjustment(B.scale_corrections(stored_forecast(spark, folder))), "adjustment", "q10", "q50", "q90")
 
 
 @query("widen_extreme_band", f"WITH {FORECAST_SQL}{scaled_sql()}{widened_sql()} SELECT {_six_sql('q10', 'q50', 'q90')} FROM widened")
 def widen(spark, folder):
-    return _six(B.corrected(raw_forecast(spark, folder)), "q10", "q50", "q90")
+    return _six(B.corrected(stored_forecast(spark, folder)), "q10", "q50", "q90")
 
 
 @query("widen_extreme_by_batch", f"WITH {FORECAST_SQL}{scaled_sql(batch='date')}{widened_sql()} SELECT {_six_sql('q10', 'q50', 'q90')} FROM widened")
 def widen_by_day(spark, folder):
-    return _six(B.corrected(raw_forecast(spark, folder), ["date"]), "q10", "q50", "q90")
+    return _six(B.corrected(stored_forecast(spark, folder), ["date"]), "q10", "q50", "q90")
 
 
 @query("widen_fixed", f"WITH {FORECAST_SQL} SELECT {KEY}, q10 - 0.5 AS q10, q90 + 0.5 AS q90 FROM pred")
@@ -101,7 +101,7 @@ def blended(spark, folder):
 
 @query("order_bands_ensemble", f"WITH {FORECAST_SQL}{scaled_sql()}{widened_sql()}{ENSEMBLE} SELECT {_six_sql('lower', 'median', 'upper')} FROM banded")
 def ordered(spark, folder):
-    return _six(B.order_bands_ensemble(B.blend_median(B.corrected(raw_forecast(spark, folder)))), "lower", "median", "upper")
+    return _six(B.order_bands_ensemble(B.blend_median(B.corrected(stored_forecast(spark, folder)))), "lower", "median", "upper")
 
 
 @query("order_bands_single", f"WITH {FORECAST_SQL} SELECT {KEY}, least(q10, second - 1e-6) AS lower, greatest(q90, second + 1e-6) AS upper FROM pred")
@@ -124,7 +124,7 @@ def ordered_train(spark, folder):
 
 @query("no_second_model_path", f"WITH {FORECAST_SQL}{scaled_sql()}{widened_sql()} SELECT {KEY}, round(q10, 6) AS lower, round(q50, 6) AS median, round(q90, 6) AS upper FROM widened")
 def single(spark, folder):
-    return _six(B.score_mode(raw_forecast(spark, folder).drop("second"), "ensemble"), "lower", "median", "upper")
+    return _six(B.score_mode(stored_forecast(spark, folder).drop("second"), "ensemble"), "lower", "median", "upper")
 
 
 _MODES = f"""WITH {FORECAST_SQL}{scaled_sql()}{widened_sql(0.5)}"""
@@ -135,7 +135,8 @@ SELECT 'xgb' AS mode, {KEY}, round(least(q10, q50 - 1e-6), 6) AS lower, round(q5
 UNION ALL SELECT 'tft', {KEY}, round(least(q10, q50 - 1e-6), 6), round({blend()}, 6), round(greatest(q90, q50 + 1e-6), 6) FROM widened
 UNION ALL SELECT * FROM (WITH {FORECAST_SQL}{scaled_sql()}{widened_sql()}{ENSEMBLE} SELECT 'ensemble', {KEY}, round(lower, 6), round(median, 6), round(upper, 6) FROM banded)""")
 def modes(spark, folder):
-    parts = [_six(B.score_mode(raw_forecast(spark, folder), m), "lower", "median", "upper").withColumn("mode", F.lit(m)) for m in ("xgb", "tft", "ensemble")]
+    stored = stored_forecast(spark, folder)
+    parts = [_six(B.score_mode(stored, m), "lower", "median", "upper").withColumn("mode", F.lit(m)) for m in ("xgb", "tft", "ensemble")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -192,7 +193,7 @@ def pinball(spark, folder):
 SELECT count(*) AS n_spikes, round(avg(abs(y - second)), 6) AS spike_mae, round(sqrt(avg((y - second) * (y - second))), 6) AS spike_rmse,
   round(avg(CASE WHEN second < y THEN 1.0 ELSE 0.0 END) * 100, 6) AS underprediction_pct, round(max(p75), 6) AS threshold FROM pred, t WHERE y > p75""")
 def spike_quality(spark, folder):
-    done = M.spike_metrics(raw_forecast(spark, folder), Y, P)
+    done = M.spike_metrics(stored_forecast(spark, folder), Y, P)
     return done.select("n_spikes", *[F.round(c, 6).alias(c) for c in ("spike_mae", "spike_rmse", "underprediction_pct", "threshold")])
 
 
@@ -205,6 +206,6 @@ folds AS (SELECT *, CASE WHEN r <= n - (4 - fold) * (n // 4) THEN 'train' WHEN r
 @query("mae_cv", f"""WITH {FORECAST_SQL}{FOLDS_SQL}, m AS (SELECT fold, avg(abs(y - second)) AS mae FROM folds WHERE part = 'validation' GROUP BY 1)
 SELECT count(*) AS n_scores, round(avg(mae), 6) AS mean_score, round(stddev_pop(mae), 6) AS std_score FROM m""")
 def fold_errors(spark, folder):
-    folds = expanding_folds(raw_forecast(spark, folder)).where("part = 'validation'")
+    folds = expanding_folds(stored_forecast(spark, folder)).where("part = 'validation'")
     scores = M.regression_metrics(folds, Y, P, ["fold"], raw=True)
     return M.mean_std(scores, "mae").withColumns({c: F.round(c, 6) for c in ("mean_score", "std_score")})

@@ -9,6 +9,7 @@ from wardcast.catalog.registry import query
 from wardcast.fixed_values import FEATURES, RISING_FEATURES, UNSCALED_FEATURES
 from wardcast.functions.features import air_columns, calendar_columns, interaction_columns, lag_interactions
 from wardcast.operators.features import feature_matrix, feature_skew, features, monotone_report, scale_features
+from wardcast.session import via_table
 from wardcast.plans.tables import LAGGED_SQL, PANEL_SQL, lagged_panel, panel
 
 KEY = "hospital_id::BIGINT AS hospital_id, CAST(date AS VARCHAR) AS date"
@@ -121,7 +122,7 @@ f AS (SELECT *, temp * humidity AS temp_humidity, aqi * temp AS aqi_temp FROM la
 m AS (SELECT {', '.join(f'avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}' for c in _CONTINUOUS)} FROM f)
 SELECT {KEY}, CAST(festival_flag AS BIGINT) AS festival_flag, {', '.join(f'round(({c} - m_{c}) / s_{c}, 6) AS {c}' for c in _CONTINUOUS)} FROM f, m""")
 def scaled(spark, folder):
-    df = features(lagged_panel(spark, folder))
+    df = features(via_table(lagged_panel(spark, folder), "panel"))
     done = scale_features(df.select("hospital_id", "date", "festival_flag", *_CONTINUOUS))
     return done.withColumns({c: F.round(c, 6) for c in _CONTINUOUS})
 
@@ -151,5 +152,5 @@ a AS (SELECT feature, bucket, count(*) AS n_rows, avg(p) AS mean_prediction FROM
 SELECT feature, bucket, n_rows, round(mean_prediction, 6) AS mean_prediction,
   CASE WHEN mean_prediction < lag(mean_prediction) OVER (PARTITION BY feature ORDER BY bucket) THEN 1 ELSE 0 END::BIGINT AS falls FROM a""")
 def monotone(spark, folder):
-    df = features(lagged_panel(spark, folder)).withColumn("q50", F.col("aqi"))
+    df = features(via_table(lagged_panel(spark, folder), "panel")).withColumn("q50", F.col("aqi"))
     return monotone_report(df, "q50").withColumn("mean_prediction", F.round("mean_prediction", 6))

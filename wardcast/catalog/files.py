@@ -10,7 +10,7 @@ from wardcast.operators.clean import derive_entity_id
 from wardcast.operators.decide import alert_digest, assemble_plan, monitored
 from wardcast.operators.windows import lead_covariates, time_index
 from wardcast.plans.tables import (
-    FORECAST_SQL, LAGGED_SQL, MONITORED_SQL, PANEL_SQL, lagged_panel, panel, plan_parts, raw_forecast,
+    FORECAST_SQL, LAGGED_SQL, MONITORED_SQL, PANEL_SQL, lagged_panel, panel, plan_parts, raw_forecast, stored_forecast,
 )
 from wardcast.session import scratch_path
 from wardcast.sources.readers import (
@@ -138,7 +138,7 @@ def restamp(spark, folder):
 
 
 def plans(spark, folder):
-    scored = score_mode(raw_forecast(spark, folder), "ensemble")
+    scored = score_mode(stored_forecast(spark, folder), "ensemble")
     staffing, supplies, advisory = plan_parts(scored)
     return assemble_plan(monitored(scored), staffing, supplies, advisory, as_of())
 

@@ -11,7 +11,7 @@ from wardcast.fixed_values import FEATURES
 from wardcast.operators import models as L
 from wardcast.operators.ordering import expanding_folds, time_split
 from wardcast.operators.weights import extreme_weights, residuals, spike_weights
-from wardcast.plans.tables import FORECAST_SQL, LAGGED_SQL, PANEL_SQL, lagged_panel, panel, raw_forecast
+from wardcast.plans.tables import FORECAST_SQL, LAGGED_SQL, PANEL_SQL, lagged_panel, raw_forecast, stored_forecast, stored_panel
 from wardcast.plans.training import forecast, prepare, train_global, training_summary
 from wardcast.session import scratch_path, via_table
 
@@ -27,12 +27,12 @@ cut AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY {ORDER}) <= CAST(floor(c
 
 @query("time_split", f"WITH {PANEL_SQL}{split_sql('panel')} SELECT {KEY}, split FROM cut")
 def split(spark, folder):
-    return time_split(panel(spark, folder)).select("hospital_id", "date", "split")
+    return time_split(stored_panel(spark, folder)).select("hospital_id", "date", "split")
 
 
 @query("expanding_cv_folds", f"WITH {FORECAST_SQL}{FOLDS_SQL} SELECT {KEY}, fold::BIGINT AS fold, part FROM folds WHERE part IS NOT NULL")
 def folds(spark, folder):
-    return expanding_folds(raw_forecast(spark, folder)).select("hospital_id", "date", "fold", "part")
+    return expanding_folds(stored_forecast(spark, folder)).select("hospital_id", "date", "fold", "part")
 
 
 @query("residuals", f"WITH {FORECAST_SQL} SELECT {KEY}, round(y - second, 9) AS residual FROM pred")
@@ -44,7 +44,7 @@ RESIDUAL_SQL = FORECAST_SQL + ", res AS (SELECT *, round(y - second, 9) AS resid
 
 
 def with_residual(spark, folder):
-    return residuals(raw_forecast(spark, folder), "y", "second").withColumn("residual", F.round("residual", 9))
+    return residuals(stored_forecast(spark, folder), "y", "second").withColumn("residual", F.round("residual", 9))
 
 
 @query("spike_weights", f"""WITH {RESIDUAL_SQL},
@@ -67,7 +67,7 @@ def weights_of_extremes(spark, folder):
 @query("residual_bands", f"""WITH {RESIDUAL_SQL}, q AS (SELECT city, round(quantile_cont(y - second, 0.1), 9) AS r10, round(quantile_cont(y - second, 0.9), 9) AS r90 FROM pred GROUP BY 1)
 SELECT {KEY}, round(second + r10, 6) AS low, round(second + r90, 6) AS high FROM pred JOIN q ON pred.city = q.city""")
 def bands(spark, folder):
-    f = raw_forecast(spark, folder)
+    f = stored_forecast(spark, folder)
     done = L.residual_bands(f, f, "y", "second", {"low": 0.1, "high": 0.9}, ["city"])
     return done.select("hospital_id", "date", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
@@ -89,13 +89,13 @@ SELECT 41::BIGINT AS n_features, CAST(count(*) FILTER (WHERE split = 'train') AS
   (SELECT round(avg(CASE WHEN y BETWEEN q10 AND q90 THEN 1.0 ELSE 0.0 END), 6) FROM v) AS coverage,
   (SELECT round(avg(CASE WHEN y BETWEEN q10 AND q90 THEN 1.0 ELSE 0.0 END) * 100, 2) FROM v) AS coverage_pct FROM cut""")
 def summary(spark, folder):
-    data = time_split(raw_forecast(spark, folder))
+    data = time_split(stored_forecast(spark, folder))
     scored = data.where("split = 'validation'").select("y", F.col("q10").alias("lower"), F.col("second").alias("median"), F.col("q90").alias("upper"))
     return training_summary(data, scored).withColumn("coverage", F.round("coverage", 6))
 
 
 def _prepared(spark, folder):
-    return prepare(lagged_panel(spark, folder))
+    return prepare(via_table(lagged_panel(spark, folder), "panel"))
 
 
 def _shown(df, *columns):
@@ -183,5 +183,5 @@ def loaded(spark, folder):
 @query("train_and_forecast")
 def whole_run(spark, folder):
     """Training, scoring and ordering end to end."""
-    models = train_global(lagged_panel(spark, folder), **SMALL)
+    models = train_global(via_table(lagged_panel(spark, folder), "panel"), **SMALL)
     return _shown(forecast(models, models.data, keep=["split", "admissions"]), "lower", "median", "upper")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardcast.catalog.registry import query
+from wardcast.functions.fixed import fixed_row
 from wardcast.functions.scalars import flag, is_between
 from wardcast.operators import metrics, relate
 from wardcast.operators.bands import any_adjustment, combine_models
@@ -12,7 +13,7 @@ from wardcast.operators.models import fit_per_entity
 from wardcast.operators.ordering import top_rows
 from wardcast.operators.quantiles import quantile_row, quantiles
 from wardcast.operators.weights import residuals, spike_threshold
-from wardcast.plans.tables import FORECAST_SQL, LAGGED_SQL, PANEL_SQL, lagged_panel, panel, raw_forecast
+from wardcast.plans.tables import FORECAST_SQL, LAGGED_SQL, PANEL_SQL, lagged_panel, panel, raw_forecast, stored_forecast
 from wardcast.sources.readers import table
 
 KEY = "hospital_id::BIGINT AS hospital_id, CAST(date AS VARCHAR) AS date"
@@ -29,8 +30,9 @@ def thresholds(spark, folder):
 @query("spike_filter", f"""WITH {FORECAST_SQL}, t AS (SELECT round(quantile_cont(y, 0.7), 9) AS p70, round(quantile_cont(y, 0.75), 9) AS p75 FROM pred)
 SELECT {KEY}, y, p70 AS threshold, CASE WHEN y > p75 THEN 1 ELSE 0 END::BIGINT AS evaluated_as_spike FROM pred, t WHERE y > p70""")
 def spikes(spark, folder):
-    marked = spike_threshold(raw_forecast(spark, folder)).where("is_spike").drop("is_spike")
-    upper = quantile_row(raw_forecast(spark, folder), {"y": F.col("y")}, [0.75]).select(F.col("y.q")[0]).scalar()
+    f = stored_forecast(spark, folder)
+    marked = spike_threshold(f).where("is_spike").drop("is_spike")
+    upper = fixed_row(quantile_row(f, {"y": F.col("y")}, [0.75]))["y"]["q"][0]
     return marked.withColumn("p75", upper).select("hospital_id", "date", "y", "threshold", flag(F.col("y") > F.col("p75")).alias("evaluated_as_spike"))
 
 
@@ -44,7 +46,7 @@ SELECT CAST(count(*) FILTER (WHERE residual > 0) AS BIGINT) AS n_positive, round
   round(quantile_cont(residual, 0.99) FILTER (WHERE residual > 0), 6) AS p99_positive FROM r""")
 def positive(spark, folder):
     r = F.col("residual")
-    stats = quantile_row(residuals(raw_forecast(spark, folder)), {"gain": F.when(r > 0, r)}, [0.9, 0.99])
+    stats = quantile_row(residuals(stored_forecast(spark, folder)), {"gain": F.when(r > 0, r)}, [0.9, 0.99])
     return stats.select(F.col("gain.n").alias("n_positive"), F.round(F.col("gain.q")[0], 6).alias("p90_positive"), F.round(F.col("gain.q")[1], 6).alias("p99_positive"))
 
 
@@ -84,7 +86,7 @@ def combine(spark, folder):
 @query("batch_scalar_join", f"""WITH {FORECAST_SQL}, t AS (SELECT city, count(*) AS n, round(quantile_cont(q50, 0.9), 9) AS p90 FROM pred GROUP BY 1)
 SELECT {KEY}, pred.city, n AS batch_rows, CASE WHEN q50 > p90 THEN 1 ELSE 0 END::BIGINT AS above FROM pred JOIN t ON pred.city = t.city""")
 def batch_stats(spark, folder):
-    f = raw_forecast(spark, folder)
+    f = stored_forecast(spark, folder)
     stats = quantile_row(f, {"q50": F.col("q50")}, [0.9], ["city"])
     done = relate.batch_scalar_join(f, stats, "batch", ["city"])
     return done.select("hospital_id", "date", "city", F.col("batch.q50.n").alias("batch_rows"), flag(F.col("q50") > F.col("batch.q50.q")[0]).alias("above"))
@@ -114,7 +116,7 @@ def percentiles(spark, folder):
 SELECT city, count(*) AS n_rows, round(avg(spike), 6) AS avg_value, min(spike) AS min_value, max(spike) AS max_value, round(quantile_cont(spike, 0.95), 6) AS p95_value
 FROM pred, t WHERE y > p70 GROUP BY 1""")
 def adjustments(spark, folder):
-    marked = spike_threshold(raw_forecast(spark, folder)).where("is_spike")
+    marked = spike_threshold(stored_forecast(spark, folder)).where("is_spike")
     done = metrics.adjustment_stats(marked, "spike", ["city"])
     return done.withColumns({c: F.round(c, 6) for c in ("avg_value", "p95_value")})
 

@@ -9,7 +9,7 @@ from wardcast.functions.calendar import periodic_mark, wave, weekday_of, yearly_
 from wardcast.operators import panel as P
 from wardcast.operators import windows as S
 from wardcast.operators.ordering import running_positions
-from wardcast.plans.tables import PANEL_SQL, panel
+from wardcast.plans.tables import PANEL_SQL, panel, stored_panel
 from wardcast.sources.readers import table
 
 KEY = "hospital_id::BIGINT AS hospital_id, CAST(date AS VARCHAR) AS date"
@@ -81,13 +81,13 @@ def index(spark, folder):
 @query("running_number", f"""WITH {PANEL_SQL}
 SELECT {KEY}, city, row_number() OVER (PARTITION BY city ORDER BY date, md5(CAST(hospital_id AS VARCHAR)), hospital_id) - 1 AS number FROM panel""")
 def running(spark, folder):
-    return running_positions(panel(spark, folder), ["city"], name="number").select("hospital_id", "date", "city", "number")
+    return running_positions(stored_panel(spark, folder), ["city"], name="number").select("hospital_id", "date", "city", "number")
 
 
 @query("rank_positions", f"""WITH {PANEL_SQL}
 SELECT {KEY}, row_number() OVER (ORDER BY date, md5(CAST(hospital_id AS VARCHAR)), hospital_id) - 1 AS position FROM panel""")
 def positions(spark, folder):
-    return running_positions(panel(spark, folder)).select("hospital_id", "date", "position")
+    return running_positions(stored_panel(spark, folder)).select("hospital_id", "date", "position")
 
 
 @query("dense_calendar", f"""WITH {PANEL_SQL},

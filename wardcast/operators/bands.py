@@ -15,6 +15,7 @@ from wardcast.fixed_values import (
     WIDEN_FACTOR, WIDEN_LEVEL, WIDEN_PERCENTILE,
 )
 from wardcast.operators.quantiles import attach_by_batch, quantile_row
+from wardcast.session import via_table
 
 STEPS = {"spike": (SPIKE_LARGE, SPIKE_SMALL), "extreme": (EXTREME_LARGE, EXTREME_SMALL)}
 
@@ -106,8 +107,13 @@ def no_second_model(df: DataFrame) -> DataFrame:
 
 
 def corrected(df: DataFrame, batch: Sequence[str] = ()) -> DataFrame:
-    """Corrections, adjustment and widening in a row."""
-    return widen_extreme_band(apply_adjustment(scale_corrections(df, batch=batch)), batch)
+    """Corrections, adjustment and widening in a row.
+
+    The second step's statistics read the result of the first, so with many batches that
+    result is written once instead of being joined together for every pass.
+    """
+    adjusted = apply_adjustment(scale_corrections(df, batch=batch))
+    return widen_extreme_band(via_table(adjusted, "adjusted") if batch else adjusted, batch)
 
 
 def combine_models(*parts: DataFrame, keys: Sequence[str] = ("hospital_id", "date")) -> DataFrame:

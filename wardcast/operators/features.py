@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardcast.fixed_values import FEATURES, RISING_FEATURES, UNSCALED_FEATURES
+from wardcast.functions.fixed import fixed_row
 from wardcast.functions.features import air_columns, calendar_columns, interaction_columns, lag_interactions
 from wardcast.operators.clean import add_missing_as_zero, require_columns
 from wardcast.operators.windows import exogenous_identity, lag_exogenous
@@ -52,9 +53,9 @@ def feature_matrix(
 def scale_features(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Standardise continuous columns with the population deviation; constants are centred only."""
     columns = [c for c in FEATURES if c in df.columns and c not in UNSCALED_FEATURES] if columns is None else list(columns)
-    moments = df.select(F.struct(*[
+    moments = fixed_row(df.agg(*[
         F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in columns
-    ]).alias("m")).scalar()
+    ]))
     scaled = {}
     for c in columns:
         std = F.col("__m")[c]["std"]
@@ -96,9 +97,9 @@ def monotone_report(
 
     ``falls`` is 1 where the average drops against the bucket below.
     """
-    span = df.select(F.struct(*[
+    span = fixed_row(df.agg(*[
         F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(c) for c in columns
-    ]).alias("s")).scalar()
+    ]))
     entries = []
     for c in columns:
         lo, hi = F.col("__s")[c]["lo"], F.col("__s")[c]["hi"]

@@ -89,9 +89,24 @@ def _count_cuts(df: DataFrame, cuts: list[Column]) -> DataFrame:
     return df.agg(F.count("*").alias("n")).select(F.inline(F.array(*rows)))
 
 
-def _cut_array(df: DataFrame, cuts: list[Column], entity: str, time: str) -> Column:
-    found = cut_keys(df, _count_cuts(df, cuts), entity, time)
-    return found.select(F.sort_array(F.collect_list(F.struct("cut_id", F.struct("day", "tie", "who").alias("k"))))).scalar()
+def _cuts(df: DataFrame, cuts: list[Column], entity: str, time: str) -> list[Column]:
+    """For each cut a condition that is true up to and including the row at that position.
+
+    One key per cut comes to the driver. The leading comparison of the time column stands
+    alone, so a filter with the condition is pushed into the scan.
+    """
+    found = {r["cut_id"]: r for r in cut_keys(df, _count_cuts(df, cuts), entity, time).collect()}
+    conditions = []
+    for i in range(len(cuts)):
+        if i not in found:
+            conditions.append(F.lit(False))
+            continue
+        day, tie = F.col(time), tie_key(entity)
+        last = F.lit(found[i]["day"]).cast(df.schema[time].dataType)
+        who = F.lit(found[i]["who"]).cast(df.schema[entity].dataType)
+        at = F.lit(found[i]["tie"])
+        conditions.append((day <= last) & ((day < last) | (tie < at) | ((tie == at) & (F.col(entity) <= who))))
+    return conditions
 
 
 def time_split(
@@ -99,12 +114,10 @@ def time_split(
 ) -> DataFrame:
     """Mark the first ``int(n * ratio)`` rows in time order ``train`` and the rest ``validation``.
 
-    The key at the cut is a scalar subquery, so marking (or filtering) moves no rows.
+    The key at the cut is found first and enters as a literal, so marking moves no rows.
     """
-    key = F.struct(F.col(time).alias("day"), tie_key(entity).alias("tie"), F.col(entity).alias("who"))
-    marked = df.withColumn("__cuts", _cut_array(df, [F.col("n") * F.lit(float(train_ratio))], entity, time))
-    early = key <= F.try_element_at("__cuts", F.lit(1))["k"]
-    return marked.withColumn(name, F.when(early, F.lit("train")).otherwise(F.lit("validation"))).drop("__cuts")
+    early = _cuts(df, [F.col("n") * F.lit(float(train_ratio))], entity, time)[0]
+    return df.withColumn(name, F.when(early, F.lit("train")).otherwise(F.lit("validation")))
 
 
 def expanding_folds(df: DataFrame, folds: int = 3, entity: str = "hospital_id", time: str = "date") -> DataFrame:
@@ -113,22 +126,12 @@ def expanding_folds(df: DataFrame, folds: int = 3, entity: str = "hospital_id",
     Each fold validates on ``n // (folds + 1)`` rows and trains on everything before them.
     """
     size = F.floor(F.col("n") / F.lit(folds + 1))
-    ends = [F.col("n") - F.lit(folds - i) * size for i in range(folds + 1)]
-    key = F.struct(F.col(time).alias("day"), tie_key(entity).alias("tie"), F.col(entity).alias("who"))
-    cuts = F.col("__cuts")
-
-    def upto(i: int) -> Column:
-        return key <= cuts[i]["k"]
-
+    upto = _cuts(df, [F.col("n") - F.lit(folds - i) * size for i in range(folds + 1)], entity, time)
     steps = []
     for i in range(folds):
-        part = F.when(upto(i), F.lit("train")).when(upto(i + 1), F.lit("validation"))
+        part = F.when(upto[i], F.lit("train")).when(upto[i + 1], F.lit("validation"))
         steps.append(F.struct(F.lit(i + 1).alias("fold"), part.alias("part")))
-    return (
-        df.withColumn("__cuts", _cut_array(df, ends, entity, time))
-        .select(*df.columns, F.inline(F.array(*steps)))
-        .where(F.col("part").isNotNull())
-    )
+    return df.select("*", F.inline(F.array(*steps))).where(F.col("part").isNotNull())
 
 
 def top_rows(df: DataFrame, order: Sequence[Column], k: int, by: Sequence[str] = ()) -> DataFrame:

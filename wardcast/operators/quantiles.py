@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wardcast.functions.fixed import fixed_row
+
 #: Buckets per unit of ln(1+|v|); neighbouring buckets differ by 0.024 %.
 RESOLUTION = float(2 ** 12)
 
@@ -96,13 +98,12 @@ def quantile_row(
 def attach_by_batch(df: DataFrame, stats: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Put the statistics of a row's batch next to it as the struct column ``name``.
 
-    Without batch columns the one statistics row is a scalar subquery, so the big side is
-    neither shuffled nor joined. Otherwise it is an equi join on the batch columns, and
-    adaptive execution broadcasts or splits it by measured size.
+    Without batch columns the one statistics row is computed now and enters as a literal, so
+    the big side is neither shuffled nor joined. Otherwise it is an equi join on the batch
+    columns, and adaptive execution broadcasts or splits it by measured size.
     """
     by = list(by)
-    cells = [c for c in stats.columns if c not in by]
-    packed = stats.select(*by, F.struct(*cells).alias(name))
     if not by:
-        return df.withColumn(name, packed.scalar())
-    return df.join(packed, by, "left")
+        return df.withColumn(name, fixed_row(stats))
+    cells = [c for c in stats.columns if c not in by]
+    return df.join(stats.select(*by, F.struct(*cells).alias(name)), by, "left")

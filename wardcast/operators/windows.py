@@ -120,10 +120,12 @@ def fill_forward_back_zero(
     df: DataFrame, columns: Sequence[str], entity: str | Sequence[str] = "hospital_id", time: str = "date"
 ) -> DataFrame:
     """Fill gaps from the past, then the future of the same entity, then with 0."""
-    w = series(entity, time)
-    past = w.rowsBetween(W.unboundedPreceding, 0)
-    future = w.rowsBetween(0, W.unboundedFollowing)
+    keys = [entity] if isinstance(entity, str) else list(entity)
+    past = series(entity, time).rowsBetween(W.unboundedPreceding, 0)
+    # the future as the past of the reversed series: a frame that grows row by row is linear,
+    # one that shrinks towards the end is recomputed for every row
+    future = W.partitionBy(*keys).orderBy(F.desc(time)).rowsBetween(W.unboundedPreceding, 0)
     return df.withColumns({
-        c: F.coalesce(F.last(c, True).over(past), F.first(c, True).over(future), F.lit(0).cast(df.schema[c].dataType))
+        c: F.coalesce(F.last(c, True).over(past), F.last(c, True).over(future), F.lit(0).cast(df.schema[c].dataType))
         for c in columns
     })

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardcast.functions.calendar import weekday_of
 from wardcast.functions.scalars import flag
+from wardcast.session import via_table
 from wardcast.sources.readers import table
 
 
@@ -83,6 +84,16 @@ def raw_forecast(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stored_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    """The forecast written once, for queries that read it in several passes."""
+    return via_table(raw_forecast(spark, folder), "forecast")
+
+
+def stored_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """The panel written once, for queries that read it in several passes."""
+    return via_table(panel(spark, folder), "panel")
+
+
 FORECAST_SQL = PANEL_SQL + """,
 pred AS (
   SELECT hospital_id, date, city, aqi AS q50, aqi - humidity / 4 AS q10, aqi + humidity / 4 AS q90, rainfall AS spike,

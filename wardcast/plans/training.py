@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardcast.fixed_values import FEATURES
+from wardcast.functions.fixed import fixed_row
 from wardcast.operators.bands import score_mode
 from wardcast.operators.features import feature_matrix
 from wardcast.operators.metrics import quantile_coverage, regression_metrics
@@ -35,9 +36,13 @@ class GlobalModels:
 
 
 def prepare(panel: DataFrame, target: str = "admissions", profile: str = "train", ratio: float = 0.85) -> DataFrame:
-    """Feature table with its time split, written once because every tree level reads it."""
-    matrix = feature_matrix(panel, profile, keep=["city", target])
-    return via_table(time_split(matrix, ratio), "features")
+    """Feature table with its time split, written once because every tree level reads it.
+
+    The cut is found on the panel's keys; the table is partitioned by the split, so reading
+    the training rows skips the rest.
+    """
+    matrix = feature_matrix(time_split(panel, ratio), profile, keep=["city", target, "split"])
+    return via_table(matrix, "features", ["split"])
 
 
 def train_global(panel: DataFrame, target: str = "admissions", second: bool = True, **options) -> GlobalModels:
@@ -87,6 +92,5 @@ def training_summary(data: DataFrame, scored: DataFrame, target: str = "y") -> D
     )
     metrics = regression_metrics(scored, target).drop("n_rows")
     cover = quantile_coverage(scored, target)
-    packed = metrics.select(F.struct("*")).scalar()
-    covered = cover.select(F.struct("coverage", "coverage_pct")).scalar()
-    return sizes.withColumns({"__m": packed, "__c": covered}).select(*sizes.columns, "__m.*", "__c.*")
+    named = fixed_row(metrics).alias("m"), fixed_row(cover).alias("c")
+    return sizes.select("*", *named).select(*sizes.columns, "m.*", "c.*")
