@@ -26,7 +26,7 @@ EXTREME = _times("extreme", "e", [5.0, 6.5, 8.0], [(20, 5.0), (40, 8.0)])
 def scaled_sql(base: str = "pred", batch: str = "1") -> str:
     """CTEs that add the scaled corrections, relative to a batch expression."""
     cells = ", ".join(
-        f"round(quantile_cont({c}, {p}), 9) AS {k}{i}" for c, k in (("spike", "s"), ("extreme", "e")) for i, p in enumerate((0.9, 0.95, 0.99)))
+        f"quantile_cont({c}, {p}) AS {k}{i}" for c, k in (("spike", "s"), ("extreme", "e")) for i, p in enumerate((0.9, 0.95, 0.99)))
     return f""",
 st AS (SELECT {batch} AS b, count(*) AS n, {cells} FROM {base} GROUP BY 1),
 scaled AS (SELECT p.*, b, spike * CAST({SPIKE} AS DOUBLE) AS spike_scaled, extreme * CAST({EXTREME} AS DOUBLE) AS extreme_scaled FROM {base} p JOIN st ON {batch} = b)"""
@@ -37,7 +37,7 @@ def widened_sql(margin: float = 0.0) -> str:
     return f""",
 moved AS (SELECT * EXCLUDE (q10, q50, q90), 0.0 + spike_scaled + extreme_scaled AS adjustment, {low} + (0.0 + spike_scaled + extreme_scaled) AS q10,
   q50 + (0.0 + spike_scaled + extreme_scaled) AS q50, {high} + (0.0 + spike_scaled + extreme_scaled) AS q90 FROM scaled),
-ms AS (SELECT b, count(*) AS n, round(quantile_cont(q50, 0.9), 9) AS p90, bool_or(adjustment <> 0) AS adjusted FROM moved GROUP BY 1),
+ms AS (SELECT b, count(*) AS n, quantile_cont(q50, 0.9) AS p90, bool_or(adjustment <> 0) AS adjusted FROM moved GROUP BY 1),
 widened AS (SELECT m.* EXCLUDE (q10, q90),
   CASE WHEN adjusted AND (CASE WHEN n > 10 THEN q50 > p90 ELSE q50 > 200 END) THEN (q90 + q10) / 2 - (q90 - q10) * 0.75 ELSE q10 END AS q10,
   CASE WHEN adjusted AND (CASE WHEN n > 10 THEN q50 > p90 ELSE q50 > 200 END) THEN (q90 + q10) / 2 + (q90 - q10) * 0.75 ELSE q90 END AS q90
@@ -189,7 +189,7 @@ def pinball(spark, folder):
     return done.select(*[F.round(c, 6).alias(c) for c in done.columns])
 
 
-@query("spike_metrics", f"""WITH {FORECAST_SQL}, t AS (SELECT round(quantile_cont(y, 0.75), 9) AS p75 FROM pred)
+@query("spike_metrics", f"""WITH {FORECAST_SQL}, t AS (SELECT quantile_cont(y, 0.75) AS p75 FROM pred)
 SELECT count(*) AS n_spikes, round(avg(abs(y - second)), 6) AS spike_mae, round(sqrt(avg((y - second) * (y - second))), 6) AS spike_rmse,
   round(avg(CASE WHEN second < y THEN 1.0 ELSE 0.0 END) * 100, 6) AS underprediction_pct, round(max(p75), 6) AS threshold FROM pred, t WHERE y > p75""")
 def spike_quality(spark, folder):

@@ -54,25 +54,26 @@ def _columns(profile: str) -> dict[str, Column]:
     return calendar_columns(day, profile) | air_columns(F.col("aqi"), profile) | interaction_columns(profile) | lag_interactions(profile)
 
 
+def _kind(profile: str, column: str) -> str:
+    return "BIGINT" if column in WHOLE or (column == "aqi_severity" and profile == "train") else "DOUBLE"
+
+
 def _pair(name: str, columns: list[str]) -> None:
     """Register one feature family with both profiles side by side."""
-    cells, sql, lagged = [], [], any("lag" in c or "rolling" in c for c in columns)
-    for profile, formulas in (("train", TRAIN), ("serve", SERVE)):
-        own = _columns(profile)
-        for c in columns:
-            if c not in own:
-                continue
-            value, text = own[c], formulas[c]
-            if c in WAVES:
-                value, text = F.round(value, 9), f"round({text}, 9)"
-            kind = "BIGINT" if c in WHOLE or (c == "aqi_severity" and profile == "train") else "DOUBLE"
-            cells.append(value.alias(f"{profile}_{c}"))
-            sql.append(f"CAST({text} AS {kind}) AS {profile}_{c}")
+    lagged = any("lag" in c or "rolling" in c for c in columns)
     base, source = (LAGGED_SQL, "lagged") if lagged else (PANEL_SQL, "panel")
+    shown = [(p, c) for p, formulas in (("train", TRAIN), ("serve", SERVE)) for c in columns if c in formulas]
+    sql = []
+    for p, c in shown:
+        text = (TRAIN if p == "train" else SERVE)[c]
+        text = f"round({text}, 9)" if c in WAVES else text
+        sql.append(f"CAST({text} AS {_kind(p, c)}) AS {p}_{c}")
 
     @query(name, f"WITH {base} SELECT {KEY}, {', '.join(sql)} FROM {source}")
     def run(spark, folder):
         df = lagged_panel(spark, folder) if lagged else panel(spark, folder)
+        own = {p: _columns(p) for p in ("train", "serve")}
+        cells = [(F.round(own[p][c], 9) if c in WAVES else own[p][c]).alias(f"{p}_{c}") for p, c in shown]
         return df.select("hospital_id", "date", *cells)
 
 

@@ -149,8 +149,8 @@ plans AS (
          CAST(0.6 AS DOUBLE) * (aqi * CAST(0.95 AS DOUBLE) + temp) + (CAST(1.0 AS DOUBLE) - CAST(0.6 AS DOUBLE)) * q50 AS inflow
   FROM monitored JOIN adjusted USING (hospital_id, date))"""
 ADJUSTED_SQL = """,
-t AS (SELECT count(*) AS n, round(quantile_cont(rainfall, 0.9), 9) AS s90, round(quantile_cont(rainfall, 0.95), 9) AS s95, round(quantile_cont(rainfall, 0.99), 9) AS s99,
-      round(quantile_cont(wind_speed * 2, 0.9), 9) AS e90, round(quantile_cont(wind_speed * 2, 0.95), 9) AS e95, round(quantile_cont(wind_speed * 2, 0.99), 9) AS e99 FROM panel),
+t AS (SELECT count(*) AS n, quantile_cont(rainfall, 0.9) AS s90, quantile_cont(rainfall, 0.95) AS s95, quantile_cont(rainfall, 0.99) AS s99,
+      quantile_cont(wind_speed * 2, 0.9) AS e90, quantile_cont(wind_speed * 2, 0.95) AS e95, quantile_cont(wind_speed * 2, 0.99) AS e99 FROM panel),
 adjusted AS (
   SELECT hospital_id, date, aqi + (0.0
     + rainfall * CASE WHEN n > 10 THEN (CASE WHEN rainfall > s99 THEN 4.0 WHEN rainfall > s95 THEN 3.0 WHEN rainfall > s90 THEN 2.0 ELSE 1.0 END)

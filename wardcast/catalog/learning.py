@@ -48,8 +48,8 @@ def with_residual(spark, folder):
 
 
 @query("spike_weights", f"""WITH {RESIDUAL_SQL},
-q AS (SELECT round(quantile_cont(y, 0.7), 9) AS y70, round(quantile_cont(abs(residual), 0.85), 9) AS a85, round(quantile_cont(abs(residual), 0.95), 9) AS a95, round(quantile_cont(abs(residual), 0.99), 9) AS a99,
-  round(quantile_cont(residual, 0.9) FILTER (WHERE residual > 0), 9) AS g90 FROM res)
+q AS (SELECT quantile_cont(y, 0.7) AS y70, quantile_cont(abs(residual), 0.85) AS a85, quantile_cont(abs(residual), 0.95) AS a95, quantile_cont(abs(residual), 0.99) AS a99,
+  quantile_cont(residual, 0.9) FILTER (WHERE residual > 0) AS g90 FROM res)
 SELECT {KEY}, CAST(CASE WHEN y > y70 THEN 15.0 ELSE 1.0 END * CASE WHEN abs(residual) > a85 THEN 2.0 ELSE 1.0 END * CASE WHEN abs(residual) > a95 THEN 2.0 ELSE 1.0 END
   * CASE WHEN abs(residual) > a99 THEN 2.0 ELSE 1.0 END * CASE WHEN residual > 0 THEN 1.5 ELSE 1.0 END * CASE WHEN residual > g90 THEN 1.5 ELSE 1.0 END AS DOUBLE) AS weight
 FROM res, q WHERE (SELECT count(*) FROM res, q WHERE y > y70) >= 25""")
@@ -57,14 +57,14 @@ def weights_of_spikes(spark, folder):
     return spike_weights(with_residual(spark, folder)).select("hospital_id", "date", "weight")
 
 
-@query("extreme_weights", f"""WITH {RESIDUAL_SQL}, q AS (SELECT round(quantile_cont(residual, 0.99) FILTER (WHERE residual > 0), 9) AS g99 FROM res),
+@query("extreme_weights", f"""WITH {RESIDUAL_SQL}, q AS (SELECT quantile_cont(residual, 0.99) FILTER (WHERE residual > 0) AS g99 FROM res),
 r AS (SELECT *, row_number() OVER (ORDER BY residual DESC, hospital_id, date) AS n, count(*) FILTER (WHERE residual > g99) OVER () AS extremes FROM res, q)
 SELECT {KEY}, CAST(CASE WHEN n <= 5 AND extremes > 5 THEN 500 WHEN residual > g99 THEN 200 ELSE 1 END AS DOUBLE) AS weight FROM r WHERE extremes >= 10""")
 def weights_of_extremes(spark, folder):
     return extreme_weights(with_residual(spark, folder)).select("hospital_id", "date", "weight")
 
 
-@query("residual_bands", f"""WITH {RESIDUAL_SQL}, q AS (SELECT city, round(quantile_cont(y - second, 0.1), 9) AS r10, round(quantile_cont(y - second, 0.9), 9) AS r90 FROM pred GROUP BY 1)
+@query("residual_bands", f"""WITH {RESIDUAL_SQL}, q AS (SELECT city, quantile_cont(y - second, 0.1) AS r10, quantile_cont(y - second, 0.9) AS r90 FROM pred GROUP BY 1)
 SELECT {KEY}, round(second + r10, 6) AS low, round(second + r90, 6) AS high FROM pred JOIN q ON pred.city = q.city""")
 def bands(spark, folder):
     f = stored_forecast(spark, folder)

@@ -27,7 +27,7 @@ def thresholds(spark, folder):
         "hospital_id", "date", flag(F.col("aqi") > 150).alias("bad_air"), flag(F.col("rainfall") > 20).alias("wet"), flag(F.col("aqi") > 100).alias("poor_air"))
 
 
-@query("spike_filter", f"""WITH {FORECAST_SQL}, t AS (SELECT round(quantile_cont(y, 0.7), 9) AS p70, round(quantile_cont(y, 0.75), 9) AS p75 FROM pred)
+@query("spike_filter", f"""WITH {FORECAST_SQL}, t AS (SELECT quantile_cont(y, 0.7) AS p70, quantile_cont(y, 0.75) AS p75 FROM pred)
 SELECT {KEY}, y, p70 AS threshold, CASE WHEN y > p75 THEN 1 ELSE 0 END::BIGINT AS evaluated_as_spike FROM pred, t WHERE y > p70""")
 def spikes(spark, folder):
     f = stored_forecast(spark, folder)
@@ -83,7 +83,7 @@ def combine(spark, folder):
     return combine_models(f.select(*key, "q10", "q50", "q90"), f.select(*key, "spike", "extreme"), f.select(*key, "second"))
 
 
-@query("batch_scalar_join", f"""WITH {FORECAST_SQL}, t AS (SELECT city, count(*) AS n, round(quantile_cont(q50, 0.9), 9) AS p90 FROM pred GROUP BY 1)
+@query("batch_scalar_join", f"""WITH {FORECAST_SQL}, t AS (SELECT city, count(*) AS n, quantile_cont(q50, 0.9) AS p90 FROM pred GROUP BY 1)
 SELECT {KEY}, pred.city, n AS batch_rows, CASE WHEN q50 > p90 THEN 1 ELSE 0 END::BIGINT AS above FROM pred JOIN t ON pred.city = t.city""")
 def batch_stats(spark, folder):
     f = stored_forecast(spark, folder)
@@ -112,7 +112,7 @@ def percentiles(spark, folder):
     return whole.unionByName(quantiles(events, {"value": F.col("value")}, LEVELS, ["event_type"]).select("event_type", "n", *cells))
 
 
-@query("adjustment_stats", f"""WITH {FORECAST_SQL}, t AS (SELECT round(quantile_cont(y, 0.7), 9) AS p70 FROM pred)
+@query("adjustment_stats", f"""WITH {FORECAST_SQL}, t AS (SELECT quantile_cont(y, 0.7) AS p70 FROM pred)
 SELECT city, count(*) AS n_rows, round(avg(spike), 6) AS avg_value, min(spike) AS min_value, max(spike) AS max_value, round(quantile_cont(spike, 0.95), 6) AS p95_value
 FROM pred, t WHERE y > p70 GROUP BY 1""")
 def adjustments(spark, folder):

@@ -69,9 +69,10 @@ def quantiles(
     )
 
     def interpolated(p: Column) -> Column:
-        low, part = F.floor(top * p), top * p - F.floor(top * p)
-        at = F.col("at")
-        return F.round(F.element_at(at, low) * (F.lit(1.0) - part) + F.element_at(at, F.ceil(top * p)) * part, 9)
+        part = top * p - F.floor(top * p)
+        low, high = F.element_at("at", F.floor(top * p)), F.element_at("at", F.ceil(top * p))
+        # equal neighbours give exactly their value, so a strict comparison with it is safe
+        return F.when(part < 0.5, low + (high - low) * part).otherwise(high - (high - low) * (1 - part))
 
     return (
         found.groupBy(*group, "n")

@@ -18,9 +18,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _csv(spark: SparkSession, schema: T.StructType, skip_bad: bool):
-    # enforceSchema=false compares the header with the schema instead of trusting positions
+    # enforceSchema=false compares the header with the schema instead of trusting positions;
+    # without column pruning it does so for all columns, whatever a query selects
     return (
-        spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+        spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("columnPruning", False)
         .option("ignoreCorruptFiles", skip_bad)
     )
 
