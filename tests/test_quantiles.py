@@ -57,3 +57,18 @@ def test_no_value_map_of_the_whole_table(spark, folder):
     events = spark.read.parquet(f"{folder}/events.parquet")
     plan = quantiles(events, {"v": F.col("value")}, [0.5])._jdf.queryExecution().toString()
     assert "percentile" not in plan
+
+
+@pytest.mark.parametrize("limit,parts", [(1, 4), (3, 16), (50, 4096)])
+def test_crowded_buckets_are_divided(spark, monkeypatch, limit, parts):
+    """All values share one logarithmic bucket, one value holds a third of the rows."""
+    from wardcast.operators import quantiles as module
+
+    monkeypatch.setattr(module, "ORDERABLE", limit)
+    monkeypatch.setattr(module, "PARTS", parts)
+    rng = np.random.default_rng(8)
+    values = np.concatenate([1000 + rng.uniform(0, 1e-3, 200), np.full(100, 1000.0005)])
+    groups = [f"g{i % 2}" for i in range(300)]
+    check(quantiles(frame(spark, values), {"v": F.col("v")}, PROBS).first(), values)
+    for r in quantiles(frame(spark, values, groups), {"v": F.col("v")}, PROBS, ["g"]).collect():
+        check(r, values[[g == r["g"] for g in groups]])

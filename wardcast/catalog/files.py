@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardcast.catalog.registry import query
+from wardcast.functions.fixed import fixed_row
 from wardcast.operators.bands import score_mode
 from wardcast.operators.clean import derive_entity_id
 from wardcast.operators.decide import alert_digest, assemble_plan, monitored
 from wardcast.operators.windows import lead_covariates, time_index
 from wardcast.plans.tables import (
-    FORECAST_SQL, LAGGED_SQL, MONITORED_SQL, PANEL_SQL, lagged_panel, panel, plan_parts, raw_forecast, stored_forecast,
+    FORECAST_SQL, LAGGED_SQL, MONITORED_SQL, PANEL_SQL, lagged_panel, panel, plan_parts, raw_forecast, stored_forecast, stored_panel,
 )
-from wardcast.session import scratch_path
+from wardcast.session import scratch_path, via_table
 from wardcast.sources.readers import (
     payload_defaults, records_of, restamp_forecast_date, scan_all_entities, scan_entity_csv, scan_flat_csv,
     scan_forecast_layout, scan_json_payload, table,
@@ -71,7 +72,7 @@ SELECT CAST(hospital_id AS VARCHAR) AS hospital_id, CAST(date AS VARCHAR) AS dat
        CAST(date - (SELECT min(date) FROM panel) AS BIGINT) AS time_idx, lag_7_admissions, {LEADS_SQL} FROM lagged""")
 def scan_forecast(spark, folder):
     base = scratch_path(spark, "csv")
-    wide = time_index(lead_covariates(lagged_panel(spark, folder))).withColumn("group_id", F.col("hospital_id"))
+    wide = time_index(lead_covariates(via_table(lagged_panel(spark, folder), "panel"))).withColumn("group_id", F.col("hospital_id"))
     cells = [F.col(f.name).cast(f.dataType).alias(f.name) for f in FORECAST_PANEL]
     sink_csv_by_entity(wide.select("city", *cells), base, "tft", keep_city=False)
     back = derive_entity_id(scan_forecast_layout(spark, base))
@@ -133,8 +134,8 @@ def defaults(spark, folder):
 @query("restamp_forecast_date", f"""WITH {PANEL_SQL}
 SELECT CAST(hospital_id AS BIGINT) AS hospital_id, CAST(k AS BIGINT) AS k, CAST((SELECT max(date) FROM panel) + 1 AS VARCHAR) AS date FROM panel""")
 def restamp(spark, folder):
-    p = panel(spark, folder)
-    return restamp_forecast_date(p, p.select(F.max("date")).scalar()).select("hospital_id", "k", "date")
+    p = stored_panel(spark, folder)
+    return restamp_forecast_date(p, fixed_row(p.agg(F.max("date").alias("last")))["last"]).select("hospital_id", "k", "date")
 
 
 def plans(spark, folder):

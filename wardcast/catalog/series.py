@@ -75,7 +75,7 @@ def leads(spark, folder):
 
 @query("time_index", f"WITH {PANEL_SQL} SELECT {KEY}, CAST(date - (SELECT min(date) FROM panel) AS BIGINT) AS time_idx FROM panel")
 def index(spark, folder):
-    return S.time_index(panel(spark, folder)).select("hospital_id", "date", "time_idx")
+    return S.time_index(stored_panel(spark, folder)).select("hospital_id", "date", "time_idx")
 
 
 @query("running_number", f"""WITH {PANEL_SQL}
@@ -96,7 +96,7 @@ grid AS (SELECT h.hospital_id, CAST(d.d AS DATE) AS date FROM (SELECT DISTINCT h
 SELECT g.hospital_id::BIGINT AS hospital_id, CAST(g.date AS VARCHAR) AS date, coalesce(admissions, 0) AS admissions, coalesce(aqi, -1) AS aqi
 FROM grid g LEFT JOIN panel p ON p.hospital_id = g.hospital_id AND p.date = g.date""")
 def dense(spark, folder):
-    grid = P.dense_calendar(panel(spark, folder).select("hospital_id", "date", "admissions", "aqi"))
+    grid = P.dense_calendar(stored_panel(spark, folder).select("hospital_id", "date", "admissions", "aqi"))
     return grid.select("hospital_id", "date", F.coalesce("admissions", F.lit(0).cast("bigint")).alias("admissions"), F.coalesce("aqi", F.lit(-1.0)).alias("aqi"))
 
 

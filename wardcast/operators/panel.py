@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardcast.functions.calendar import weekday_of, yearly_wave
+from wardcast.functions.fixed import fixed_row
 from wardcast.functions.scalars import flag
 
 
@@ -22,11 +23,8 @@ def dense_calendar(df: DataFrame, entity: Sequence[str] = ("hospital_id",), time
 
     Each entity generates its own days, so nothing is joined to build the grid.
     """
-    span = df.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).select(F.struct("lo", "hi")).scalar()
-    grid = (
-        df.select(*entity).distinct().withColumn("__span", span)
-        .select(*entity, F.explode(F.sequence("__span.lo", "__span.hi")).alias(time))
-    )
+    span = fixed_row(df.agg(F.min(time).alias("lo"), F.max(time).alias("hi")))
+    grid = df.select(*entity).distinct().select(*entity, F.explode(F.sequence(span["lo"], span["hi"])).alias(time))
     return grid.join(df, [*entity, time], "left")
 
 

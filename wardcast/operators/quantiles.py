@@ -2,9 +2,11 @@
 
 The built-in exact ``percentile`` merges every distinct value of a group in one task. Here a
 first pass counts rows per monotone logarithmic bucket (map-side combined, so the shuffle
-carries bucket counts only), running counts then name the few buckets that hold the wanted
-ranks, and a second pass orders the values of just those buckets. No group is collected, no
-value is approximated: the result is the linear interpolation between closest ranks.
+carries bucket counts only), and running counts name the few buckets that hold the wanted
+ranks. A bucket that still holds too many rows is divided evenly between its smallest and largest
+value, as often as needed; a last pass orders the values of the remaining buckets. No group is
+collected and no value is approximated: the result is the linear interpolation between closest
+ranks.
 """
 
 from __future__ import annotations
@@ -14,17 +16,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wardcast.functions.fixed import fixed_row
+from wardcast.functions.fixed import fixed_row, literal
+from wardcast.session import via_table
 
 #: Buckets per unit of ln(1+|v|); neighbouring buckets differ by 0.024 %.
 RESOLUTION = float(2 ** 12)
+#: Rows that one bucket may hold when its values are ordered.
+ORDERABLE = 2_000_000
+#: Parts of a bucket that is divided. Five rounds separate any two doubles.
+PARTS = 4096
 
 
 def _bucket(value: Column) -> Column:
     return F.coalesce(F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(RESOLUTION)), F.lit(0))
 
 
+def _settled(hit: DataFrame, grouped: bool) -> tuple[DataFrame, int]:
+    """The chosen buckets as data that is not computed again, and the rows of the fullest one."""
+    if grouped:
+        stored = via_table(hit, "buckets")
+        return stored, stored.agg(F.max(F.when(F.col("lo") < F.col("hi"), F.col("c")))).first()[0] or 0
+    # at most two buckets per metric and probability
+    rows = hit.collect()
+    known = hit.sparkSession.range(1).select(F.inline(literal(rows, T.ArrayType(hit.schema))))
+    return F.broadcast(known), max((r["c"] for r in rows if r["lo"] < r["hi"]), default=0)
+
+
 def quantiles(
     df: DataFrame,
     columns: dict[str, Column],
@@ -38,29 +57,40 @@ def quantiles(
     by = list(by)
     group = [*by, "metric"]
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), c.cast("double").alias("v")) for m, c in columns.items()])
+    levels = F.array(*[F.lit(float(p)) for p in probs])
+    top = F.col("n") - 1
+    ranks = F.array_distinct(F.flatten(F.transform(levels, lambda p: F.array(F.floor(top * p), F.ceil(top * p)))))
+    here = F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("upto")))
+    counts = [F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+
+    def chosen(buckets: DataFrame, upto: Column, n: Column) -> tuple[DataFrame, int]:
+        ranged = buckets.select(*group, "b", "c", "lo", "hi", upto.alias("upto"), n.alias("n"))
+        return _settled(
+            ranged.withColumn("before", F.col("upto") - F.col("c")).where(F.size(here) > 0).drop("upto"), bool(by)
+        )
+
     values = (
         df.select(*by, F.inline(pairs))
         .where(F.col("v").isNotNull() & ~F.isnan("v"))
         .withColumn("b", _bucket(F.col("v")))
     )
-    levels = F.array(*[F.lit(float(p)) for p in probs])
-    top = F.col("n") - 1
-    ranks = F.array_distinct(F.flatten(F.transform(levels, lambda p: F.array(F.floor(top * p), F.ceil(top * p)))))
-    here = F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("upto")))
     whole = W.partitionBy(*group)
-    hit = (
-        values.groupBy(*group, "b")
-        .agg(F.count("*").alias("c"))
-        .select(*group, "b", "c", F.sum("c").over(whole.orderBy("b")).alias("upto"), F.sum("c").over(whole).alias("n"))
-        .select(*group, "b", "n", "upto", (F.col("upto") - F.col("c")).alias("before"))
-        .where(F.size(here) > 0)
-        .select(*group, "b", "n", "before")
-    )
-    if not by:
-        # at most two buckets per metric and probability
-        hit = F.broadcast(hit)
+    first = values.groupBy(*group, "b").agg(*counts)
+    hit, fullest = chosen(first, F.sum("c").over(whole.orderBy("b")), F.sum("c").over(whole))
+    for _ in range(5):
+        if fullest <= ORDERABLE:
+            break
+        part = F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * F.lit(float(PARTS)))
+        values = values.join(hit.drop("c"), [*group, "b"]).select(
+            *group, "v", "n", "before", F.col("b").alias("outer"), (F.col("b") * (PARTS + 1) + part).alias("b")
+        )
+        divided = values.groupBy(*group, "n", "before", "outer", "b").agg(*counts)
+        running = F.sum("c").over(W.partitionBy(*group, "outer").orderBy("b"))
+        values = values.select(*group, "v", "b")
+        hit, fullest = chosen(divided, F.col("before") + running, F.col("n"))
+
     found = (
-        values.join(hit, [*group, "b"])
+        values.join(hit.select(*group, "b", "n", "before"), [*group, "b"])
         .groupBy(*group, "b", "n", "before", "v")
         .agg(F.count("*").alias("c"))
         .withColumn("upto", F.col("before") + F.sum("c").over(W.partitionBy(*group, "b").orderBy("v")))

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardcast.fixed_values import DEFAULT_ADMISSIONS
+from wardcast.functions.fixed import fixed_row
 from wardcast.functions.scalars import round_half
 
 
@@ -112,7 +113,7 @@ def lead_covariates(
 
 def time_index(df: DataFrame, time: str = "date") -> DataFrame:
     """Days since the first day of the table."""
-    start = df.select(F.min(time)).scalar()
+    start = fixed_row(df.agg(F.min(time).alias("start")))["start"]
     return df.withColumn("time_idx", F.datediff(F.col(time), start))
 
 
