@@ -33,6 +33,8 @@ def test_plain_city_files_and_a_bad_one(spark, folder, tmp_path):
 def test_one_folder_per_city(spark, folder):
     base = _panel_files(spark, folder)
     picked = R.scan_all_entities(spark, base, cities=["Asia", "europe"])
+    with pytest.raises(AnalysisException):
+        R.scan_entity_csv(spark, base, "sia")
     assert {r["city"] for r in picked.select("city").distinct().collect()} == {"Asia", "Europe"}
 
 

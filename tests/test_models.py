@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from wardcast.fixed_values import FEATURES
 from wardcast.operators import models as L
 from wardcast.operators.metrics import quantile_hit_rate, regression_metrics
-from wardcast.plans.tables import lagged_panel
+from wardcast.plans.requests import checked_requests, forecast_requests, plan_requests
+from wardcast.plans.tables import lagged_panel, plan_parts
 from wardcast.plans.training import forecast, train_global
 from wardcast.session import scratch_path, via_table
 
@@ -71,3 +72,21 @@ def test_training_end_to_end(spark, folder):
     done = forecast(models, models.data)
     assert done.count() == panel.count()
     assert done.where("lower > median OR median > upper").count() == 0
+
+
+def test_requests_to_plans(spark, folder, tmp_path):
+    """Request files, checks, forecasts with the trained models, alerts and plans."""
+    panel = via_table(lagged_panel(spark, folder), "panel")
+    models = train_global(panel, iterations=2, depth=2)
+    rows = panel.withColumns({
+        "request_id": F.concat_ws("/", F.col("hospital_id").cast("string"), F.date_format("date", "yyyy")),
+        "mode": F.when(F.col("hospital_id") == 3, F.lit("wrong")).otherwise(F.lit("tft")), "weight_tft": F.lit(0.5), "disease_sensitivity": F.lit(0.9),
+    })
+    good, bad = checked_requests(rows)
+    assert good.count() + bad.count() == rows.count() and bad.where("hospital_id <> 3").count() == 0 and bad.count() > 0
+    bands = forecast_requests(good, models)
+    assert bands.count() == good.count() and bands.where("median IS NULL OR lower IS NULL").count() == 0
+    parts = plan_parts(good)
+    plans = plan_requests(bands, *parts, F.to_timestamp(F.lit("2025-01-01 00:00:00")))
+    assert plans.count() == good.count()
+    assert plans.select("plan.requestId").distinct().count() == good.count()

@@ -140,6 +140,41 @@ def modes(spark, folder):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+REQUESTS_SQL = FORECAST_SQL + """,
+req AS (SELECT *, hospital_id || '/' || strftime(date, '%Y-%m') AS request, CASE hospital_id % 3 WHEN 0 THEN 'xgb' WHEN 1 THEN 'tft' ELSE 'ensemble' END AS mode,
+  CASE WHEN hospital_id % 2 = 0 THEN 0.6 ELSE 0.25 END::DOUBLE AS w FROM pred)"""
+_BLEND = "(w * second + (CAST(1.0 AS DOUBLE) - w) * q50)"
+_SINGLE = f"""SELECT mode, {KEY}, round(least(q10, q50 - 1e-6), 6) AS lower, round(CASE mode WHEN 'tft' THEN {_BLEND} ELSE q50 END, 6) AS median, round(greatest(q90, q50 + 1e-6), 6) AS upper FROM widened WHERE mode <> 'ensemble'"""
+_BOTH = f"""SELECT mode, {KEY}, round(lower, 6) AS lower, round(median, 6) AS median, round(upper, 6) AS upper FROM banded WHERE mode = 'ensemble'"""
+
+
+@query("score_requests", f"""WITH {REQUESTS_SQL}{scaled_sql('req', 'request')}{widened_sql(0.5)} {_SINGLE}
+UNION ALL SELECT * FROM (WITH {REQUESTS_SQL}{scaled_sql('req', 'request')}{widened_sql()}{ENSEMBLE.replace(blend(), _BLEND)} {_BOTH})""")
+def requests(spark, folder):
+    """Each hospital and month is a request with its own mode and weight."""
+    from wardcast.plans.requests import score_requests
+
+    h = F.col("hospital_id")
+    raw = stored_forecast(spark, folder).withColumns({
+        "request": F.concat_ws("/", h.cast("string"), F.date_format("date", "yyyy-MM")),
+        "mode": F.when(h % 3 == 0, F.lit("xgb")).when(h % 3 == 1, F.lit("tft")).otherwise(F.lit("ensemble")),
+        "weight_tft": F.when(h % 2 == 0, F.lit(0.6)).otherwise(F.lit(0.25)),
+    })
+    done = score_requests(raw, ["request"])
+    return done.select("mode", "hospital_id", "date", *[F.round(c, 6).alias(c) for c in ("lower", "median", "upper")])
+
+
+@query("evaluate_forecast", f"""WITH {FORECAST_SQL}, t AS (SELECT quantile_cont(y, 0.75) AS p75 FROM pred), s AS (SELECT * FROM pred, t WHERE y > p75)
+SELECT count(*) AS n_rows, round(avg(abs(y - second)), 6) AS mae, round(sqrt(avg((y - second) * (y - second))), 6) AS rmse, round(1 - avg((y - second) * (y - second)) / var_pop(y), 6) AS r2,
+  round((1 - avg(abs(y - second)) / avg(y)) * 100, 6) AS accuracy, round(avg(CASE WHEN y BETWEEN q10 AND q90 THEN 1.0 ELSE 0.0 END) * 100, 2) AS coverage_pct,
+  (SELECT count(*) FROM s) AS n_spikes, (SELECT round(avg(abs(y - second)), 6) FROM s) AS spike_mae, (SELECT round(sqrt(avg((y - second) * (y - second))), 6) FROM s) AS spike_rmse,
+  (SELECT round(avg(CASE WHEN second < y THEN 1.0 ELSE 0.0 END) * 100, 6) FROM s) AS underprediction_pct, (SELECT round(p75, 6) FROM t) AS threshold FROM pred""")
+def evaluate(spark, folder):
+    done = M.evaluate_forecast(stored_forecast(spark, folder), "y", "second", "q10", "q90")
+    six = ("mae", "rmse", "r2", "accuracy", "spike_mae", "spike_rmse", "underprediction_pct", "threshold")
+    return done.withColumns({c: F.round(c, 6) for c in six})
+
+
 # ---- evaluation -------------------------------------------------------------------------
 
 PRED = "pred"

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardcast.fixed_values import ALERT_LEVELS, MODES, TRAINING_COLUMNS, URGENCIES
 from wardcast.functions.scalars import number_or_zero, present_items
@@ -28,7 +29,8 @@ def column_audit(df: DataFrame, required: Sequence[str] = tuple(TRAINING_COLUMNS
     present = [c for c in required if c in df.columns]
     cells = []
     for c in present:
-        number = F.col(c).cast("string").try_cast("double")
+        kind = df.schema[c].dataType
+        number = F.col(c).try_cast("double") if isinstance(kind, (T.NumericType, T.StringType)) else F.lit(None).cast("double")
         cells += [F.count(c).alias(f"{c}|filled"), F.min(number).alias(f"{c}|low"), F.max(number).alias(f"{c}|high")]
     row = df.agg(F.count("*").alias("n"), *cells)
     entries = []

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardcast.functions.fixed import fixed_row
 from wardcast.functions.scalars import is_between
 from wardcast.operators.quantiles import attach_by_batch, quantile_row
 
@@ -88,17 +89,33 @@ def adjustment_stats(df: DataFrame, column: str, by: Sequence[str] = (), exact_t
     return attach_by_batch(base, tail, "__t", by).withColumn("p95_value", F.col("__t.v.q")[0]).drop("__t")
 
 
-def profile_panel(df: DataFrame, entity: str = "hospital_id", city: str = "city", time: str = "date") -> DataFrame:
+def profile_panel(
+    df: DataFrame, entity: str = "hospital_id", city: str = "city", time: str = "date", approximate: bool = False
+) -> DataFrame:
     """Rows, date range, city count and entity count.
 
-    Distinct values are reduced before they are counted, so nothing unbounded is collected.
+    Distinct values are reduced before they are counted, so nothing unbounded is collected;
+    ``approximate`` counts them with a fixed-size sketch and without a shuffle of the values.
     """
+    if approximate:
+        distinct = [F.approx_count_distinct(c).alias(n) for c, n in ((city, "n_cities"), (entity, "n_hospitals"))]
+        return df.agg(F.count("*").alias("n_rows"), F.min(time).alias("first_date"), F.max(time).alias("last_date"), *distinct)
     return df.agg(
         F.count("*").alias("n_rows"), F.min(time).alias("first_date"), F.max(time).alias("last_date"),
         F.countDistinct(city).alias("n_cities"), F.countDistinct(entity).alias("n_hospitals"),
     )
 
 
+def evaluate_forecast(df: DataFrame, target: str = "y", prediction: str = "median", low: str = "lower", high: str = "upper") -> DataFrame:
+    """One row with unrounded metrics, band coverage and spike quality of a scored table."""
+    overall = regression_metrics(df, target, prediction, raw=True)
+    cover = quantile_coverage(df, target, low, high).select("coverage_pct")
+    spikes = fixed_row(spike_metrics(df, target, prediction))
+    return overall.select("*", fixed_row(cover)["coverage_pct"].alias("coverage_pct"), spikes.alias("s")).select(
+        *overall.columns, "coverage_pct", "s.*"
+    )
+
+
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     """The distinct values of a column as rows, with their row counts."""
     return df.groupBy(column).agg(F.count("*").alias("n_rows"))

@@ -26,22 +26,30 @@ def _csv(spark: SparkSession, schema: T.StructType, skip_bad: bool):
     )
 
 
+def _city_glob(base: str, layout: str, cities: Sequence[str] | None = None) -> str:
+    """Files ``<city>_<layout>.csv`` or the folders that ``sink_csv_by_entity`` writes."""
+    names = "*" if cities is None else "{file=,}{" + ",".join(c.lower() for c in cities) + "}"
+    return f"{base.rstrip('/')}/{names}_{layout}.csv"
+
+
 def scan_entity_csv(spark: SparkSession, base: str, city: str) -> DataFrame:
     """One city's panel; a missing file is an error."""
-    return _csv(spark, PANEL, False).csv(f"{base.rstrip('/')}/*{city.lower()}_xgb.csv")
+    return _csv(spark, PANEL, False).csv(_city_glob(base, "xgb", [city]))
 
 
 def scan_all_entities(
     spark: SparkSession, base: str, cities: Sequence[str] | None = None, skip_bad: bool = True
 ) -> DataFrame:
-    """All panels below ``base``, the city taken from the file name; files of another layout are skipped."""
-    df = _with_city(_csv(spark, PANEL, skip_bad).csv(f"{base.rstrip('/')}/*_xgb.csv"), "xgb")
-    return df if cities is None else df.where(F.lower("city").isin([c.lower() for c in cities]))
+    """All panels below ``base`` in one read, the city taken from the file name.
+
+    With ``cities`` only their files are listed; absent ones and files of another layout are skipped.
+    """
+    return _with_city(_csv(spark, PANEL, skip_bad).csv(_city_glob(base, "xgb", cities)), "xgb")
 
 
 def scan_forecast_layout(spark: SparkSession, base: str) -> DataFrame:
     """All panels with known covariates, the city taken from the file name."""
-    return _with_city(_csv(spark, FORECAST_PANEL, False).csv(f"{base.rstrip('/')}/*_tft.csv"), "tft")
+    return _with_city(_csv(spark, FORECAST_PANEL, False).csv(_city_glob(base, "tft")), "tft")
 
 
 def _with_city(df: DataFrame, layout: str) -> DataFrame:
