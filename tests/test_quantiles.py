@@ -26,7 +26,7 @@ def test_small_tables(spark, values):
     check(quantiles(frame(spark, values), {"v": F.col("v")}, PROBS).first(), values)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-1e6, 1e6, allow_nan=False), min_size=1, max_size=60))
 def test_any_values(spark, values):
     check(quantiles(frame(spark, values), {"v": F.col("v")}, PROBS).first(), values)

@@ -75,19 +75,20 @@ def parse_structured(
     df: DataFrame, text: str, schema: str = MONITOR_SCHEMA, required: Sequence[str] = ("alertLevel", "riskFactors", "recommendedUrgency")
 ) -> DataFrame:
     """Add ``parsed`` (null on failure) and ``parse_status`` (raw, repaired, failed)."""
-    def whole(parsed: Column) -> Column:
+    def complete(parsed: str) -> Column:
         ok = F.lit(True)
         for field in required:
-            ok = ok & parsed[field].isNotNull()
-        return F.when(ok, parsed)
-
-    raw = whole(F.from_json(F.col(text), schema))
-    repaired = whole(F.from_json(extract_json_block(F.col(text)), schema))
-    return df.withColumns({"__raw": raw, "__repaired": repaired}).withColumns({
-        "parsed": F.coalesce("__raw", "__repaired"),
-        "parse_status": F.when(F.col("__raw").isNotNull(), F.lit("raw"))
-        .when(F.col("__repaired").isNotNull(), F.lit("repaired")).otherwise(F.lit("failed")),
-    }).drop("__raw", "__repaired")
+            ok = ok & F.col(parsed)[field].isNotNull()
+        return ok
+
+    # each text is parsed once, and searched for a block only when it is not JSON itself
+    first = df.withColumn("__raw", F.from_json(F.col(text), schema)).withColumn("__ok", complete("__raw"))
+    block = F.when(~F.col("__ok"), extract_json_block(F.col(text)))
+    second = first.withColumn("__block", block).withColumn("__fixed", F.from_json("__block", schema))
+    return second.withColumns({
+        "parsed": F.when(F.col("__ok"), F.col("__raw")).when(complete("__fixed"), F.col("__fixed")),
+        "parse_status": F.when(F.col("__ok"), F.lit("raw")).when(complete("__fixed"), F.lit("repaired")).otherwise(F.lit("failed")),
+    }).drop("__raw", "__ok", "__block", "__fixed")
 
 
 def parse_or_rule(df: DataFrame, text: str) -> DataFrame:

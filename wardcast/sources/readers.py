@@ -13,8 +13,16 @@ from wardcast.functions.scalars import sentence_case
 from wardcast.sources.schemas import FORECAST_PANEL, PANEL, RECORD, REQUEST
 
 
+_SCHEMAS: dict[tuple[str, str], T.StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """A read-only Parquet table; its footers are read for the schema once per application."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def _csv(spark: SparkSession, schema: T.StructType, skip_bad: bool):
