@@ -54,14 +54,16 @@ SELECT {KEY}, CAST(CASE WHEN y > y70 THEN 15.0 ELSE 1.0 END * CASE WHEN abs(resi
   * CASE WHEN abs(residual) > a99 THEN 2.0 ELSE 1.0 END * CASE WHEN residual > 0 THEN 1.5 ELSE 1.0 END * CASE WHEN residual > g90 THEN 1.5 ELSE 1.0 END AS DOUBLE) AS weight
 FROM res, q WHERE (SELECT count(*) FROM res, q WHERE y > y70) >= 25""")
 def weights_of_spikes(spark, folder):
-    return spike_weights(with_residual(spark, folder)).select("hospital_id", "date", "weight")
+    """No rows where there are too few spikes to weight."""
+    return spike_weights(with_residual(spark, folder)).where("weight IS NOT NULL").select("hospital_id", "date", "weight")
 
 
 @query("extreme_weights", f"""WITH {RESIDUAL_SQL}, q AS (SELECT quantile_cont(residual, 0.99) FILTER (WHERE residual > 0) AS g99 FROM res),
 r AS (SELECT *, row_number() OVER (ORDER BY residual DESC, hospital_id, date) AS n, count(*) FILTER (WHERE residual > g99) OVER () AS extremes FROM res, q)
 SELECT {KEY}, CAST(CASE WHEN n <= 5 AND extremes > 5 THEN 500 WHEN residual > g99 THEN 200 ELSE 1 END AS DOUBLE) AS weight FROM r WHERE extremes >= 10""")
 def weights_of_extremes(spark, folder):
-    return extreme_weights(with_residual(spark, folder)).select("hospital_id", "date", "weight")
+    """No rows where there are too few extremes to weight."""
+    return extreme_weights(with_residual(spark, folder)).where("weight IS NOT NULL").select("hospital_id", "date", "weight")
 
 
 @query("residual_bands", f"""WITH {RESIDUAL_SQL}, q AS (SELECT city, quantile_cont(y - second, 0.1) AS r10, quantile_cont(y - second, 0.9) AS r90 FROM pred GROUP BY 1)
