@@ -31,6 +31,15 @@ def test_matrix_has_the_fixed_order_and_no_nulls(spark, folder):
         assert m.na.drop().count() == m.count()
 
 
+def test_gaps_take_the_entitys_own_values(spark, folder):
+    p = lagged_panel(spark, folder).withColumn("wind_speed", F.when(F.col("k") % 3 == 0, F.col("wind_speed") + 1))
+    filled = feature_matrix(p, "train", fill_gaps=True)
+    known = {r[0] for r in p.where("wind_speed IS NOT NULL").select("hospital_id").distinct().collect()}
+    got = filled.groupBy("hospital_id").agg(F.min("wind_speed")).collect()
+    assert len(got) > 20 and all((low > 0) == (h in known) for h, low in got)
+    assert feature_matrix(p, "train").where("wind_speed = 0").count() == p.where("wind_speed IS NULL").count()
+
+
 def test_serve_profile_without_lags(spark, folder):
     p = panel(spark, folder)
     with_entity = features(p, "serve").where("rolling_aqi IS NOT NULL")

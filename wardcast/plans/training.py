@@ -35,13 +35,15 @@ class GlobalModels:
     data: DataFrame
 
 
-def prepare(panel: DataFrame, target: str = "admissions", profile: str = "train", ratio: float = 0.85) -> DataFrame:
+def prepare(
+    panel: DataFrame, target: str = "admissions", profile: str = "train", ratio: float = 0.85, fill_gaps: bool = True
+) -> DataFrame:
     """Feature table with its time split, written once because every tree level reads it.
 
     The cut is found on the panel's keys; the table is partitioned by the split, so reading
     the training rows skips the rest.
     """
-    matrix = feature_matrix(time_split(panel, ratio), profile, keep=["city", target, "split"])
+    matrix = feature_matrix(time_split(panel, ratio), profile, keep=["city", target, "split"], fill_gaps=fill_gaps)
     return via_table(matrix, "features", ["split"])
 
 
