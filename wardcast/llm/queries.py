@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardcast.llm import decontaminate, neardup, packing, toxicity
+from wardcast.llm import decontaminate, neardup, packing, substring, toxicity
 from wardcast.llm.text import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,9 @@ def toxic(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.fit(docs, table(spark, folder, "labels"), toxicity.train_part())
     return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+@query("op1_substring_dedup")
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring.repeated_passages(table(spark, folder, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "start", "end", F.col("ref").alias("ref_doc_id"), "ref_start", "ref_end", "common", "passage_start", "passage_end")
