@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardcast.llm import decontaminate, neardup, packing, substring, toxicity
+from wardcast.llm import decontaminate, fingerprint, language, neardup, packing, substring, toxicity
 from wardcast.llm.text import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,20 @@ def toxic(spark: SparkSession, folder: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring.repeated_passages(table(spark, folder, "documents"))
     return found.select(F.col("doc").alias("doc_id"), "start", "end", F.col("ref").alias("ref_doc_id"), "ref_start", "ref_end", "common", "passage_start", "passage_end")
+
+
+@query("op3_document_fingerprints")
+def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    found = fingerprint.edited_fingerprints(table(spark, folder, "documents"))
+    sketch, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint.as_text(sketch).alias("fingerprint"), fingerprint.as_text(edited).alias("edited_fingerprint"),
+        fingerprint.resemblance(sketch, edited).alias("near_edited"), fingerprint.resemblance(sketch, following).alias("near_next"))
+
+
+@query("op7_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language.identify(docs, language.prototypes(docs, language.train_part()))
+    return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
