@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardcast.llm import decontaminate, fingerprint, language, neardup, packing, substring, toxicity
+from wardcast.llm import decontaminate, fingerprint, language, lm, neardup, packing, substring, toxicity
 from wardcast.llm.text import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,9 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = language.identify(docs, language.prototypes(docs, language.train_part()))
     return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_lm_scoring")
+def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    found = lm.scores(table(spark, folder, "documents"), lm.train_part())
+    return found.select("doc_id", held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
