@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardcast.llm import decontaminate, fingerprint, language, lm, neardup, packing, substring, toxicity
+from wardcast.llm import chat, decontaminate, fingerprint, language, lm, neardup, packing, substring, toxicity, urls
 from wardcast.llm.text import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,66 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
 def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     found = lm.scores(table(spark, folder, "documents"), lm.train_part())
     return found.select("doc_id", held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op4_chat_formatting", r"""
+WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+size AS (SELECT DISTINCT conv_id, n, 1 + conv_id % 2 AS k FROM t),
+side AS (SELECT 'c' AS side, conv_id, p, role, text FROM t
+  UNION ALL SELECT 'r', conv_id, p, role, text FROM t JOIN size USING (conv_id, n) WHERE p <= greatest(size.n - k, 0)
+  UNION ALL SELECT 'r', s.conv_id, greatest(s.n - s.k, 0) + t.p - greatest(t.n - s.k, 0), role, text FROM size AS s JOIN t ON t.conv_id = s.conv_id + 1 WHERE t.p > t.n - s.k),
+len AS (SELECT conv_id, count(*) FILTER (WHERE side = 'c') AS nc, count(*) FILTER (WHERE side = 'r') AS nr FROM side GROUP BY conv_id),
+diff AS (SELECT c.conv_id, min(c.p) FILTER (WHERE c.role <> r.role OR c.text <> r.text) AS d FROM side AS c JOIN side AS r USING (conv_id, p) WHERE c.side = 'c' AND r.side = 'r' GROUP BY c.conv_id),
+common AS (SELECT conv_id, CASE WHEN d IS NOT NULL THEN d - 1 ELSE greatest(least(nc, nr) - 1, 0) END AS n_common FROM len LEFT JOIN diff USING (conv_id)),
+cut AS (SELECT side.*, n_common, p > n_common AS tail, 13 + length(role) + length(text) AS size,
+  sum(13 + length(role) + length(text)) OVER (PARTITION BY conv_id, side, p > n_common ORDER BY p) AS upto, concat('<|', role, '|>', chr(10), text, '<|end|>', chr(10)) AS turn FROM side JOIN common USING (conv_id)),
+parts AS (SELECT conv_id, side, tail, string_agg(turn, '' ORDER BY p) AS txt, string_agg(concat(CAST(upto - length(text) - 8 AS BIGINT), '-', CAST(upto AS BIGINT)), ',' ORDER BY p) FILTER (WHERE role = 'assistant') AS mask FROM cut GROUP BY ALL)
+SELECT conv_id, CAST(n_common AS BIGINT) AS n_common, coalesce(pr.txt, '') AS prompt, coalesce(c.txt, '') AS chosen_text, coalesce(r.txt, '') AS rejected_text,
+  coalesce(c.mask, '') AS chosen_mask, coalesce(r.mask, '') AS rejected_mask, coalesce(c.txt, '') = coalesce(r.txt, '') AS same
+FROM common LEFT JOIN (FROM parts WHERE side = 'c' AND NOT tail) AS pr USING (conv_id) LEFT JOIN (FROM parts WHERE side = 'c' AND tail) AS c USING (conv_id) LEFT JOIN (FROM parts WHERE side = 'r' AND tail) AS r USING (conv_id)""")
+def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """Chosen is a conversation; rejected is the same with its last one or two turns replaced by the last ones of the next conversation."""
+    all_ = chat.conversations(table(spark, folder, "conversations"))
+    following = all_.select((F.col("conv_id") - 1).alias("conv_id"), F.col("turns").alias("other"))
+    k = (1 + F.col("conv_id") % 2).cast("int")
+    last = F.slice("other", F.greatest(F.size("other") - k, F.lit(0)) + 1, k)
+    kept = F.slice("turns", F.lit(1), F.greatest(F.size("turns") - k, F.lit(0)))
+    pairs = all_.join(following, "conv_id", "left").select("conv_id", F.col("turns").alias("chosen"), F.when(F.col("other").isNull(), kept).otherwise(F.concat(kept, last)).alias("rejected"))
+    spans = {c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["first"], x["last"])), ",") for c in ("chosen_mask", "rejected_mask")}
+    return chat.preference_pairs(pairs).withColumns(spans).withColumn("n_common", F.col("n_common").cast("bigint"))
+
+
+@query("op8_url_filters", r"""
+WITH page AS (SELECT page_id, DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS fetched,
+    lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.\-]*://', ''), '[/?#\\].*$', ''), '^.*@', ''), '(:[0-9]*)?$', ''), '\.$', '')) AS h FROM pages),
+cap AS (SELECT page_id, fetched, CASE WHEN length(h) > 0 THEN h END AS host FROM page),
+seen AS (SELECT host AS pattern, min(page_id) AS m FROM cap WHERE host IS NOT NULL GROUP BY host),
+up AS (SELECT regexp_replace(host, '^[^.]*\.', '') AS pattern, min(page_id) AS m FROM cap WHERE len(string_split(host, '.')) > 3 GROUP BY 1),
+entry AS (SELECT 'block' AS list, pattern, m % 200 AS day, 'add' AS action FROM seen WHERE m % 3 = 0
+  UNION ALL SELECT 'block', pattern, m % 200 + 60, 'remove' FROM seen WHERE m % 6 = 0
+  UNION ALL SELECT 'block', pattern, m % 200 + 120, 'add' FROM seen WHERE m % 12 = 0
+  UNION ALL SELECT 'allow', pattern, m % 300, 'add' FROM seen WHERE m % 5 = 0
+  UNION ALL SELECT 'block', pattern, m % 100, 'add' FROM up WHERE m % 4 = 1),
+span AS (SELECT list, pattern, day, action, lead(day) OVER (PARTITION BY list, pattern ORDER BY day) AS until FROM entry),
+part AS (SELECT page_id, fetched, array_to_string(w[i:], '.') AS pattern FROM (SELECT page_id, fetched, string_split(host, '.') AS w, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM cap WHERE host IS NOT NULL)),
+found AS (SELECT page_id, list, pattern, DATE '2024-01-01' + CAST(day AS INTEGER) AS first_day, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, list, pattern DESC, day DESC) AS r
+  FROM part JOIN span USING (pattern) WHERE action = 'add' AND fetched - DATE '2024-01-01' >= day AND (until IS NULL OR fetched - DATE '2024-01-01' < until))
+SELECT page_id, CASE WHEN list = 'block' THEN 'drop' ELSE 'keep' END AS verdict, list, pattern, CAST(first_day AS VARCHAR) AS first_day FROM cap LEFT JOIN (FROM found WHERE r = 1) USING (page_id)""")
+def url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages count as fetched on day page_id % 365 of 2024; the dated lists are derived from the hosts seen, by their first page's number."""
+    captures = table(spark, folder, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 365).cast("int")).alias("fetched"))
+    hosts = captures.select("page_id", urls.host_of(F.col("url")).alias("host")).where("host is not null")
+    seen = hosts.groupBy(F.col("host").alias("pattern")).agg(F.min("page_id").alias("m"))
+    up = hosts.where(F.size(F.split("host", r"\.")) > 3).groupBy(F.regexp_replace("host", r"^[^.]*\.", "").alias("pattern")).agg(F.min("page_id").alias("m"))
+
+    def entries(rows: DataFrame, where: str, list_: str, day: str, action: str) -> DataFrame:
+        return rows.where(where).select(F.lit(list_).alias("list"), "pattern", F.date_add(F.lit("2024-01-01").cast("date"), F.expr(day).cast("int")).alias("day"), F.lit(action).alias("action"))
+
+    dated = [entries(seen, "m % 3 = 0", "block", "m % 200", "add"), entries(seen, "m % 6 = 0", "block", "m % 200 + 60", "remove"), entries(seen, "m % 12 = 0", "block", "m % 200 + 120", "add"),
+             entries(seen, "m % 5 = 0", "allow", "m % 300", "add"), entries(up, "m % 4 = 1", "block", "m % 100", "add")]
+    every = dated[0]
+    for d in dated[1:]:
+        every = every.unionByName(d)
+    found = urls.judged(captures, every)
+    return found.select("page_id", "decision.verdict", "decision.list", "decision.pattern", F.col("decision.first_day").cast("string").alias("first_day"))
