@@ -6,8 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from wardcast.catalog import all_queries, all_sql
 
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, SQL = all_queries(), all_sql()
 KINDS = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
 
 
@@ -43,5 +44,6 @@ def test_query_equals_its_sql(spark, duck, folder, name):
 
 
 def test_registry_is_complete(spark):
-    assert set(SQL) <= set(QUERIES) and len(QUERIES) > 130
+    assert set(SQL) == set(QUERIES) and len(QUERIES) > 150
+    assert set(QUERIES) <= set(entry_points.queries()) and set(SQL) <= set(entry_points.oracle_sql())
     assert entry_points.entry(spark).count() > 0

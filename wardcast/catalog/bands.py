@@ -135,16 +135,16 @@ SELECT 'xgb' AS mode, {KEY}, round(least(q10, q50 - 1e-6), 6) AS lower, round(q5
 UNION ALL SELECT 'tft', {KEY}, round(least(q10, q50 - 1e-6), 6), round({blend()}, 6), round(greatest(q90, q50 + 1e-6), 6) FROM widened
 UNION ALL SELECT * FROM (WITH {FORECAST_SQL}{scaled_sql()}{widened_sql()}{ENSEMBLE} SELECT 'ensemble', {KEY}, round(lower, 6), round(median, 6), round(upper, 6) FROM banded)""")
 def modes(spark, folder):
-    stored = stored_forecast(spark, folder)
-    parts = [_six(B.score_mode(stored, m), "lower", "median", "upper").withColumn("mode", F.lit(m)) for m in ("xgb", "tft", "ensemble")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    done = B.score_modes(stored_forecast(spark, folder))
+    return done.select("mode", "hospital_id", "date", *[F.round(c, 6).alias(c) for c in ("lower", "median", "upper")])
 
 
 REQUESTS_SQL = FORECAST_SQL + """,
 req AS (SELECT *, hospital_id || '/' || strftime(date, '%Y-%m') AS request, CASE hospital_id % 3 WHEN 0 THEN 'xgb' WHEN 1 THEN 'tft' ELSE 'ensemble' END AS mode,
   CASE WHEN hospital_id % 2 = 0 THEN 0.6 ELSE 0.25 END::DOUBLE AS w FROM pred)"""
 _BLEND = "(w * second + (CAST(1.0 AS DOUBLE) - w) * q50)"
-_SINGLE = f"""SELECT mode, {KEY}, round(least(q10, q50 - 1e-6), 6) AS lower, round(CASE mode WHEN 'tft' THEN {_BLEND} ELSE q50 END, 6) AS median, round(greatest(q90, q50 + 1e-6), 6) AS upper FROM widened WHERE mode <> 'ensemble'"""
+_FIXED = _BLEND.replace("w", "CAST(0.6 AS DOUBLE)")
+_SINGLE = f"""SELECT mode, {KEY}, round(least(q10, q50 - 1e-6), 6) AS lower, round(CASE mode WHEN 'tft' THEN {_FIXED} ELSE q50 END, 6) AS median, round(greatest(q90, q50 + 1e-6), 6) AS upper FROM widened WHERE mode <> 'ensemble'"""
 _BOTH = f"""SELECT mode, {KEY}, round(lower, 6) AS lower, round(median, 6) AS median, round(upper, 6) AS upper FROM banded WHERE mode = 'ensemble'"""
 
 

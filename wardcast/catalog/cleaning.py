@@ -111,7 +111,7 @@ def fill(spark, folder):
     return fill_forward_back_zero(gaps, ["aqi", "rainfall"])
 
 
-_MISSING = [c for c in FEATURES if c not in ("aqi", "temp", "humidity", "weekday")][:6]
+_MISSING = [c for c in FEATURES if c not in ("aqi", "temp", "humidity", "weekday")]
 
 
 @query("add_missing_as_zero", f"""WITH {PANEL_SQL}

@@ -115,16 +115,16 @@ def matrix(spark, folder):
     return parts[0].unionByName(parts[1])
 
 
-_CONTINUOUS = [c for c in ("lag_1_admissions", "rolling_14_admissions", "aqi", "temp", "humidity", "rainfall", "weekday", "temp_humidity", "aqi_temp") if c not in UNSCALED_FEATURES]
+_CONTINUOUS = [c for c in FEATURES if c not in UNSCALED_FEATURES]
+_FULL = ", ".join(f"CAST({TRAIN.get(c, c)} AS DOUBLE) AS {c}" for c in _CONTINUOUS)
 
 
-@query("scale_features", f"""WITH {LAGGED_SQL},
-f AS (SELECT *, temp * humidity AS temp_humidity, aqi * temp AS aqi_temp FROM lagged),
+@query("scale_features", f"""WITH {LAGGED_SQL}, f AS (SELECT hospital_id, date, festival_flag, {_FULL} FROM lagged),
 m AS (SELECT {', '.join(f'avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}' for c in _CONTINUOUS)} FROM f)
 SELECT {KEY}, CAST(festival_flag AS BIGINT) AS festival_flag, {', '.join(f'round(({c} - m_{c}) / s_{c}, 6) AS {c}' for c in _CONTINUOUS)} FROM f, m""")
 def scaled(spark, folder):
     df = features(via_table(lagged_panel(spark, folder), "panel"))
-    done = scale_features(df.select("hospital_id", "date", "festival_flag", *_CONTINUOUS))
+    done = scale_features(df.select("hospital_id", "date", "festival_flag", *[F.col(c).cast("double").alias(c) for c in _CONTINUOUS]))
     return done.withColumns({c: F.round(c, 6) for c in _CONTINUOUS})
 
 

@@ -8,15 +8,15 @@ from wardcast.catalog.registry import query
 from wardcast.functions.fixed import fixed_row
 from wardcast.operators.bands import score_mode
 from wardcast.operators.clean import derive_entity_id
-from wardcast.operators.decide import alert_digest, assemble_plan, monitored
+from wardcast.operators.decide import alert_digest, assemble_plan, monitored, plan_gaps
 from wardcast.operators.windows import lead_covariates, time_index
 from wardcast.plans.tables import (
     FORECAST_SQL, LAGGED_SQL, MONITORED_SQL, PANEL_SQL, lagged_panel, panel, plan_parts, raw_forecast, stored_forecast, stored_panel,
 )
 from wardcast.session import scratch_path, via_table
 from wardcast.sources.readers import (
-    payload_defaults, records_of, restamp_forecast_date, scan_all_entities, scan_entity_csv, scan_flat_csv,
-    scan_forecast_layout, scan_json_payload, table,
+    payload_defaults, records_of, request_rejects, restamp_forecast_date, scan_all_entities, scan_entity_csv, scan_flat_csv,
+    scan_forecast_layout, scan_json_payload, scan_rejects, table,
 )
 from wardcast.sources.schemas import FORECAST_PANEL, PANEL, RECORD
 from wardcast.sources.writers import prediction_records, sink_csv_by_entity, sink_plan_json
@@ -104,6 +104,85 @@ def scan_payload(spark, folder):
         "mode", "weight_tft", "hospital_id", "disease_sensitivity", "date", "admissions", "aqi", "rainfall", "staff_count")
 
 
+def _panel_rows(spark, folder):
+    return lagged_panel(spark, folder).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PANEL])
+
+
+@query("scan_rejects", f"""WITH {LAGGED_SQL},
+ok AS (SELECT count(*) AS n FROM lagged), bad AS (SELECT count(*) AS n FROM lagged WHERE city = 'ASIA' AND k % 2 = 0)
+SELECT 'unreadable rows' AS reason, 1::BIGINT AS files, (SELECT n FROM bad) AS rows, (SELECT n FROM ok) AS loaded
+UNION ALL SELECT 'no row in the expected layout', 1, 0, (SELECT n FROM ok)""")
+def rejects(spark, folder):
+    """Beside the cities: a file whose dates are no dates in some rows, and one of another layout."""
+    base = _panel_files(spark, folder)
+    asia = lagged_panel(spark, folder).where("city = 'ASIA' and k % 2 = 0").select(
+        *[(F.lit("someday") if f.name == "date" else F.col(f.name).cast(f.dataType)).alias(f.name) for f in PANEL])
+    asia.coalesce(1).write.option("header", True).csv(f"{base}/broken_xgb.csv")
+    _panel_rows(spark, folder).select("date", "city").coalesce(1).write.option("header", True).csv(f"{base}/other_xgb.csv")
+    found = scan_rejects(spark, base).groupBy("reason").agg(F.countDistinct("file").alias("files"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+    return found.withColumn("loaded", F.lit(scan_all_entities(spark, base).count()))
+
+
+_KINDS = """CASE hospital_id % 6 WHEN 0 THEN 'no readable data' WHEN 1 THEN 'not JSON' WHEN 2 THEN 'missing columns: aqi, rainfall' ELSE 'good' END"""
+
+
+def request_files(spark, folder):
+    """One request per hospital and month, at most 31 records; by hospital some have no data, are cut off, or lack columns; good ones start with blank lines."""
+    path = scratch_path(spark, "requests")
+    record = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RECORD])
+    h = F.col("hospital_id") % 6
+    months = panel(spark, folder).groupBy("hospital_id", F.trunc("date", "month").alias("month")).agg(F.sort_array(F.collect_list(record)).alias("data"))
+    whole = F.to_json(F.struct(F.when(F.col("hospital_id") % 2 == 0, F.lit("xgb")).alias("mode"), F.col("month").cast("string").alias("disease"), "data"))
+    lacking = F.to_json(F.struct(F.transform("data", lambda r: r.dropFields("aqi", "rainfall")).alias("data"), F.concat_ws("/", "hospital_id", "month").alias("request_id")))
+    text = (
+        F.when(h == 0, F.concat(F.lit('{"request_id": "'), F.concat_ws("/", "hospital_id", "month"), F.lit('", "data": []}')))
+        .when(h == 1, F.left(whole, F.length(whole) - 3)).when(h == 2, lacking).otherwise(F.concat(F.lit(" \t"), whole))
+    )
+    months.select(text).write.text(path)
+    return path
+
+
+@query("request_rejects", f"""WITH {PANEL_SQL}, months AS (SELECT DISTINCT hospital_id, date_trunc('month', date) AS month FROM panel)
+SELECT {_KINDS} AS reason, count(*) AS requests FROM months GROUP BY 1""")
+def rejected_requests(spark, folder):
+    """Good and rejected requests together are all requests."""
+    path = request_files(spark, folder)
+    bad = request_rejects(spark, path).groupBy("reason").agg(F.count("*").alias("requests"))
+    good = scan_json_payload(spark, path).agg(F.lit("good").alias("reason"), F.countDistinct("request_id").alias("requests")).where("requests > 0")
+    return bad.unionByName(good)
+
+
+@query("request_lags", f"""WITH {PANEL_SQL}, good AS (SELECT *, row_number() OVER (PARTITION BY hospital_id, date_trunc('month', date) ORDER BY date) - 1 AS position FROM panel WHERE hospital_id % 6 > 2),
+lags AS (SELECT *, lag(admissions, 1) OVER w AS a, lag(admissions, 7) OVER w AS b, first_value(admissions) OVER w AS f, avg(admissions) OVER (w ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS r
+  FROM good WINDOW w AS (PARTITION BY hospital_id, date_trunc('month', date) ORDER BY date))
+SELECT CAST(date AS VARCHAR) AS date, position::BIGINT AS position, admissions, aqi, CAST(coalesce(a, f) AS DOUBLE) AS lag_1_admissions, CAST(coalesce(b, f) AS DOUBLE) AS lag_7_admissions, round(r, 6) AS rolling_14_admissions FROM lags""")
+def lags_of_requests(spark, folder):
+    """No request names a hospital, so all share the default one; lags stay within each request."""
+    from wardcast.plans.requests import request_lags
+
+    done = request_lags(scan_json_payload(spark, request_files(spark, folder)))
+    return done.select("date", "position", "admissions", "aqi", "lag_1_admissions", "lag_7_admissions", F.round("rolling_14_admissions", 6).alias("rolling_14_admissions"))
+
+
+@query("sink_written_twice", f"""WITH {LAGGED_SQL} SELECT lower(city) AS city, count(*) AS n_rows FROM lagged GROUP BY 1""")
+def sink_twice(spark, folder):
+    """A city file written again replaces the first; the others stay."""
+    base = _panel_files(spark, folder)
+    sink_csv_by_entity(_panel_rows(spark, folder).where("city = 'ASIA'"), base)
+    return scan_all_entities(spark, base).groupBy(F.lower("city").alias("city")).agg(F.count("*").alias("n_rows"))
+
+
+@query("plan_gaps", f"""WITH {PANEL_SQL} SELECT count(*) AS plans, CAST(count(*) FILTER (WHERE k % 7 = 0) AS BIGINT) AS no_staffing,
+CAST(count(*) FILTER (WHERE k % 11 = 0) AS BIGINT) AS no_supplies, 0::BIGINT AS no_advisory FROM panel""")
+def gaps(spark, folder):
+    """Forecast rows without staffing or supplies keep their plans."""
+    scored = via_table(score_mode(stored_forecast(spark, folder), "xgb"), "scored")
+    staffing, supplies, advisory = plan_parts(scored)
+    keys = scored.select("hospital_id", "date", "k")
+    staffing, supplies = (p.join(keys.where(f"k % {m} != 0").drop("k"), ["hospital_id", "date"], "left_semi") for p, m in ((staffing, 7), (supplies, 11)))
+    return plan_gaps(assemble_plan(monitored(scored), staffing, supplies, advisory, as_of()))
+
+
 @query("normalize_json_shape", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_shapes(spark, folder):
     p, kind = F.col("props"), F.col("event_id") % 4

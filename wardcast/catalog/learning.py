@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from wardcast.catalog.bands import FOLDS_SQL
 from wardcast.catalog.registry import query
 from wardcast.fixed_values import FEATURES
+from wardcast.functions.fixed import fixed_row
+from wardcast.functions.scalars import flag
 from wardcast.operators import models as L
 from wardcast.operators.ordering import expanding_folds, time_split
+from wardcast.operators.quantiles import quantiles
 from wardcast.operators.weights import extreme_weights, residuals, spike_weights
 from wardcast.plans.tables import FORECAST_SQL, LAGGED_SQL, PANEL_SQL, lagged_panel, raw_forecast, stored_forecast, stored_panel
-from wardcast.plans.training import forecast, prepare, train_global, training_summary
+from wardcast.plans.training import forecast, load_models, prepare, save_models, train_global, training_summary
 from wardcast.session import scratch_path, via_table
 
 KEY = "hospital_id::BIGINT AS hospital_id, CAST(date AS VARCHAR) AS date"
 ORDER = "date, md5(CAST(hospital_id AS VARCHAR)), hospital_id"
-SMALL = {"iterations": 5, "depth": 4}
 
 
 def split_sql(source: str) -> str:
@@ -100,90 +102,154 @@ def _prepared(spark, folder):
     return prepare(via_table(lagged_panel(spark, folder), "panel"))
 
 
-def _shown(df, *columns):
-    return df.select("hospital_id", "date", "split", "admissions", *[F.round(c, 6).alias(c) for c in columns])
+CUT_SQL = LAGGED_SQL + split_sql("lagged")
+MEAN_SQL = CUT_SQL + ", c AS (SELECT avg(admissions) AS m FROM cut WHERE split = 'train')"
+#: Rows of each part, the error of the best constant there, and whether the fit has a smaller one on the rows it saw.
+FIT_SQL = f"""WITH {MEAN_SQL}
+SELECT split, count(*) AS n_rows, round(sqrt(avg((admissions - m) * (admissions - m))), 6) AS constant_rmse, CASE WHEN split = 'train' THEN 1 ELSE 0 END::BIGINT AS better FROM cut, c GROUP BY split"""
 
 
-@query("fit_median_squared")
+def _against_constant(scored, column):
+    mean = fixed_row(scored.where("split = 'train'").agg(F.avg("admissions").alias("m")))["m"]
+
+    def rmse(value):
+        return F.sqrt(F.avg((F.col("admissions") - value) * (F.col("admissions") - value)))
+
+    both = scored.groupBy("split").agg(F.count("*").alias("n_rows"), rmse(mean).alias("constant_rmse"), rmse(F.col(column)).alias("rmse"))
+    return both.select("split", "n_rows", F.round("constant_rmse", 6).alias("constant_rmse"), flag((F.col("split") == "train") & (F.col("rmse") < F.col("constant_rmse"))).alias("better"))
+
+
+@query("fit_median_squared", FIT_SQL)
 def median_squared(spark, folder):
     data = _prepared(spark, folder).withColumn("__val", F.col("split") == "validation")
-    return _shown(L.fit_median(data, "squared", validation="__val", **SMALL).transform(data), "q50")
+    return _against_constant(L.fit_median(data, "squared", validation="__val").transform(data), "q50")
 
 
-@query("fit_median_absolute")
+@query("fit_median_absolute", FIT_SQL)
 def median_absolute(spark, folder):
     data = _prepared(spark, folder).withColumn("__val", F.col("split") == "validation")
-    return _shown(L.fit_median(data, "absolute", validation="__val", **SMALL).transform(data), "q50")
+    return _against_constant(L.fit_median(data, "absolute", validation="__val").transform(data), "q50")
+
+
+@query("fit_second_model", FIT_SQL)
+def second_model(spark, folder):
+    data = _prepared(spark, folder)
+    return _against_constant(L.fit_second_model(data.where("split = 'train'")).transform(data), "second")
+
 
+def _loss_sql(level: str) -> str:
+    return f"round(avg(greatest({level} * (admissions - v), ({level} - 1) * (admissions - v))), 6)"
 
-@query("fit_quantile")
+
+@query("fit_quantile", f"""WITH {CUT_SQL}, q AS (SELECT unnest([0.1, 0.9])::DOUBLE AS level),
+c AS (SELECT 0.1::DOUBLE AS level, quantile_cont(admissions, 0.1) AS v FROM cut WHERE split = 'train' UNION ALL SELECT 0.9, quantile_cont(admissions, 0.9) FROM cut WHERE split = 'train')
+SELECT level, split, count(*) AS n_rows, {_loss_sql('level')} AS constant_loss, CASE WHEN split = 'train' THEN 1 ELSE 0 END::BIGINT AS better FROM cut, c GROUP BY level, split""")
 def pinball(spark, folder):
+    """Pinball losses of the best constant, and whether the model's is smaller on its training rows."""
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_prepared(spark, folder))
     data = via_table(data.select("hospital_id", "date", "split", "admissions", "features"), "vectors")
-    train = data.where("split = 'train'")
-    out = data
-    for name, level in (("q10", 0.1), ("q90", 0.9)):
-        out = L.fit_quantile(train, level, rounds=3, depth=3).transform(out, name)
-    return _shown(out, "q10", "q90")
+    train, out = data.where("split = 'train'"), None
+    for level in (0.1, 0.9):
+        constant = F.lit(quantiles(train, {"y": F.col("admissions")}, [level]).first()["q"][0])
+        scored = L.fit_quantile(train, level).transform(data, "q")
+
+        def loss(value, level=level):
+            gap = F.col("admissions") - value
+            return F.avg(F.greatest(level * gap, (level - 1) * gap))
+
+        part = scored.groupBy("split").agg(F.lit(level).alias("level"), F.count("*").alias("n_rows"), loss(constant).alias("constant_loss"), loss(F.col("q")).alias("loss"))
+        out = part if out is None else out.unionByName(part)
+    better = flag((F.col("split") == "train") & (F.col("loss") < F.col("constant_loss")))
+    return out.select("level", "split", "n_rows", F.round("constant_loss", 6).alias("constant_loss"), better.alias("better"))
+
+
+#: Spike rows have many times the weight, so the corrected residuals must be smaller than the plain ones under these weights.
+BOOSTER_SQL = f"""WITH {CUT_SQL} SELECT split, count(*) AS n_rows, CASE WHEN split = 'train' THEN 1 ELSE 0 END::BIGINT AS no_worse FROM cut GROUP BY split"""
 
 
 def _scored(spark, folder):
     data = _prepared(spark, folder)
-    median = L.fit_median(data.where("split = 'train'"), **SMALL)
+    median = L.fit_median(data.where("split = 'train'"))
     return via_table(residuals(median.transform(data).drop("features"), "admissions", "q50"), "scored")
 
 
-@query("fit_spike_booster")
+def _corrections(scored, weighted, model, column):
+    """Weighted squared residuals of the training rows without and with the correction (equal where there is none)."""
+    moved = model.transform(weighted) if model else weighted.withColumns({column: F.lit(0.0), "weight": F.lit(1.0)})
+    size = moved.agg(F.sum(F.col("weight") * F.pow("residual", F.lit(2))).alias("plain"), F.sum(F.col("weight") * F.pow(F.col("residual") - F.col(column), F.lit(2))).alias("moved"))
+    sizes = fixed_row(size)
+    return scored.groupBy("split").agg(F.count("*").alias("n_rows")).withColumn(
+        "no_worse", flag((F.col("split") == "train") & (sizes["moved"] <= sizes["plain"])))
+
+
+@query("fit_spike_booster", BOOSTER_SQL)
 def spike_booster(spark, folder):
     scored = _scored(spark, folder)
-    model = L.fit_spike_booster(spike_weights(scored.where("split = 'train'"), "admissions"), **SMALL)
-    return _shown(model.transform(scored) if model else scored.withColumn("spike", F.lit(0.0)), "spike")
+    weighted = spike_weights(scored.where("split = 'train'"), "admissions")
+    return _corrections(scored, weighted, L.fit_spike_booster(weighted), "spike")
 
 
-@query("fit_extreme_booster")
+@query("fit_extreme_booster", BOOSTER_SQL)
 def extreme_booster(spark, folder):
     scored = _scored(spark, folder)
-    model = L.fit_extreme_booster(extreme_weights(scored.where("split = 'train'")), **SMALL)
-    return _shown(model.transform(scored) if model else scored.withColumn("extreme", F.lit(0.0)), "extreme")
+    weighted = extreme_weights(scored.where("split = 'train'"))
+    return _corrections(scored, weighted, L.fit_extreme_booster(weighted), "extreme")
 
 
-@query("fit_second_model")
-def second_model(spark, folder):
+@query("tune", f"""WITH {CUT_SQL}, c AS (SELECT quantile_cont(admissions, 0.5) AS m FROM cut WHERE split = 'train')
+SELECT depth::BIGINT AS depth, iterations::BIGINT AS iterations, rate, n_rows, constant_mae FROM (SELECT unnest([3, 5]) AS depth), (SELECT unnest([10, 20]) AS iterations), (SELECT unnest([0.1, 0.3])::DOUBLE AS rate),
+  (SELECT count(*) AS n_rows, round(avg(abs(admissions - m)), 6) AS constant_mae FROM cut, c WHERE split = 'validation')""")
+def tuned(spark, folder):
+    """All combinations, ranked on the validation rows; the median's error there beside them."""
     data = _prepared(spark, folder)
-    return _shown(L.fit_second_model(data.where("split = 'train'"), trees=5, depth=4).transform(data), "second")
+    train, validation = data.where("split = 'train'"), data.where("split = 'validation'")
+    ranked = L.tune(train, validation, {"depth": [3, 5], "iterations": [10, 20], "rate": [0.1, 0.3]})
+    middle = F.lit(quantiles(train, {"y": F.col("admissions")}, [0.5]).first()["q"][0])
+    sizes = fixed_row(validation.agg(F.count("*").alias("n_rows"), F.round(F.avg(F.abs(F.col("admissions") - middle)), 6).alias("constant_mae")))
+    return spark.createDataFrame(ranked, "depth int, iterations int, rate double, mae double").select("depth", "iterations", "rate", sizes["n_rows"].alias("n_rows"), sizes["constant_mae"].alias("constant_mae"))
 
 
-@query("tune")
-def tuned(spark, folder):
-    data = _prepared(spark, folder)
-    grid = {"depth": [2, 4], "iterations": [3], "rate": [0.1, 0.3]}
-    ranked = L.tune(data.where("split = 'train'"), data.where("split = 'validation'"), grid)
-    return spark.createDataFrame(ranked, "depth int, iterations int, rate double, mae double")
+SAME_SQL = f"WITH {CUT_SQL} SELECT {KEY}, split, admissions, 0.0::DOUBLE AS difference"
 
 
-@query("persist_model")
+@query("persist_model", f"{SAME_SQL} FROM cut")
 def persisted(spark, folder):
-    """Scores before saving next to scores after loading."""
+    """Scores before saving less scores after loading, row by row."""
     data = _prepared(spark, folder)
-    model = L.fit_second_model(data.where("split = 'train'"), trees=3, depth=3)
+    model = L.fit_second_model(data.where("split = 'train'"))
     path = L.persist_model(model, scratch_path(spark, "model"))
     before = model.transform(data).drop("features").withColumnRenamed("second", "before")
     after = L.load_persisted_model(spark, f"{path}-absent", path).transform(before)
-    return _shown(after, "before", "second")
+    return after.select("hospital_id", "date", "split", "admissions", (F.col("second") - F.col("before")).alias("difference"))
 
 
-@query("load_persisted_model")
+@query("load_persisted_model", f"{SAME_SQL}, 0::BIGINT AS spike_model_found FROM cut")
 def loaded(spark, folder):
     """A missing optional model is skipped; the older path is found instead."""
     data = _prepared(spark, folder)
-    path = L.persist_model(L.fit_second_model(data.where("split = 'train'"), trees=3, depth=3), scratch_path(spark, "older"))
+    model = L.fit_second_model(data.where("split = 'train'"))
+    path = L.persist_model(model, scratch_path(spark, "older"))
     optional = L.load_persisted_model(spark, f"{path}-spike")
-    model = L.load_persisted_model(spark, f"{path}-new", path)
-    return _shown(model.transform(data).withColumn("spike_model_found", F.lit(float(optional is not None))), "second", "spike_model_found")
+    before = model.transform(data).drop("features").withColumnRenamed("second", "before")
+    after = L.load_persisted_model(spark, f"{path}-new", path).transform(before)
+    return after.select("hospital_id", "date", "split", "admissions", (F.col("second") - F.col("before")).alias("difference"), F.lit(int(optional is not None)).alias("spike_model_found"))
+
+
+@query("persist_model_set", f"{SAME_SQL} FROM cut")
+def saved_set(spark, folder):
+    """Ensemble medians of a trained set less those of the set saved and loaded."""
+    models = train_global(via_table(lagged_panel(spark, folder), "panel"))
+    again = load_models(spark, save_models(models, scratch_path(spark, "models")))
+    one, two = (forecast(m, models.data, keep=["split", "admissions"]) for m in (models, again))
+    both = one.join(two.select("hospital_id", "date", F.col("median").alias("again")), ["hospital_id", "date"])
+    return both.select("hospital_id", "date", "split", "admissions", (F.col("median") - F.col("again")).alias("difference"))
 
 
-@query("train_and_forecast")
+@query("train_and_forecast", f"WITH {CUT_SQL} SELECT split, count(*) AS n_rows, CAST(sum(admissions) AS BIGINT) AS admissions, 0::BIGINT AS out_of_order, 0::BIGINT AS not_scored FROM cut GROUP BY split")
 def whole_run(spark, folder):
-    """Training, scoring and ordering end to end."""
-    models = train_global(via_table(lagged_panel(spark, folder), "panel"), **SMALL)
-    return _shown(forecast(models, models.data, keep=["split", "admissions"]), "lower", "median", "upper")
+    """Training, scoring and ordering end to end: every row is scored, and none is out of order."""
+    models = train_global(via_table(lagged_panel(spark, folder), "panel"))
+    done = forecast(models, models.data, keep=["split", "admissions"])
+    wrong = (F.col("lower") > F.col("median")) | (F.col("median") > F.col("upper"))
+    gone = F.col("lower").isNull() | F.col("median").isNull() | F.col("upper").isNull()
+    return done.groupBy("split").agg(F.count("*").alias("n_rows"), F.sum("admissions").alias("admissions"), F.count_if(wrong).alias("out_of_order"), F.count_if(gone).alias("not_scored"))

@@ -20,9 +20,14 @@ def present_items(*items: Column) -> Column:
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
 
+def known(value: Column) -> Column:
+    """A number as a double; NaN counts as missing."""
+    return F.nanvl(value.try_cast("double"), F.lit(None).cast("double"))
+
+
 def number_or_zero(column: Column) -> Column:
-    """Text or number to double; what cannot be read becomes 0."""
-    return F.coalesce(column.try_cast("double"), F.lit(0.0))
+    """Text or number to double; what cannot be read, and NaN, becomes 0."""
+    return F.coalesce(known(column), F.lit(0.0))
 
 
 def is_between(value: Column, low: Column, high: Column) -> Column:

@@ -98,12 +98,19 @@ def assemble_plan(
 ) -> DataFrame:
     """One nested ``plan`` per forecast row.
 
-    ``df`` is a monitored forecast; the three other tables carry the written plans by key.
+    ``df`` is a monitored forecast; the three other tables carry the written plans by key. A row keeps its plan when a part is
+    missing: that part is null. A part with a repeated key is refused, since it would multiply plans.
     """
     entity, time = keys
-    joined = df
-    for part in (staffing, supplies, advisory):
-        joined = joined.join(part, list(keys))
+    joined, names = df, ("staffing", "supplies", "advisory")
+    for name, part in zip(names, (staffing, supplies, advisory)):
+        if not part.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            raise ValueError(f"{name} has more than one row for a key of {list(keys)}")
+        joined = joined.join(part.withColumn(f"__{name}", F.lit(True)), list(keys), "left")
+
+    def given(name: str, *cells: Column) -> Column:
+        return F.when(F.col(f"__{name}"), F.struct(*cells))
+
     plan = F.struct(
         request_id(entity, time).alias("requestId"),
         as_of.alias("timestamp"),
@@ -113,16 +120,16 @@ def assemble_plan(
             F.col("alert_level").alias("alertLevel"), F.col("risk_factors").alias("riskFactors"),
             F.col("urgency").alias("recommendedUrgency"),
         ).alias("monitorReport"),
-        F.struct(
-            F.col("doctors_needed").alias("doctorsNeeded"), F.col("nurses_needed").alias("nursesNeeded"),
+        given(
+            "staffing", F.col("doctors_needed").alias("doctorsNeeded"), F.col("nurses_needed").alias("nursesNeeded"),
             F.col("support_staff_needed").alias("supportStaffNeeded"),
         ).alias("staffingPlan"),
-        F.struct(
-            F.col("oxygen_cylinders").alias("oxygenCylinders"), F.col("beds").alias("beds"),
+        given(
+            "supplies", F.col("oxygen_cylinders").alias("oxygenCylinders"), F.col("beds").alias("beds"),
             F.col("common_medicines").alias("commonMedicines"), F.col("special_medicines").alias("specialMedicines"),
         ).alias("suppliesPlan"),
-        F.struct(
-            F.col("public_advisory").alias("publicAdvisory"), F.col("triage_rules").alias("triageRules"),
+        given(
+            "advisory", F.col("public_advisory").alias("publicAdvisory"), F.col("triage_rules").alias("triageRules"),
             F.col("teleconsultation").alias("teleconsultation"), F.col("pollution_care").alias("pollutionCare"),
         ).alias("advisory"),
         recommended_actions().alias("recommendedActions"),
@@ -131,6 +138,13 @@ def assemble_plan(
     return joined.select(*keys, plan.alias("plan"))
 
 
+def plan_gaps(plans: DataFrame) -> DataFrame:
+    """One row: plans, and how many lack each part."""
+    p = F.col("plan")
+    return plans.agg(F.count("*").alias("plans"), *[
+        F.count_if(p[part].isNull()).alias(name) for part, name in (("staffingPlan", "no_staffing"), ("suppliesPlan", "no_supplies"), ("advisory", "no_advisory"))])
+
+
 def alert_rollup(df: DataFrame, by: Sequence[str] = ("date",), level: str = "alert_level") -> DataFrame:
     """Plans per alert level and day."""
     return df.groupBy(*by, level).agg(F.count("*").alias("plans"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wardcast.fixed_values import FEATURES, RISING_FEATURES, UNSCALED_FEATURES
 from wardcast.functions.fixed import fixed_row
 from wardcast.functions.features import air_columns, calendar_columns, interaction_columns, lag_interactions
+from wardcast.functions.scalars import number_or_zero
 from wardcast.operators.clean import add_missing_as_zero, require_columns
 from wardcast.operators.windows import exogenous_identity, fill_forward_back_zero, lag_exogenous
 
@@ -47,14 +48,14 @@ def feature_matrix(
 ) -> DataFrame:
     """Keys, then the 41 model inputs as floats in their fixed order.
 
-    Absent, unreadable and null inputs are 0; with ``fill_gaps`` nulls first take the entity's
+    Absent, unreadable, NaN and null inputs are 0; with ``fill_gaps`` nulls first take the entity's
     last known value, or else its next one.
     """
     full = features(df, profile, entity, time)
     if fill_gaps:
         full = fill_forward_back_zero(full, [c for c in FEATURES if c in full.columns], entity, time)
     full = add_missing_as_zero(full, FEATURES)
-    inputs = [F.coalesce(F.col(c).try_cast("float"), F.lit(0.0).cast("float")).alias(c) for c in FEATURES]
+    inputs = [number_or_zero(F.col(c)).cast("float").alias(c) for c in FEATURES]
     return full.select(*keys, *keep, *inputs)
 
 

@@ -21,6 +21,10 @@ from wardcast.operators.quantiles import attach_by_batch, quantile_row, quantile
 from wardcast.session import cut_lineage
 
 
+#: Entities whose sums a task holds at once.
+HELD_SUMS = 2_000
+
+
 def _pipeline(features: Sequence[str], stage) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), stage])
 
@@ -135,8 +139,8 @@ def fit_per_entity(
     """Least squares per entity: ``by, n_rows, status, error, intercept, coefficients``.
 
     Tasks add up cross products of their own rows; only fixed-size sums are shuffled, element by
-    element, so an entity of any size is never gathered. An entity that cannot be solved keeps
-    a row with its error.
+    element, so an entity of any size is never gathered. An entity that cannot be solved, or none of whose rows is complete,
+    keeps a row with its error. ``n_left_out`` counts rows with a missing input; rows without an entity form one of their own.
     """
     names = list(features)
     width = len(names) + 2
@@ -144,15 +148,25 @@ def fit_per_entity(
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[object, np.ndarray] = {}
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({by: [None if pd.isna(k) else k for k in sums], "cross": [m.ravel().tolist() for m in sums.values()]})
+
         for batch in batches:
             for key, part in batch.groupby(by, dropna=False, sort=False):
-                x = np.column_stack([np.ones(len(part)), part[[*names, label]].to_numpy(dtype=float)])
-                sums[key] = sums.get(key, 0) + x.T @ x
+                key = None if pd.isna(key) else key
+                values = part[[*names, label]].to_numpy(dtype=float)
+                whole = ~np.isnan(values).any(axis=1)
+                x = np.column_stack([np.ones(whole.sum()), values[whole]])
+                sums[key] = sums.get(key, 0) + np.append((x.T @ x).ravel(), (~whole).sum())
+            if len(sums) > HELD_SUMS:  # sums are additive, so they may leave early
+                yield out()
+                sums = {}
         if sums:
-            yield pd.DataFrame({by: list(sums), "cross": [m.ravel().tolist() for m in sums.values()]})
+            yield out()
 
     key_type = df.schema[by].dataType.simpleString()
-    partials = df.select(by, *[F.col(c).cast("double") for c in [*names, label]]).na.drop().mapInPandas(
+    partials = df.select(by, *[F.col(c).cast("double") for c in [*names, label]]).mapInPandas(
         partial, f"{by} {key_type}, cross array<double>"
     )
     totals = (
@@ -161,25 +175,25 @@ def fit_per_entity(
         .groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("cross"))
     )
 
-    @F.pandas_udf("n_rows bigint, status string, error string, intercept double, coefficients array<double>")
+    @F.pandas_udf("n_rows bigint, n_left_out bigint, status string, error string, intercept double, coefficients array<double>")
     def solve(cross: pd.Series) -> pd.DataFrame:
         out = []
         for flat in cross:
-            m = np.asarray(flat, dtype=float).reshape(width, width)
-            n = int(m[0, 0])
+            m = np.asarray(flat[:-1], dtype=float).reshape(width, width)
+            n, left = int(m[0, 0]), int(flat[-1])
             gram, moment = m[:-1, :-1] + ridge * np.eye(width - 1), m[:-1, -1]
             scale = np.sqrt(np.diag(gram))
             scale[scale == 0] = 1.0
             if n < least:
-                out.append((n, "error", f"needs {least} rows", None, None))
+                out.append((n, left, "error", f"needs {least} rows", None, None))
                 continue
             scaled = gram / np.outer(scale, scale)
             if np.linalg.matrix_rank(scaled, tol=1e-9) < width - 1:
-                out.append((n, "error", "features are not independent", None, None))
+                out.append((n, left, "error", "features are not independent", None, None))
                 continue
             b = np.linalg.solve(scaled, moment / scale) / scale
-            out.append((n, "ok", None, float(b[0]), b[1:].tolist()))
-        return pd.DataFrame(out, columns=["n_rows", "status", "error", "intercept", "coefficients"])
+            out.append((n, left, "ok", None, float(b[0]), b[1:].tolist()))
+        return pd.DataFrame(out, columns=["n_rows", "n_left_out", "status", "error", "intercept", "coefficients"])
 
     return totals.select(by, solve("cross").alias("fit")).select(by, "fit.*")
 
@@ -215,7 +229,9 @@ def load_persisted_model(spark: SparkSession, *paths: str) -> PipelineModel | No
     for path in paths:
         try:
             spark.read.text(f"{path}/metadata")
-        except AnalysisException:
+        except AnalysisException as absent:
+            if "PATH_NOT_FOUND" not in (absent.getCondition() or ""):
+                raise
             continue
         return PipelineModel.load(path)
     return None

@@ -12,6 +12,8 @@ ranks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,7 +27,7 @@ from wardcast.session import via_table
 RESOLUTION = float(2 ** 12)
 #: Rows that one bucket may hold when its values are ordered.
 ORDERABLE = 2_000_000
-#: Parts of a bucket that is divided. Five rounds separate any two doubles.
+#: Parts of a bucket that is divided.
 PARTS = 4096
 
 
@@ -44,6 +46,13 @@ def _settled(hit: DataFrame, grouped: bool) -> tuple[DataFrame, int]:
     return F.broadcast(known), max((r["c"] for r in rows if r["lo"] < r["hi"]), default=0)
 
 
+def _within(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join on keys in which null equals null."""
+    other = other.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys])
+    return df.join(other, same, how).drop(*[f"__of_{k}" for k in keys])
+
+
 def quantiles(
     df: DataFrame,
     columns: dict[str, Column],
@@ -56,6 +65,8 @@ def quantiles(
     """
     by = list(by)
     group = [*by, "metric"]
+    # Where a bucket comes from: the buckets divided so far, outermost first.
+    path, inner = "__path", [*group, "__path", "b"]
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), c.cast("double").alias("v")) for m, c in columns.items()])
     levels = F.array(*[F.lit(float(p)) for p in probs])
     top = F.col("n") - 1
@@ -64,7 +75,7 @@ def quantiles(
     counts = [F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")]
 
     def chosen(buckets: DataFrame, upto: Column, n: Column) -> tuple[DataFrame, int]:
-        ranged = buckets.select(*group, "b", "c", "lo", "hi", upto.alias("upto"), n.alias("n"))
+        ranged = buckets.select(*inner, "c", "lo", "hi", upto.alias("upto"), n.alias("n"))
         return _settled(
             ranged.withColumn("before", F.col("upto") - F.col("c")).where(F.size(here) > 0).drop("upto"), bool(by)
         )
@@ -72,28 +83,26 @@ def quantiles(
     values = (
         df.select(*by, F.inline(pairs))
         .where(F.col("v").isNotNull() & ~F.isnan("v"))
-        .withColumn("b", _bucket(F.col("v")))
+        .withColumns({path: F.lit(""), "b": _bucket(F.col("v"))})
     )
     whole = W.partitionBy(*group)
-    first = values.groupBy(*group, "b").agg(*counts)
+    first = values.groupBy(*inner).agg(*counts)
     hit, fullest = chosen(first, F.sum("c").over(whole.orderBy("b")), F.sum("c").over(whole))
-    for _ in range(5):
-        if fullest <= ORDERABLE:
-            break
+    while fullest > ORDERABLE:  # ends: the smallest and the largest value of a bucket never stay together
         part = F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * F.lit(float(PARTS)))
-        values = values.join(hit.drop("c"), [*group, "b"]).select(
-            *group, "v", "n", "before", F.col("b").alias("outer"), (F.col("b") * (PARTS + 1) + part).alias("b")
+        values = _within(values, hit.drop("c"), inner).select(
+            *group, "v", "n", "before", F.concat_ws("/", path, F.col("b").cast("string")).alias(path), part.alias("b")
         )
-        divided = values.groupBy(*group, "n", "before", "outer", "b").agg(*counts)
-        running = F.sum("c").over(W.partitionBy(*group, "outer").orderBy("b"))
-        values = values.select(*group, "v", "b")
+        divided = values.groupBy(*inner, "n", "before").agg(*counts)
+        running = F.sum("c").over(W.partitionBy(*group, path).orderBy("b"))
+        values = values.select(*inner, "v")
         hit, fullest = chosen(divided, F.col("before") + running, F.col("n"))
 
     found = (
-        values.join(hit.select(*group, "b", "n", "before"), [*group, "b"])
-        .groupBy(*group, "b", "n", "before", "v")
+        _within(values, hit.select(*inner, "n", "before"), inner)
+        .groupBy(*inner, "n", "before", "v")
         .agg(F.count("*").alias("c"))
-        .withColumn("upto", F.col("before") + F.sum("c").over(W.partitionBy(*group, "b").orderBy("v")))
+        .withColumn("upto", F.col("before") + F.sum("c").over(W.partitionBy(*inner).orderBy("v")))
         .withColumn("before", F.col("upto") - F.col("c"))
         .select(*group, "n", "v", F.explode(here).alias("r"))
     )
@@ -131,10 +140,10 @@ def attach_by_batch(df: DataFrame, stats: DataFrame, name: str, by: Sequence[str
 
     Without batch columns the one statistics row is computed now and enters as a literal, so
     the big side is neither shuffled nor joined. Otherwise it is an equi join on the batch
-    columns, and adaptive execution broadcasts or splits it by measured size.
+    columns in which null is a batch like any other, and adaptive execution broadcasts or splits it by measured size.
     """
     by = list(by)
     if not by:
         return df.withColumn(name, fixed_row(stats))
     cells = [c for c in stats.columns if c not in by]
-    return df.join(stats.select(*by, F.struct(*cells).alias(name)), by, "left")
+    return _within(df, stats.select(*by, F.struct(*cells).alias(name)), by, "left")

@@ -13,15 +13,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardcast.fixed_values import DEFAULT_ADMISSIONS
 from wardcast.functions.fixed import fixed_row
 from wardcast.functions.scalars import round_half
 
 
-def series(entity: str | Sequence[str] = "hospital_id", time: str = "date") -> WindowSpec:
+def series(entity: str | Sequence[str] = "hospital_id", time: str | Sequence[str] = "date") -> WindowSpec:
     keys = [entity] if isinstance(entity, str) else list(entity)
-    return W.partitionBy(*keys).orderBy(time)
+    return W.partitionBy(*keys).orderBy(*([time] if isinstance(time, str) else time))
 
 
 def lag_or_first(value: Column, k: int, w: WindowSpec) -> Column:
@@ -53,9 +54,13 @@ def lag_features(
 
 
 def serving_lags(
-    df: DataFrame, target: str = "admissions", entity: str = "hospital_id", time: str = "date"
+    df: DataFrame, target: str = "admissions", entity: str | Sequence[str] = "hospital_id", time: str | Sequence[str] = "date"
 ) -> DataFrame:
-    """Lags for requests that come without them; a constant level when there is no target."""
+    """Lags for requests that come without them; a constant level when there is no target.
+
+    For several requests at once, ``entity`` is (request, hospital) and ``time`` (date, position): each request is a
+    series of its own, and the many requests without a hospital do not meet in one window.
+    """
     names = [f"lag_1_{target}", f"lag_7_{target}", f"rolling_14_{target}"]
     if names[0] in df.columns:
         return df
@@ -120,12 +125,14 @@ def time_index(df: DataFrame, time: str = "date") -> DataFrame:
 def fill_forward_back_zero(
     df: DataFrame, columns: Sequence[str], entity: str | Sequence[str] = "hospital_id", time: str = "date"
 ) -> DataFrame:
-    """Fill gaps from the past, then the future of the same entity, then with 0."""
+    """Fill gaps from the past, then the future of the same entity, then with 0; NaN is a gap."""
     keys = [entity] if isinstance(entity, str) else list(entity)
     past = series(entity, time).rowsBetween(W.unboundedPreceding, 0)
     # the future as the past of the reversed series: a frame that grows row by row is linear,
     # one that shrinks towards the end is recomputed for every row
     future = W.partitionBy(*keys).orderBy(F.desc(time)).rowsBetween(W.unboundedPreceding, 0)
+    numbers = {c: F.nanvl(c, F.lit(None).cast(df.schema[c].dataType)) for c in columns if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))}
+    df = df.withColumns(numbers) if numbers else df
     return df.withColumns({
         c: F.coalesce(F.last(c, True).over(past), F.last(c, True).over(future), F.lit(0).cast(df.schema[c].dataType))
         for c in columns

@@ -16,9 +16,9 @@ def cents(amount: Column) -> Column:
 
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per hospital (nation) and order day, cities being regions.
+    """One row per hospital (customer) and order day, cities being regions, so that rows and hospitals grow with the tables.
 
-    Measures come from whole-number sums, so they do not depend on the order of addition.
+    Admissions are the orders of the day and a part of their price. Measures come from whole-number sums, so they do not depend on the order of addition.
     The rollup is a partial and a final hash aggregate on (hospital, day).
     """
     orders = table(spark, folder, "orders").select(
@@ -27,21 +27,21 @@ def panel(spark: SparkSession, folder: str) -> DataFrame:
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey", cents(F.col("c_acctbal")).alias("balance"))
     daily = (
         orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("c_nationkey", "date")
+        .groupBy("c_custkey", "c_nationkey", "date")
         .agg(
-            F.count("*").alias("admissions"), F.max("o_orderkey").alias("k"),
+            F.count("*").alias("n"), F.max("o_orderkey").alias("k"),
             F.sum("price").alias("price"), F.sum("balance").alias("balance"),
         )
     )
     nations = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     nations = nations.select("n_nationkey", "n_regionkey", "r_name")
-    h, k, n = F.col("c_nationkey"), F.col("k"), F.col("admissions")
-    aqi = F.expr("price div (1000 * admissions)").cast("double") / 100.0
-    temp = F.expr("(balance + 100000 * admissions) div (250 * admissions)").cast("double") / 100.0 - 4.0
+    h, k, admissions = F.col("c_custkey"), F.col("k"), F.expr("n + price div 1000000")
+    aqi = F.expr("price div (1000 * n)").cast("double") / 100.0
+    temp = F.expr("(balance + 100000 * n) div (250 * n)").cast("double") / 100.0 - 4.0
     day = weekday_of(F.col("date"))
     return daily.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
         "date", F.col("r_name").alias("city"), F.col("n_regionkey").alias("city_id"), h.alias("hospital_id"),
-        F.floor(h / 5).cast("int").alias("hospital_id_enc"), n,
+        F.floor(h / 5).cast("int").alias("hospital_id_enc"), admissions.alias("admissions"),
         aqi.alias("aqi"), temp.alias("temp"),
         (20 + k % 76).cast("double").alias("humidity"), (k % 61).cast("double").alias("rainfall"),
         (k % 20).cast("double").alias("wind_speed"), (20 + k % 91).cast("double").alias("mobility_index"),
@@ -55,12 +55,12 @@ def panel(spark: SparkSession, folder: str) -> DataFrame:
 
 PANEL_SQL = """
 daily AS (
-  SELECT c_nationkey AS h, CAST(o_orderdate AS DATE) AS date, count(*) AS n, max(o_orderkey) AS k,
+  SELECT c_custkey AS h, c_nationkey AS nation, CAST(o_orderdate AS DATE) AS date, count(*) AS n, max(o_orderkey) AS k,
          CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS price,
          CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS balance
-  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
 panel AS (
-  SELECT date, r_name AS city, n_regionkey AS city_id, h AS hospital_id, h // 5 AS hospital_id_enc, n AS admissions,
+  SELECT date, r_name AS city, n_regionkey AS city_id, h AS hospital_id, h // 5 AS hospital_id_enc, n + price // 1000000 AS admissions,
          CAST(price // (1000 * n) AS DOUBLE) / 100.0 AS aqi,
          CAST((balance + 100000 * n) // (250 * n) AS DOUBLE) / 100.0 - 4.0 AS temp,
          CAST(20 + k % 76 AS DOUBLE) AS humidity, CAST(k % 61 AS DOUBLE) AS rainfall,
@@ -69,7 +69,7 @@ panel AS (
          CASE WHEN k % 17 = 0 THEN 1 ELSE 0 END AS festival_flag, CASE WHEN k % 23 = 0 THEN 1 ELSE 0 END AS holiday_flag,
          isodow(date) - 1 AS weekday, CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS is_weekend,
          9000 + 400 * h AS population_density, 50 + 10 * h AS hospital_beds, 20 + 5 * h AS staff_count, k
-  FROM daily JOIN nation ON h = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+  FROM daily JOIN nation ON daily.nation = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
 def raw_forecast(spark: SparkSession, folder: str) -> DataFrame:

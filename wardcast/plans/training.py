@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardcast.fixed_values import FEATURES
@@ -15,24 +15,26 @@ from wardcast.operators.bands import score_mode
 from wardcast.operators.features import feature_matrix
 from wardcast.operators.metrics import quantile_coverage, regression_metrics
 from wardcast.operators.models import (
-    fit_extreme_booster, fit_median, fit_second_model, fit_spike_booster, residual_bands,
+    fit_extreme_booster, fit_median, fit_second_model, fit_spike_booster, load_persisted_model, persist_model,
 )
 from wardcast.operators.ordering import time_split
+from wardcast.operators.quantiles import quantile_row
 from wardcast.operators.weights import extreme_weights, residuals, spike_weights
 from wardcast.session import via_table
 
 KEYS = ("hospital_id", "date")
 LEVELS = {"q10": 0.1, "q90": 0.9}
+STAGES = ("median", "spike", "extreme", "second")
 
 
 @dataclass
 class GlobalModels:
     median: PipelineModel
-    bands: DataFrame
+    offsets: dict[str, float]
     spike: PipelineModel | None
     extreme: PipelineModel | None
     second: PipelineModel | None
-    data: DataFrame
+    data: DataFrame | None
 
 
 def prepare(
@@ -48,7 +50,7 @@ def prepare(
 
 
 def train_global(panel: DataFrame, target: str = "admissions", second: bool = True, **options) -> GlobalModels:
-    """Median, calibrated bands, both correction stages and the second model."""
+    """Median, bands calibrated on the validation rows, both correction stages and the second model."""
     data = prepare(panel, target)
     marked = data.withColumn("__val", F.col("split") == "validation")
     median = fit_median(marked, label=target, validation="__val", **options)
@@ -59,13 +61,34 @@ def train_global(panel: DataFrame, target: str = "admissions", second: bool = Tr
     spike = fit_spike_booster(spike_weights(train, target), **options)
     extreme = fit_extreme_booster(extreme_weights(train), **options)
     other = fit_second_model(data.where(F.col("split") == "train"), label=target) if second else None
-    return GlobalModels(median, train.select(F.col(target).alias("y"), "q50"), spike, extreme, other, data)
+    held = scored.where(F.col("split") == "validation")
+    gap = {"r": F.col(target) - F.col("q50")}
+    found = quantile_row(held, gap, list(LEVELS.values())).first() or quantile_row(train, gap, list(LEVELS.values())).first()
+    return GlobalModels(median, dict(zip(LEVELS, found["r"]["q"])), spike, extreme, other, data)
+
+
+def save_models(models: GlobalModels, folder: str) -> str:
+    """The whole set below one folder; stages that were not fitted leave no model."""
+    spark = SparkSession.active()
+    for name in STAGES:
+        if getattr(models, name) is not None:
+            persist_model(getattr(models, name), f"{folder}/{name}")
+    rows = [(k, float(v)) for k, v in models.offsets.items()]
+    spark.createDataFrame(rows, "level string, offset double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/offsets")
+    return folder
+
+
+def load_models(spark: SparkSession, folder: str) -> GlobalModels:
+    """A saved set; its training table is not part of it."""
+    stages = {name: load_persisted_model(spark, f"{folder}/{name}") for name in STAGES}
+    offsets = {r["level"]: r["offset"] for r in spark.read.parquet(f"{folder}/offsets").collect()}  # two rows
+    return GlobalModels(offsets=offsets, data=None, **stages)
 
 
 def raw_scores(models: GlobalModels, features: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Model outputs side by side; each model is one more projection, nothing is joined."""
     out = models.median.transform(features).drop("features")
-    out = residual_bands(out, models.bands, "y", "q50", LEVELS)
+    out = out.withColumns({name: F.col("q50") + F.lit(models.offsets[name]) for name in LEVELS})
     columns = ["q10", "q50", "q90"]
     for name, model in (("spike", models.spike), ("extreme", models.extreme), ("second", models.second)):
         if model is not None:

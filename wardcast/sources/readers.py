@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardcast.fixed_values import BLEND_WEIGHT, DEFAULT_HOSPITAL, DEFAULT_MODE, DEFAULT_SENSITIVITY
-from wardcast.functions.scalars import sentence_case
+from wardcast.fixed_values import BLEND_WEIGHT, DEFAULT_HOSPITAL, DEFAULT_MODE, DEFAULT_SENSITIVITY, REQUEST_COLUMNS
+from wardcast.functions.scalars import present_items, sentence_case
 from wardcast.sources.schemas import FORECAST_PANEL, PANEL, RECORD, REQUEST
 
 
@@ -50,9 +50,32 @@ def scan_all_entities(
 ) -> DataFrame:
     """All panels below ``base`` in one read, the city taken from the file name.
 
-    With ``cities`` only their files are listed; absent ones and files of another layout are skipped.
+    With ``cities`` only their files are listed. Absent ones, files of another layout and rows that cannot be read or have no date are left
+    out and named by ``scan_rejects``; when nothing is left, this raises.
     """
-    return _with_city(_csv(spark, PANEL, skip_bad).csv(_city_glob(base, "xgb", cities)), "xgb")
+    kept = _panel_rows(spark, base, cities, skip_bad).where("_corrupt_record is null and date is not null").drop("_corrupt_record")
+    if kept.isEmpty():
+        raise ValueError(f"no readable panel rows below {base}")
+    return _with_city(kept, "xgb")
+
+
+def _panel_rows(spark: SparkSession, base: str, cities: Sequence[str] | None, skip_bad: bool) -> DataFrame:
+    kind = T.StructType([*PANEL, T.StructField("_corrupt_record", T.StringType())])
+    return _csv(spark, kind, skip_bad).csv(_city_glob(base, "xgb", cities))
+
+
+def scan_rejects(spark: SparkSession, base: str, cities: Sequence[str] | None = None) -> DataFrame:
+    """What ``scan_all_entities`` leaves out: file, reason, rows (null for a whole file).
+
+    A listed file without any row in the scan has another header, is damaged or is empty; only names are listed, no content
+    is read twice.
+    """
+    rows = _panel_rows(spark, base, cities, True).select(F.col("_metadata.file_path").alias("file"), "*")
+    seen = rows.groupBy("file").agg(F.count_if(F.expr("_corrupt_record is not null or date is null")).alias("rows"))
+    listed = spark.read.format("binaryFile").load(_city_glob(base, "xgb", cities)).select(F.col("_metadata.file_path").alias("file")).where(~F.col("file").rlike("/_[^/]*$"))
+    both = listed.join(seen, "file", "left")
+    whole, some = F.col("rows").isNull(), F.col("rows") > 0
+    return both.where(whole | some).select("file", F.when(whole, F.lit("no row in the expected layout")).otherwise(F.lit("unreadable rows")).alias("reason"), "rows")
 
 
 def scan_forecast_layout(spark: SparkSession, base: str) -> DataFrame:
@@ -71,22 +94,53 @@ def scan_flat_csv(spark: SparkSession, path: str, schema: T.StructType = PANEL,
     return _csv(spark, as_text, False).csv(path).withColumn("date", F.try_to_date("date", fmt))
 
 
-def records_of(text: Column, record: T.StructType = RECORD) -> Column:
+def records_of(text: Column, record: T.StructType | T.MapType = RECORD) -> Column:
     """Array of records from a list, ``{"data": ..}``, ``{"records": ..}`` or a single record."""
     wrapper = F.from_json(text, "data string, records string")
-    is_object = F.left(F.ltrim(text), F.lit(1)) == "{"
+    is_object = text.rlike(r"^\s*\{")
     inner = F.when(is_object, F.coalesce(wrapper["data"], wrapper["records"], text)).otherwise(text)
+    if isinstance(record, T.MapType):  # only structs are read from a single object as an array
+        return F.when(inner.rlike(r"^\s*\{"), F.array(F.from_json(inner, record))).otherwise(F.from_json(inner, T.ArrayType(record)))
     return F.from_json(inner, T.ArrayType(record))
 
 
-def scan_json_payload(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Requests as rows: one row per record with the request's settings beside it.
+def scan_requests(spark: SparkSession, path: str, multiline: bool = False, required: Sequence[str] = tuple(REQUEST_COLUMNS)) -> DataFrame:
+    """One row per request: settings, ``records`` and ``reject_reasons`` (empty for good requests).
 
-    Requests as JSON lines split across tasks; ``multiline`` reads one pretty-printed request per file.
+    Requests as JSON lines split across tasks; ``multiline`` reads one pretty-printed request per file. ``request_id`` is the request's own, or else
+    a hash of its file and text, so the same request sent twice in a file counts once. A request is rejected when it
+    is no JSON, has no data, no readable record, or when a required column is in none of its records.
     """
-    requests = spark.read.schema(REQUEST).option("multiLine", multiline).json(path)
-    opened = payload_defaults(requests).withColumn("record", F.explode(records_of(F.col("data"))))
-    return opened.select("mode", "weight_tft", F.col("hospital_id"), "disease_sensitivity", "record.*")
+    lines = spark.read.text(path, wholetext=multiline).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value", F.lit(" \t\r\n")) != "")
+    kind = T.StructType([*REQUEST, T.StructField("request_id", T.StringType()), T.StructField("_corrupt_record", T.StringType())])
+    r = F.col("r")
+    read = lines.withColumn("r", F.from_json("value", kind)).withColumn("fields", records_of(r["data"], T.MapType(T.StringType(), T.StringType())))
+    given = F.array_distinct(F.flatten(F.transform("fields", F.map_keys)))
+    missing = F.array_except(F.array(*[F.lit(c) for c in required]), given)
+    broken = r.isNull() | r["_corrupt_record"].isNotNull()
+    no_data = r["data"].isNull() | (F.size(F.coalesce("fields", F.array().cast("array<map<string,string>>"))) == 0)
+    reason = (
+        F.when(broken, F.lit("not JSON")).when(no_data, F.lit("no readable data"))
+        .when(F.size(missing) > 0, F.concat(F.lit("missing columns: "), F.array_join(missing, ", ")))
+    )
+    settings = [r[c].alias(c) for c in ("mode", "weight_tft", "hospital_id", "disease_sensitivity")]
+    named = read.select(
+        F.coalesce(r["request_id"], F.sha2(F.concat_ws("\n", "file", "value"), 256)).alias("request_id"), "file", *settings,
+        records_of(r["data"]).alias("records"), present_items(reason).alias("reject_reasons"))
+    return payload_defaults(named).dropDuplicates(["request_id"])
+
+
+def scan_json_payload(spark: SparkSession, path: str, multiline: bool = False, required: Sequence[str] = tuple(REQUEST_COLUMNS)) -> DataFrame:
+    """Records of good requests: one row each with its ``request_id``, ``position`` and the request's settings."""
+    good = scan_requests(spark, path, multiline, required).where(F.size("reject_reasons") == 0)
+    opened = good.select("request_id", "mode", "weight_tft", "hospital_id", "disease_sensitivity", F.posexplode_outer("records").alias("position", "record"))
+    return opened.select("request_id", "position", "mode", "weight_tft", "hospital_id", "disease_sensitivity", "record.*")
+
+
+def request_rejects(spark: SparkSession, path: str, multiline: bool = False, required: Sequence[str] = tuple(REQUEST_COLUMNS)) -> DataFrame:
+    """Requests that ``scan_json_payload`` leaves out: request_id, file, reason."""
+    found = scan_requests(spark, path, multiline, required).where(F.size("reject_reasons") > 0)
+    return found.select("request_id", "file", F.array_join("reject_reasons", "; ").alias("reason"))
 
 
 def payload_defaults(df: DataFrame) -> DataFrame:

@@ -12,16 +12,17 @@ def sink_csv_by_entity(df: DataFrame, base: str, layout: str = "xgb", city: str
     """One ``<city>_<layout>.csv`` folder per city in a single distributed write.
 
     Rebalancing by city keeps the number of files low and splits a city that is too big for
-    one task.
+    one task. Cities written again are replaced, others stay.
     """
     named = df.withColumn("file", F.concat(F.lower(F.col(city)), F.lit(f"_{layout}.csv"))).hint("rebalance", "file")
-    (named if keep_city else named.drop(city)).write.mode("append").partitionBy("file").option("header", True).csv(base)
+    rows = named if keep_city else named.drop(city)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").option("header", True).csv(base)
 
 
 def sink_plan_json(df: DataFrame, path: str, as_of: Column) -> None:
-    """Plans as JSON lines, one folder per run date."""
+    """Plans as JSON lines, one folder per run date; a date written again is replaced."""
     dated = df.withColumn("run_date", F.to_date(as_of)).hint("rebalance")
-    dated.write.mode("append").partitionBy("run_date").json(path)
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").json(path)
 
 
 def prediction_records(df: DataFrame, digits: int = 6) -> DataFrame:
