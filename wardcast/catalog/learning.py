@@ -78,10 +78,10 @@ def bands(spark, folder):
 
 @query("fit_per_entity", f"""WITH {LAGGED_SQL},
 m AS (SELECT city, count(*) AS n_rows, var_pop(rolling_14_admissions) AS s11, var_pop(humidity) AS s22, covar_pop(rolling_14_admissions, humidity) AS s12,
-  covar_pop(rolling_14_admissions, aqi) AS s1y, covar_pop(humidity, aqi) AS s2y FROM lagged GROUP BY 1)
+  covar_pop(rolling_14_admissions, admissions) AS s1y, covar_pop(humidity, admissions) AS s2y FROM lagged GROUP BY 1)
 SELECT city, n_rows, 'ok' AS status, round((s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12), 4) AS slope_rolling, round((s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12), 6) AS slope_humidity FROM m""")
 def per_entity(spark, folder):
-    fits = L.fit_per_entity(lagged_panel(spark, folder), ["rolling_14_admissions", "humidity"], "aqi")
+    fits = L.fit_per_entity(lagged_panel(spark, folder), ["rolling_14_admissions", "humidity"], "admissions")
     return fits.select("city", "n_rows", "status", F.round(F.col("coefficients")[0], 4).alias("slope_rolling"), F.round(F.col("coefficients")[1], 6).alias("slope_humidity"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wardcast.fixed_values import FEATURES, RISING_FEATURES, UNSCALED_FEATURES
 from wardcast.functions.fixed import fixed_row
 from wardcast.functions.features import air_columns, calendar_columns, interaction_columns, lag_interactions
-from wardcast.functions.scalars import number_or_zero
+from wardcast.functions.scalars import known, number_or_zero
 from wardcast.operators.clean import add_missing_as_zero, require_columns
 from wardcast.operators.windows import exogenous_identity, fill_forward_back_zero, lag_exogenous
 
@@ -49,11 +49,14 @@ def feature_matrix(
     """Keys, then the 41 model inputs as floats in their fixed order.
 
     Absent, unreadable, NaN and null inputs are 0; with ``fill_gaps`` nulls first take the entity's
-    last known value, or else its next one.
+    last known value, or else its next one. One pass finds the columns that have gaps, so that only these are filled; without any, nothing is sorted.
     """
     full = features(df, profile, entity, time)
     if fill_gaps:
-        full = fill_forward_back_zero(full, [c for c in FEATURES if c in full.columns], entity, time)
+        present = [c for c in FEATURES if c in full.columns]
+        gaps = full.agg(*[F.count_if(known(F.col(c)).isNull()).alias(c) for c in present]).first()
+        holes = [c for c in present if gaps[c]]
+        full = fill_forward_back_zero(full, holes, entity, time) if holes else full
     full = add_missing_as_zero(full, FEATURES)
     inputs = [number_or_zero(F.col(c)).cast("float").alias(c) for c in FEATURES]
     return full.select(*keys, *keep, *inputs)

@@ -11,11 +11,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Hex digits of the md5 that form the bucket: 4096 parts per day.
 DIGITS = 3
 
 
+def require_days(df: DataFrame, time: str) -> None:
+    """Refuse a time that is no date: the steps below order one row per day in one task, which timestamps would not bound."""
+    kind = df.schema[time].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        raise ValueError(f"{time} is a {kind.simpleString()}; cast it to a date")
+
+
 def tie_key(entity: str) -> Column:
     return F.md5(F.col(entity).cast("string"))
 
@@ -28,6 +36,7 @@ def running_positions(
     Counts per (group, day, bucket) give the offset of each bucket; only the small count table
     is ordered as a whole. The rows themselves are ordered within one bucket of one day.
     """
+    require_days(df, time)
     group = list(group)
     keyed = df.withColumns({"__tie": tie_key(entity), "__part": F.left(tie_key(entity), F.lit(DIGITS))})
     slot = [*group, time, "__part"]
@@ -57,6 +66,7 @@ def cut_keys(df: DataFrame, cuts: DataFrame, entity: str = "hospital_id", time:
     days to one bucket of one day, so no step orders more than that bucket, and the table
     itself is only scanned for two columns.
     """
+    require_days(df, time)
     keys = df.select(F.col(time).alias("day"), F.col(entity).alias("who"), tie_key(entity).alias("tie"))
     keys = keys.withColumn("part", F.left("tie", F.lit(DIGITS)))
     wanted = cuts.select(F.sort_array(F.collect_list(F.struct("at", "cut_id"))).alias("w"))

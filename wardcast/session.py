@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,9 +48,25 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_SCOPES: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/wardcast/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, inside the innermost ``scratch_scope``."""
+    return "/".join([shared_dir(spark).rstrip("/"), "wardcast", *_SCOPES[-1:], f"{name}-{uuid.uuid4().hex}"])
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """One job: the tables written to the shared folder inside are deleted at its end. Write or collect its results before."""
+    _SCOPES.append(f"job-{uuid.uuid4().hex}")
+    path = f"{shared_dir(spark).rstrip('/')}/wardcast/{_SCOPES[-1]}"
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
