@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardcast.llm.text import text_bytes
+from wardcast.llm.text import bounded_batches, text_bytes
 
 WINDOW = 13
 #: Bytes of window texts in one automaton; a node takes about 50 bytes, so this is some 400 MB at most.
@@ -208,7 +208,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WIND
                 good.append(not hit or hit * 100 < n * percent)
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return bounded_batches(docs).mapInArrow(keep, docs.schema)
 
 
 def _first_blocks(benchmark: DataFrame, size: int, max_block: int) -> Iterator[list]:

@@ -21,6 +21,8 @@ PLACES = _RANDOM.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 #: ASCII white space: space and the five control characters from tab to carriage return.
 IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 PART = 1 << 20
+#: Texts are long rows: batches of the usual 10,000 would hold 100 MB and more in each worker and task.
+BATCH_ROWS = 1_000
 
 
 @cache
@@ -100,6 +102,15 @@ def held_out(doc_id: Column | str, parts: int, part: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends at most ``BATCH_ROWS`` rows at once to a Python worker, if it sent more."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def text_bytes(docs: DataFrame, *keep: str) -> DataFrame:
     """The named columns and the text as UTF-8 bytes, null as empty."""
+    bounded_batches(docs)
     return docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))

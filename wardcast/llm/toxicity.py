@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardcast.llm.text import held_out, text_bytes
+from wardcast.llm.text import bounded_batches, held_out, text_bytes
 from wardcast.session import via_table
 
 #: The fit takes about this many labelled rows, chosen by a hash of their id; with fewer, all.
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with a score below 0.5 and all their columns, in place: no join and no shuffle."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    rows = bounded_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     return _probability(_featured(rows, [model.lexicon]), model).where("score < 0.5").select("row.*")
 
 
