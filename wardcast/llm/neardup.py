@@ -15,11 +15,13 @@ No step emits all pairs of a bucket while components can still merge, and none b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wardcast.llm.components import components
 from wardcast.llm.text import digest, mix, shingle_set, text_bytes
@@ -31,6 +33,14 @@ BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
 MAX_IDS = 1_000_000
 #: Counters of the shingle frequencies that order the prefix filter: 4 bytes each.
 COUNTERS = 1 << 20
+#: Nodes of a bucket that the others are compared with in the first round; smaller buckets are done in that round.
+CENTERS = 16
+
+
+@cache
+def _steps(registers: int) -> np.ndarray:
+    """Step widths that visit every register."""
+    return np.array([s for s in range(1, registers) if np.gcd(s, registers) == 1] or [1], np.uint64)
 
 
 def sketch(elements: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
@@ -44,7 +54,7 @@ def sketch(elements: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     if not len(elements):
         return np.zeros(registers, np.uint16)
     m = np.uint64(registers)
-    steps = np.array([s for s in range(1, registers) if np.gcd(s, registers) == 1] or [1], np.uint64)
+    steps = _steps(registers)
     order = mix(elements ^ np.uint64(0xD1B54A32D192ED03))
     start, step = order % m, steps[(order >> np.uint64(32)) % np.uint64(len(steps))]
     level = 0
@@ -120,11 +130,10 @@ def _pick(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose set sizes and joint likelihood allow the threshold; the margin is six standard deviations."""
+    """Pairs (a, b) whose joint likelihood allows the threshold; the margin is six standard deviations."""
     margin = 6 * (least * (1 - least) / REGISTERS) ** 0.5
     small = nodes.select("node", "n", "registers")
-    both = pairs.join(small.toDF("a", "n_a", "r_a"), "a").join(small.toDF("b", "n_b", "r_b"), "b").where(
-        F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-6)
+    both = pairs.join(small.toDF("a", "n_a", "r_a"), "a").join(small.toDF("b", "n_b", "r_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,37 +167,71 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The rows (bucket, node) of buckets with at least two nodes."""
+    """The rows (bucket, node, ..) of buckets with at least two nodes."""
     several = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
-    return rows.join(several, "bucket").select("bucket", "node")
+    return rows.join(several, "bucket").select(*rows.columns)
+
 
+def _in_reach(rows: DataFrame, least: float) -> DataFrame:
+    """The rows (bucket, node, n, place) that may still pair with the smallest set of their bucket, of buckets with at least two nodes.
+
+    Two sets whose first common shingle has places p and q in their orders share at most min(n - p, m - q) shingles.
+    """
+    small = rows.groupBy("bucket").agg(F.min("n").alias("small"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "small")
+    near = rows.join(small, "bucket").where(F.col("n") - F.col("place") >= (F.col("n") + F.col("small")) * (least / (1 + least)) - 1e-6)
+    return _shared(near.drop("small"))
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members with their component, of buckets that hold more than one component."""
-    if labels is None:
-        return members.withColumn("label", F.col("node"))
     found = members.join(labels.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = found.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    return found.join(open_, "bucket").select("bucket", "node", "label")
+    return _still_open(found)
+
+
+def _still_open(members: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    several = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    return members.join(several, "bucket").select(*members.columns)
+
 
+def _sizes_allow(least: float):
+    """No pair of sets beyond this ratio of sizes reaches the threshold."""
+    return F.least("n", "center_n") >= F.greatest("n", "center_n") * least - 1e-6
 
-def _stars(members: DataFrame, centers: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each bucket's members with up to ``centers`` of its members from the smallest components, and the members left to be centers."""
-    size = members.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-    ranked = members.join(size, ["bucket", "label"]) if centers > 1 else members.withColumn("size", F.lit(1))
-    picks = [F.min_by("node", F.struct("size", F.xxhash64("node", F.lit(k)) if k else F.col("node"))) for k in range(centers)]
-    chosen = ranked.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("centers"))
-    joined = members.join(chosen, "bucket")
-    label = members.select("bucket", F.col("node").alias("center"), F.col("label").alias("center_label"))
-    pairs = joined.select("node", "label", "bucket", F.explode("centers").alias("center"))
-    if centers > 1:
-        pairs = pairs.join(label, ["bucket", "center"]).where("label != center_label")
-    pairs = pairs.where("node != center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
-    return pairs, joined.where(~F.array_contains("centers", F.col("node"))).select("bucket", "node")
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+
+
+def _first_stars(members: DataFrame, least: float) -> DataFrame:
+    """Pairs of each bucket's nodes with its smallest node."""
+    centers = members.groupBy("bucket").agg(F.min("node").alias("center"))
+    centers = centers.join(members.select("bucket", F.col("node").alias("center"), F.col("n").alias("center_n")), ["bucket", "center"])
+    return _pairs(members.join(centers, "bucket").where(F.col("node") != F.col("center")).where(_sizes_allow(least)))
+
+
+def _stars(members: DataFrame, least: float, centers_each: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each bucket's nodes with ``centers_each`` nodes of its smallest components, and what is left without these.
+
+    The components' sizes are counted per bucket, so that a bucket of one large component and a few others is done
+    after as many comparisons as it has rows for each of the others.
+    """
+    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("size"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "node"))
+    centers = members.join(sizes, ["bucket", "label"]).withColumn("rank", rank).where(F.col("rank") <= centers_each)  # limited before the shuffle
+    centers = via_table(centers.select(
+        "bucket", F.col("node").alias("center"), F.col("label").alias("center_label"), F.col("n").alias("center_n"), F.col("place").alias("center_place"), F.col("before").alias("center_before")), "centers")
+    enough = F.least(F.col("n") - F.col("place"), F.col("center_n") - F.col("center_place")) >= (F.col("n") + F.col("center_n")) * (least / (1 + least)) - 1e-6
+    # Two sets that also share the shingle before this one in their orders meet in its bucket.
+    earlier = (F.col("place") > 0) & (F.col("center_place") > 0) & (F.col("before") == F.col("center_before"))
+    pairs = _pairs(members.join(centers, "bucket").where("label != center_label").where(_sizes_allow(least)).where(enough & ~earlier))
+    left = members.join(centers.select("bucket", F.col("center").alias("node")), ["bucket", "node"], "left_anti")
+    return pairs, _still_open(left.select(*members.columns))
 
 
 def _prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(bucket, node): of every set the rarest shingles, of which two linked sets share at least one.
+    """(bucket, node, n, place, before): of every set the rarest shingles, of which two linked sets share at least one, with their places in the
+    order and the shingle before.
 
     The order is by a shared counter (2**20 counters over the given texts), then by hash, so it is the same for all sets.
     """
@@ -212,9 +255,10 @@ def _prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
                 found = shingle_set(text.as_py(), size)
                 length = len(found) - -(-len(found) * percent // 100) + 1
                 order = np.lexsort((found, rare[(found % np.uint64(COUNTERS)).astype(np.int64)]))[:length]
-                yield pa.record_batch([pa.array(found[order].view(np.int64)), pa.array(np.full(length, node))], names=["bucket", "node"])
+                yield pa.record_batch([pa.array(found[order].view(np.int64)), pa.array(np.full(length, node)), pa.array(np.full(length, len(found))), pa.array(np.arange(length)), pa.array(np.append(0, found[order[:-1]].view(np.int64)))],
+                                      names=["bucket", "node", "n", "place", "before"])
 
-    return texts.select("node", "text").mapInArrow(cut, "bucket bigint, node bigint")
+    return texts.select("node", "text").mapInArrow(cut, "bucket bigint, node bigint, n bigint, place bigint, before bigint")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -230,18 +274,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = rows.where("key is not null").groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("registers").alias("registers"))
     nodes = via_table(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    bands = nodes.select("node", F.posexplode(F.transform(
+    bands = nodes.select("node", "n", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))).alias("band", "value"))
-    members = via_table(_shared(bands.select(F.xxhash64("band", "value").alias("bucket"), "node")), "buckets")
+    members = via_table(_shared(bands.select(F.xxhash64("band", "value").alias("bucket"), "node", "n")), "buckets")
     labels = None
     if not members.isEmpty():
         texts = via_table(_pick(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), size), "texts")
-        pairs, _ = _stars(_labelled(members, None), 1)
-        links = via_table(_verified(_likely(pairs, nodes, percent / 100), texts, size, percent), "pairs")
+        links = via_table(_verified(_likely(_first_stars(members, percent / 100), nodes, percent / 100), texts, size, percent), "pairs")
         labels = via_table(components(links), "labels")
         rest = via_table(_labelled(members, labels).select("node").distinct(), "rest")
         if not rest.isEmpty():
-            labels = _exact_rest(texts.join(rest, "node", "left_semi"), nodes, labels, size, percent)
+            labels = _exact_rest(via_table(texts.join(rest, "node", "left_semi"), "rest-texts"), labels, size, percent)
     result = rows.join(nodes.select("key", "node", "rep"), "key", "left")
     if labels is not None:
         first = nodes.select("node", "rep").join(labels, "node").groupBy("component").agg(F.min("rep").alias("first"))
@@ -253,21 +296,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return result.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
-def _exact_rest(texts: DataFrame, nodes: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
-    """Labels after all links among ``texts`` are found by the prefix filter; rounds double their centers, so they are few."""
-    members = via_table(_shared(_prefixes(texts, size, percent)), "prefixes")
-    centers = 1
-    while True:
-        found = via_table(_labelled(members, labels), "open")
-        if found.isEmpty():
-            return labels
-        # From the second round on, centers come from a bucket's smallest components.
-        pairs, members = _stars(found, 2 * centers)
-        pairs = via_table(_likely(pairs, nodes, percent / 100), "pairs")
-        links = via_table(_verified(pairs, texts, size, percent), "links")
-        labels = via_table(components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))), "labels")
-        members = via_table(members, "prefixes")
+def _exact_rest(texts: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
+    """Labels after all links among ``texts`` are found by the prefix filter, in rounds of stars.
+
+    The components so far stay the same during the rounds, and the number of centers doubles: a bucket of n nodes is done after about
+    log2(n / CENTERS) rounds.
+    """
+    least, centers = percent / 100, CENTERS
+    members = via_table(_labelled(_in_reach(_shared(_prefixes(texts, size, percent)), least), labels), "open")
+    links = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    while not members.isEmpty():
+        pairs, left = _stars(members, least, centers)
+        links = links.unionByName(via_table(_verified(pairs, texts, size, percent), "links"))
+        members = via_table(left, "open")
         centers *= 2
+    return via_table(components(links), "labels")
 
 
 def without_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
