@@ -35,6 +35,8 @@ MAX_IDS = 1_000_000
 COUNTERS = 1 << 20
 #: Nodes of a bucket that the others are compared with in the first round; smaller buckets are done in that round.
 CENTERS = 16
+#: Shingles before a prefix shingle that its row carries, so that most pairs are met once.
+BEFORE = 8
 
 
 @cache
@@ -222,8 +224,8 @@ def _stars(members: DataFrame, least: float, centers_each: int) -> tuple[DataFra
     centers = via_table(centers.select(
         "bucket", F.col("node").alias("center"), F.col("label").alias("center_label"), F.col("n").alias("center_n"), F.col("place").alias("center_place"), F.col("before").alias("center_before")), "centers")
     enough = F.least(F.col("n") - F.col("place"), F.col("center_n") - F.col("center_place")) >= (F.col("n") + F.col("center_n")) * (least / (1 + least)) - 1e-6
-    # Two sets that also share the shingle before this one in their orders meet in its bucket.
-    earlier = (F.col("place") > 0) & (F.col("center_place") > 0) & (F.col("before") == F.col("center_before"))
+    # Two sets that also share one of the shingles just before this one in their orders meet in that one's bucket.
+    earlier = F.arrays_overlap("before", "center_before")
     pairs = _pairs(members.join(centers, "bucket").where("label != center_label").where(_sizes_allow(least)).where(enough & ~earlier))
     left = members.join(centers.select("bucket", F.col("center").alias("node")), ["bucket", "node"], "left_anti")
     return pairs, _still_open(left.select(*members.columns))
@@ -231,7 +233,7 @@ def _stars(members: DataFrame, least: float, centers_each: int) -> tuple[DataFra
 
 def _prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(bucket, node, n, place, before): of every set the rarest shingles, of which two linked sets share at least one, with their places in the
-    order and the shingle before.
+    order and the ``BEFORE`` shingles before.
 
     The order is by a shared counter (2**20 counters over the given texts), then by hash, so it is the same for all sets.
     """
@@ -255,10 +257,11 @@ def _prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
                 found = shingle_set(text.as_py(), size)
                 length = len(found) - -(-len(found) * percent // 100) + 1
                 order = np.lexsort((found, rare[(found % np.uint64(COUNTERS)).astype(np.int64)]))[:length]
-                yield pa.record_batch([pa.array(found[order].view(np.int64)), pa.array(np.full(length, node)), pa.array(np.full(length, len(found))), pa.array(np.arange(length)), pa.array(np.append(0, found[order[:-1]].view(np.int64)))],
+                values = found[order].view(np.int64)
+                yield pa.record_batch([pa.array(values), pa.array(np.full(length, node)), pa.array(np.full(length, len(found))), pa.array(np.arange(length)), pa.array([values[max(0, i - BEFORE):i] for i in range(length)], pa.list_(pa.int64()))],
                                       names=["bucket", "node", "n", "place", "before"])
 
-    return texts.select("node", "text").mapInArrow(cut, "bucket bigint, node bigint, n bigint, place bigint, before bigint")
+    return texts.select("node", "text").mapInArrow(cut, "bucket bigint, node bigint, n bigint, place bigint, before array<bigint>")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
