@@ -7,6 +7,7 @@ from wardcast.llm import neardup
 from wardcast.llm.components import components
 from wardcast.llm.neardup import joint_estimate, merge, near_duplicates, sketch, without_copies
 from wardcast.llm.text import shingle_set, word_hashes
+from wardcast.session import via_table
 from tests.llm.conftest import row, words
 
 
@@ -117,3 +118,14 @@ def test_components_of_paths_and_hubs(spark):
 
 def test_rows_helper_matches_schema(frame):
     assert frame([row(1, "x")]).count() == 1
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(frame):
+    a, b, c = (" ".join(words(seed, 60)) for seed in (41, 42, 43))
+    docs = [row(None, a), row(None, a + " more"), row(5, b), row(5, b), row(6, b), row(None, b), row(7, c), row(7, "other text of id seven"), row(3, c), row(None, ""), row(None, "")]
+    for df in (frame(docs), via_table(frame(docs), "documents")):
+        kept = without_copies(df)
+        assert kept.schema == df.schema
+        left = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+        first = [x for x in left if x[1].startswith(a)]
+        assert len(first) == 1 and sorted([x for x in left if x not in first], key=str) == sorted([(5, b), (3, c), (7, "other text of id seven"), (None, ""), (None, "")], key=str)

@@ -19,6 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,7 +30,7 @@ from wardcast.session import via_table
 
 REGISTERS, ROWS = 252, 6
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
-#: Ids sent to all tasks to pick texts at the scan (8 bytes each); more ids take a shuffled join.
+#: Ids or places of rows sent to all tasks to pick texts at the scan (8 or 16 bytes each); more ids take a shuffled join.
 MAX_IDS = 1_000_000
 #: Counters of the shingle frequencies that order the prefix filter: 4 bytes each.
 COUNTERS = 1 << 20
@@ -100,20 +101,21 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
     return (low + high) / 2
 
 
-def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, key (128 bits of the set's content) and registers; key and registers are null for empty sets."""
+def sketched(docs: DataFrame, size: int, *keep: str) -> DataFrame:
+    """doc_id, n_shingles, key (128 bits of the set's content), registers and the bigint columns named; key and registers are null for empty sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, keys, registers = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(batch.num_columns - 1):
                 found = shingle_set(text.as_py(), size)
                 n.append(len(found))
                 keys.append(digest(found) if len(found) else None)
                 registers.append(sketch(found).astype(">u2").tobytes() if len(found) else None)
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(registers, pa.binary())],
-                                  names=["doc_id", "n_shingles", "key", "registers"])
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(registers, pa.binary()), *batch.columns[1:-1]],
+                                  names=["doc_id", "n_shingles", "key", "registers", *keep])
 
-    return text_bytes(docs, F.col("doc_id").cast("bigint").alias("doc_id")).mapInArrow(run, "doc_id bigint, n_shingles bigint, key binary, registers binary")
+    kinds = ", ".join(["doc_id bigint, n_shingles bigint, key binary, registers binary", *[f"{c} bigint" for c in keep]])
+    return text_bytes(docs, F.col("doc_id").cast("bigint").alias("doc_id"), *keep).mapInArrow(run, kinds)
 
 
 def _pick(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -272,8 +274,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     nothing and kept. Rows that repeat a doc_id are judged by their own texts. A null doc_id is never
     kept, unless it has no words or its whole group has no id. Ties (equal sets) are one class. An empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    rows = via_table(sketched(docs, size), "sketches")
+    found = _grouped(docs, size, percent)
+    component = F.coalesce("first", "rep", "doc_id")
+    kept = F.col("key").isNull() | component.isNull() | F.coalesce(F.col("doc_id") == component, F.lit(False))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def _grouped(docs: DataFrame, size: int, percent: int, *keep: str) -> DataFrame:
+    """Rows of ``sketched`` with their class (node, rep: its smallest doc_id) and of linked ones the component and its smallest doc_id (first)."""
+    rows = via_table(sketched(docs, size, *keep), "sketches")
     classes = rows.where("key is not null").groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("registers").alias("registers"))
     nodes = via_table(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -291,12 +300,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     result = rows.join(nodes.select("key", "node", "rep"), "key", "left")
     if labels is not None:
         first = nodes.select("node", "rep").join(labels, "node").groupBy("component").agg(F.min("rep").alias("first"))
-        result = result.join(labels.join(first, "component").select("node", "first"), "node", "left")
-    else:
-        result = result.withColumn("first", F.lit(None).cast("bigint"))
-    component = F.coalesce("first", "rep", "doc_id")
-    kept = F.col("key").isNull() | component.isNull() | F.coalesce(F.col("doc_id") == component, F.lit(False))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+        return result.join(labels.join(first, "component").select("node", "component", "first"), "node", "left")
+    return result.withColumns({"component": F.lit(None).cast("bigint"), "first": F.lit(None).cast("bigint")})
 
 
 def _exact_rest(texts: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
@@ -316,10 +321,27 @@ def _exact_rest(texts: DataFrame, labels: DataFrame, size: int, percent: int) ->
     return via_table(components(links), "labels")
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the file (hashed) and the row of each, the same in every scan; rows not straight from files are written to the shared folder first."""
+    place = [F.xxhash64("_metadata.file_path").alias("_copy_file"), F.col("_metadata.row_index").alias("_copy_row")]
+    try:
+        return docs.select("*", *place)
+    except AnalysisException:
+        return via_table(docs, "documents").select("*", *place)
+
+
 def without_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group, all columns kept. A doc_id leaves when none of its rows is the one kept."""
-    found = near_duplicates(docs, size, percent).where("doc_id is not null")
-    gone = via_table(found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("_gone")), "gone")
+    """``docs`` with one row of each group, all columns kept: the one of the smallest doc_id, a null id last, then of the first place in the files.
+
+    Rows are judged one by one, whether or not they have an id or repeat one. Rows without words all stay.
+    """
+    docs, names = _placed(docs), docs.columns
+    found = _grouped(docs, size, percent, "_copy_file", "_copy_row").where("key is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_copy_file", "_copy_row")
+    rows = via_table(found.select(F.coalesce("component", "node").alias("group"), order.alias("at")), "groups")
+    stays = rows.groupBy("group").agg(F.min("at").alias("stays"), F.max("at").alias("last")).where("stays < last").select("group", "stays")
+    gone = rows.join(stays, "group").where("at != stays").select(F.col("at._copy_file").alias("_copy_file"), F.col("at._copy_row").alias("_copy_row"))
+    gone = via_table(gone, "gone")
     if gone.count() <= MAX_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, ["_copy_file", "_copy_row"], "left_anti").select(*names)
