@@ -69,3 +69,16 @@ def test_filter_keeps_columns_and_clean_rows(spark, awkward, empty):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert without_contaminated(awkward, none).count() == awkward.count() and contamination(empty, bench).count() == 0
     assert contamination(awkward, none).where("contaminated or n_hit > 0").count() == 0
+
+
+def test_each_row_is_judged_by_itself_with_several_blocks_too(spark):
+    items = [(k, " ".join(words(60 + k, 15))) for k in range(6)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = [(None, items[0][1]), (None, "clean"), (4, items[5][1]), (4, "also clean"), (4, None), (8, " ".join(x for _, x in items))]
+    # Each item alone stays below 5 % of the words, all of them together do not.
+    docs.append((9, " ".join([x for _, x in items] + words(99, 700))))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for limit in (8_000_000, 200):
+        kept = without_contaminated(df, bench, max_block=limit)
+        assert kept.schema == df.schema
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, "clean"), (4, "also clean"), (4, None)], key=str)

@@ -10,15 +10,17 @@ by window into as many blocks as that takes; the documents are scanned once per
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardcast.llm.text import bounded_batches, text_bytes
+from wardcast.session import via_table
 
 WINDOW = 13
 #: Bytes of window texts in one automaton; a node takes about 50 bytes, so this is some 400 MB at most.
@@ -96,15 +98,20 @@ def byte_spans(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, in
     return [(int(starts[a]), int(ends[b - 1])) for a, b in ranges]
 
 
-def _blocks(benchmark: DataFrame, size: int, max_block: int) -> Iterator[list[tuple[bytes, list[str]]]]:
-    """The benchmark's windows with their items, in blocks of a checked number of bytes."""
+def _dealt(benchmark: DataFrame, size: int, max_block: int) -> tuple[int, Callable[[int], Scanner]]:
+    """The number of blocks of at most about ``max_block`` bytes that hold the benchmark's windows with their items, and what gives a block's scanner."""
     found = windows(benchmark, size).groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     weight = F.octet_length("window") + 2 + F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x))
     total = found.agg(F.sum(weight)).first()[0]
     n = -(-(total or 0) // max_block)
-    for block in range(n):
-        rows = found.where(F.pmod(F.xxhash64("window"), F.lit(n)) == block)
-        yield [(bytes(r["window"]), list(r["items"])) for r in rows.toLocalIterator()]
+    if n > 1:
+        found = via_table(found, "windows")
+
+    def scanner(block: int) -> Scanner:
+        rows = found.where(F.pmod(F.xxhash64("window"), F.lit(n)) == block) if n else found.limit(0)
+        return Scanner([(bytes(r["window"]), list(r["items"])) for r in rows.toLocalIterator()], size)
+
+    return n, scanner
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_block: int = MAX_BLOCK) -> DataFrame:
@@ -134,20 +141,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_block: i
 
         return run
 
-    parts = [source.mapInArrow(scanned(Scanner(entries, size)), schema) for entries in _blocks(benchmark, size, max_block)]
-    if len(parts) <= 1:
-        return parts[0] if parts else source.mapInArrow(scanned(Scanner([], size)), schema)
-    # Several blocks: number the rows by their content, so that every scan's hits meet again.
-    return _merged(source, [Scanner(entries, size) for entries in _blocks(benchmark, size, max_block)], schema, scanned)
-
-
-def _merged(source: DataFrame, scanners: list[Scanner], schema: str, scanned) -> DataFrame:
-    """One pass per block over the result of the pass before; each adds its ranges and items."""
-    from wardcast.session import via_table
-
-    out = via_table(source.mapInArrow(_with_text(scanned(scanners[0])), schema + ", text binary"), "hits")
-    for scanner in scanners[1:]:
-        out = via_table(out.mapInArrow(_adding(scanner), schema + ", text binary"), "hits")
+    n, scanner = _dealt(benchmark, size, max_block)
+    if n <= 1:
+        return source.mapInArrow(scanned(scanner(0)), schema)
+    # Several blocks: one pass each over the result of the pass before adds its ranges and items; one scanner at a time.
+    out = via_table(source.mapInArrow(_with_text(scanned(scanner(0))), schema + ", text binary"), "hits")
+    for block in range(1, n):
+        out = via_table(out.mapInArrow(_adding(scanner(block)), schema + ", text binary"), "hits")
     return out.drop("text")
 
 
@@ -188,35 +188,61 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, per
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, percent: int = 5, max_block: int = MAX_BLOCK) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns.
 
-    A row is judged where it lies when one automaton holds the benchmark: no join and no shuffle. With several
-    blocks, the ids judged by the merged scan leave the table by an anti join.
+    Each row is judged where it lies, whatever its id: no join and no shuffle. With several blocks the rows are written once per block but
+    the last, with the word ranges hit so far.
     """
-    names = docs.columns
-    blocks = list(_first_blocks(benchmark, size, max_block))
-    if len(blocks) > 1:
-        bad = contamination(docs, benchmark, size, percent, max_block).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(*names)
-    scanner = Scanner(blocks[0] if blocks else [], size)
-    place = names.index("text")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, good = batch.column(place), []
-            for k in range(len(texts)):
-                n, hits, _ = scanner.find((texts[k].as_py() or "").encode())
-                hit = sum(b - a for a, b in hits)
-                good.append(not hit or hit * 100 < n * percent)
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    return bounded_batches(docs).mapInArrow(keep, docs.schema)
-
-
-def _first_blocks(benchmark: DataFrame, size: int, max_block: int) -> Iterator[list]:
-    """At most two blocks: enough to tell whether one automaton does."""
-    for k, block in enumerate(_blocks(benchmark, size, max_block)):
-        yield block
-        if k:
-            return
+    names, place = docs.columns, docs.columns.index("text")
+    n, scanner = _dealt(benchmark, size, max_block)
+    kinds = T.StructType([*docs.schema, T.StructField(_unused(names), T.ArrayType(T.LongType()))])
+
+    def marking(scanner: Scanner, first: bool):
+        """Rows with the starts and ends of ranges hit, one after the other."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                marks = []
+                for k in range(batch.num_rows):
+                    n_words, hits, _ = scanner.find((batch.column(place)[k].as_py() or "").encode())
+                    marks.append([x for r in _with(hits, [] if first else batch.column(-1)[k].as_py(), n_words) for x in r])
+                columns = batch.columns if first else batch.columns[:-1]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(marks, pa.list_(pa.int64()))], names=kinds.names)
+
+        return run
+
+    def keeping(scanner: Scanner, first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, good = batch.column(place), []
+                for k in range(len(texts)):
+                    n_words, hits, _ = scanner.find((texts[k].as_py() or "").encode())
+                    hit = sum(b - a for a, b in (hits if first else _with(hits, batch.column(-1)[k].as_py(), n_words)))
+                    good.append(not hit or hit * 100 < n_words * percent)
+                kept = batch if first else pa.RecordBatch.from_arrays(batch.columns[:-1], names=names)
+                yield kept.filter(pa.array(good, pa.bool_()))
+
+        return run
+
+    rows = bounded_batches(docs)
+    for block in range(n - 1):
+        rows = via_table(rows.mapInArrow(marking(scanner(block), block == 0), kinds), "hits")
+    return rows.mapInArrow(keeping(scanner(max(0, n - 1)), n <= 1), docs.schema)
+
+
+def _unused(names: list[str]) -> str:
+    """A column name that is none of these."""
+    name = "hit"
+    while name.lower() in {x.lower() for x in names}:
+        name = "_" + name
+    return name
+
+
+def _with(hits: list[tuple[int, int]], before: list[int], n_words: int) -> list[tuple[int, int]]:
+    """Word ranges of both: ranges, and starts and ends one after the other."""
+    if not before:
+        return hits
+    flags = np.zeros(n_words, bool)
+    for a, b in [*hits, *zip(before[::2], before[1::2])]:
+        flags[a:b] = True
+    return runs(flags)
 
 
 def items_digest(items: list[str]) -> str:
