@@ -73,3 +73,16 @@ def test_requests_are_kept_or_rejected(spark, tmp_path):
     assert sorted((r["position"], r["aqi"]) for r in rows) == [(0, 88.0), (0, 88.0), (1, None)] and "own" in {r["request_id"] for r in rows}
     reasons = sorted(r["reason"] for r in R.request_rejects(spark, str(tmp_path)).collect())
     assert reasons == ["missing columns: aqi", "no readable data", "no readable data", "no readable data", "not JSON"]
+
+
+def test_different_requests_with_one_id_are_all_kept(spark, tmp_path):
+    texts = [json.dumps({"request_id": "7", "data": {**RECORD, "aqi": aqi}}) for aqi in (10, 20)] + ['{"request_id": "7", "mode": "xgb"}']
+    (tmp_path / "a.json").write_text("\n".join([*texts, texts[0]]))
+    (tmp_path / "b.json").write_text("\n".join([texts[1], json.dumps({"request_id": "8", "data": RECORD})]))
+    rows = R.scan_json_payload(spark, str(tmp_path)).collect()
+    assert sorted(r["aqi"] for r in rows) == [10, 20, 20, 88] and len({r["request_id"] for r in rows}) == 4
+    rejects = R.request_rejects(spark, str(tmp_path)).collect()
+    assert [r["reason"] for r in rejects] == ["no readable data"]
+    ids = [r["request_id"] for r in [*rows, *rejects]]
+    assert len(set(ids)) == 5 and ids.count("7") == ids.count("8") == 1
+    assert sorted(ids) == sorted(r["request_id"] for r in R.scan_requests(spark, str(tmp_path)).collect())

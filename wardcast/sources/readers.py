@@ -108,10 +108,12 @@ def scan_requests(spark: SparkSession, path: str, multiline: bool = False, requi
     """One row per request: settings, ``records`` and ``reject_reasons`` (empty for good requests).
 
     Requests as JSON lines split across tasks; ``multiline`` reads one pretty-printed request per file. ``request_id`` is the request's own, or else
-    a hash of its file and text, so the same request sent twice in a file counts once. A request is rejected when it
+    a hash of its file and text. The same text twice in a file counts once. Of different requests with one id the one with the smallest file
+    (then hash) keeps it, the others get their hash as if they had none. A request is rejected when it
     is no JSON, has no data, no readable record, or when a required column is in none of its records.
     """
     lines = spark.read.text(path, wholetext=multiline).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value", F.lit(" \t\r\n")) != "")
+    lines = lines.withColumn("own", F.sha2(F.concat_ws("\n", "file", "value"), 256))
     kind = T.StructType([*REQUEST, T.StructField("request_id", T.StringType()), T.StructField("_corrupt_record", T.StringType())])
     r = F.col("r")
     read = lines.withColumn("r", F.from_json("value", kind)).withColumn("fields", records_of(r["data"], T.MapType(T.StringType(), T.StringType())))
@@ -125,9 +127,13 @@ def scan_requests(spark: SparkSession, path: str, multiline: bool = False, requi
     )
     settings = [r[c].alias(c) for c in ("mode", "weight_tft", "hospital_id", "disease_sensitivity")]
     named = read.select(
-        F.coalesce(r["request_id"], F.sha2(F.concat_ws("\n", "file", "value"), 256)).alias("request_id"), "file", *settings,
-        records_of(r["data"]).alias("records"), present_items(reason).alias("reject_reasons"))
-    return payload_defaults(named).dropDuplicates(["request_id"])
+        F.coalesce(r["request_id"], "own").alias("request_id"), "own", "file", *settings,
+        records_of(r["data"]).alias("records"), present_items(reason).alias("reject_reasons")).dropDuplicates(["own"])
+    ids = lines.select("file", "own", F.from_json("value", kind)["request_id"].alias("request_id")).where("request_id is not null")
+    used = ids.groupBy("request_id").agg(F.min(F.struct("file", "own")).alias("_first"), F.max(F.struct("file", "own")).alias("_last")).where("_first < _last")
+    both = payload_defaults(named).join(used.drop("_last"), "request_id", "left")
+    request_id = F.when(F.col("own") != F.col("_first.own"), F.col("own")).otherwise(F.col("request_id"))
+    return both.withColumn("request_id", request_id).drop("own", "_first")
 
 
 def scan_json_payload(spark: SparkSession, path: str, multiline: bool = False, required: Sequence[str] = tuple(REQUEST_COLUMNS)) -> DataFrame:
