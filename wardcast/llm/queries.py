@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardcast.llm import chat, decontaminate, fingerprint, language, lm, neardup, packing, substring, toxicity, urls
+from wardcast.llm import chat, decontaminate, fingerprint, language, lm, neardup, packing, pii, substring, toxicity, urls, whitening
 from wardcast.llm.text import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,19 @@ def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query("op12_embedding_whitening")
+def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+@query("op13_pii")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(table(spark, folder, "documents"))
+    counts = [pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    digest = F.sha2(pii.as_text(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.as_text(F.col("spans")).alias("spans"))
+
+
 @query("op4_chat_formatting", r"""
 WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p, count(*) OVER (PARTITION BY conv_id) AS n
   FROM (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
