@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardcast.llm import chat, decontaminate, fingerprint, language, lm, neardup, packing, pii, substring, toxicity, urls, whitening
+from wardcast.llm import chat, decontaminate, fingerprint, language, lm, neardup, packing, pii, structure, substring, toxicity, urls, whitening
 from wardcast.llm.text import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,12 @@ def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query("op11_conversation_repair")
+def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    return structure.repaired(conversations, structure.damaged(conversations))
+
+
 @query("op12_embedding_whitening")
 def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(table(spark, folder, "embeddings"))
