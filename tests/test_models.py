@@ -42,24 +42,6 @@ def test_quantile_boosting_is_calibrated(spark, data):
     assert out.where("q10 > q90").count() < 30
 
 
-def test_fit_per_entity_against_least_squares(spark, data):
-    fits = {r["city"]: r for r in L.fit_per_entity(data, ["x", "z"], "y").collect()}
-    local = data.toPandas()
-    for city, part in local.groupby("city"):
-        a = np.column_stack([np.ones(len(part)), part.x, part.z])
-        expected = np.linalg.lstsq(a, part.y, rcond=None)[0]
-        assert [fits[city]["intercept"], *fits[city]["coefficients"]] == pytest.approx(list(expected), rel=1e-6)
-
-
-def test_entities_that_cannot_be_fitted_keep_a_row(spark, data):
-    odd = data.select("x", F.col("x").alias("z"), "y", "city").unionByName(spark.createDataFrame([(1.0, 2.0, 3.0, "tiny")], "x double, z double, y double, city string"))
-    fits = {r["city"]: r for r in L.fit_per_entity(odd, ["x", "z"], "y").collect()}
-    assert fits["tiny"]["status"] == "error" and "rows" in fits["tiny"]["error"]
-    assert fits["c0"]["status"] == "error" and "independent" in fits["c0"]["error"]
-    scored = L.predict_per_entity(odd, L.fit_per_entity(odd, ["x"], "y"), ["x"])
-    assert scored.count() == odd.count() and scored.where("city = 'tiny' AND median IS NOT NULL").count() == 0
-
-
 def test_tuning_ranks_by_validation_error(data):
     ranked = L.tune(data.where("x < 8"), data.where("x >= 8"), {"depth": [1, 3], "iterations": [2]}, "y", ["x", "z"])
     assert len(ranked) == 2 and ranked[0]["mae"] <= ranked[1]["mae"]

@@ -149,9 +149,11 @@ def _bucket_sql(c: str) -> str:
 f AS (SELECT aqi, outbreak_index, {', '.join(f'{TRAIN[c]} AS {c}' for c in RISING_FEATURES if c in TRAIN)} FROM lagged),
 s AS (SELECT {', '.join(f'CAST(min({c}) AS DOUBLE) AS lo_{c}, CAST(max({c}) AS DOUBLE) AS hi_{c}' for c in RISING_FEATURES)} FROM f),
 b AS ({' UNION ALL '.join(_bucket_sql(c) for c in RISING_FEATURES)}),
-a AS (SELECT feature, bucket, count(*) AS n_rows, avg(p) AS mean_prediction FROM b GROUP BY 1, 2)
-SELECT feature, bucket, n_rows, round(mean_prediction, 6) AS mean_prediction,
+a AS (SELECT feature, bucket, count(*) AS n_rows, avg(p) AS mean_prediction, sum(CAST(round(p * 100) AS BIGINT)) AS cents FROM b GROUP BY 1, 2)
+SELECT feature, bucket, n_rows, CAST(cents AS BIGINT) AS cents,
   CASE WHEN mean_prediction < lag(mean_prediction) OVER (PARTITION BY feature ORDER BY bucket) THEN 1 ELSE 0 END::BIGINT AS falls FROM a""")
 def monotone(spark, folder):
     df = features(via_table(lagged_panel(spark, folder), "panel")).withColumn("q50", F.col("aqi"))
-    return monotone_report(df, "q50").withColumn("mean_prediction", F.round("mean_prediction", 6))
+    # The predictions have two decimals: their sum in cents does not depend on the order of addition.
+    report = monotone_report(df, "q50")
+    return report.select("feature", "bucket", "n_rows", F.round(F.col("mean_prediction") * F.col("n_rows") * 100).cast("bigint").alias("cents"), "falls")

@@ -76,15 +76,6 @@ def bands(spark, folder):
     return done.select("hospital_id", "date", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query("fit_per_entity", f"""WITH {LAGGED_SQL},
-m AS (SELECT city, count(*) AS n_rows, var_pop(rolling_14_admissions) AS s11, var_pop(humidity) AS s22, covar_pop(rolling_14_admissions, humidity) AS s12,
-  covar_pop(rolling_14_admissions, admissions) AS s1y, covar_pop(humidity, admissions) AS s2y FROM lagged GROUP BY 1)
-SELECT city, n_rows, 'ok' AS status, round((s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12), 4) AS slope_rolling, round((s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12), 6) AS slope_humidity FROM m""")
-def per_entity(spark, folder):
-    fits = L.fit_per_entity(lagged_panel(spark, folder), ["rolling_14_admissions", "humidity"], "admissions")
-    return fits.select("city", "n_rows", "status", F.round(F.col("coefficients")[0], 4).alias("slope_rolling"), F.round(F.col("coefficients")[1], 6).alias("slope_humidity"))
-
-
 @query("training_summary", f"""WITH {FORECAST_SQL}{split_sql('pred')}, v AS (SELECT * FROM cut WHERE split = 'validation')
 SELECT 41::BIGINT AS n_features, CAST(count(*) FILTER (WHERE split = 'train') AS BIGINT) AS n_train, CAST(count(*) FILTER (WHERE split = 'validation') AS BIGINT) AS n_val,
   count(DISTINCT city) AS n_cities, count(DISTINCT hospital_id) AS n_hospitals, (SELECT round(avg(abs(y - second)), 4) FROM v) AS mae,

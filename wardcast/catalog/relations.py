@@ -9,11 +9,10 @@ from wardcast.functions.fixed import fixed_row
 from wardcast.functions.scalars import flag, is_between
 from wardcast.operators import metrics, relate
 from wardcast.operators.bands import any_adjustment, combine_models
-from wardcast.operators.models import fit_per_entity
 from wardcast.operators.ordering import top_rows
 from wardcast.operators.quantiles import quantile_row, quantiles
 from wardcast.operators.weights import residuals, spike_threshold
-from wardcast.plans.tables import FORECAST_SQL, LAGGED_SQL, PANEL_SQL, lagged_panel, panel, raw_forecast, stored_forecast
+from wardcast.plans.tables import FORECAST_SQL, PANEL_SQL, panel, raw_forecast, stored_forecast
 from wardcast.sources.readers import table
 
 KEY = "hospital_id::BIGINT AS hospital_id, CAST(date AS VARCHAR) AS date"
@@ -138,21 +137,6 @@ def weekly(spark, folder):
     return relate.average_forecast(f, "q50", ["hospital_id", "week"]).withColumn("mean_forecast", F.round("mean_forecast", 6))
 
 
-@query("per_entity_summary", f"""WITH {LAGGED_SQL},
-f AS (SELECT city, 'ok' AS status, count(*) AS n_rows, regr_slope(aqi, rolling_14_admissions) AS slope, regr_intercept(aqi, rolling_14_admissions) AS start FROM lagged GROUP BY 1)
-SELECT f.city, status, n_rows, round(slope, 4) AS slope, round(avg(abs(aqi - (start + slope * rolling_14_admissions))), 4) AS mae
-FROM f JOIN lagged ON f.city = lagged.city GROUP BY 1, 2, 3, slope""")
-def per_entity(spark, folder):
-    """Fit and quality per city; a city that cannot be fitted would keep a row with its error."""
-    from wardcast.operators.models import predict_per_entity
-
-    p = lagged_panel(spark, folder)
-    fits = fit_per_entity(p, ["rolling_14_admissions"], "aqi")
-    quality = metrics.regression_metrics(predict_per_entity(p, fits, ["rolling_14_admissions"]), "aqi", by=["city"], raw=True)
-    return fits.drop("n_rows").join(quality, "city", "left").select(
-        "city", "status", "n_rows", F.round(F.col("coefficients")[0], 4).alias("slope"), F.round("mae", 4).alias("mae"))
-
-
 @query("sort_entity_time", f"WITH {PANEL_SQL} SELECT city, {KEY}, admissions FROM panel ORDER BY city, hospital_id, date")
 def by_entity(spark, folder):
     return relate.sort_entity_time(panel(spark, folder).select("city", "hospital_id", "date", "admissions"))

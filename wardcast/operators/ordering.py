@@ -93,6 +93,31 @@ def cut_keys(df: DataFrame, cuts: DataFrame, entity: str = "hospital_id", time:
     )
 
 
+def group_cuts(df: DataFrame, by: str, at: Sequence[Column], entity: str = "hospital_id", time: str = "date") -> DataFrame:
+    """``by, cuts``: the (day, tie, who) keys of the rows of each group at the positions ``at`` (1-based, expressions over its row count ``n``), in order.
+
+    As in ``cut_keys`` the search narrows from days to one bucket of one day; only keys are read, and no step orders more than a group's days or one bucket.
+    Positions below 1 have no key.
+    """
+    require_days(df, time)
+    keys = df.select(F.col(by).alias("g"), F.col(time).alias("day"), F.col(entity).alias("who"), tie_key(entity).alias("tie"))
+    keys = keys.withColumn("part", F.left("tie", F.lit(DIGITS)))
+    days = keys.groupBy("g", "day").agg(F.count("*").alias("c"))
+    whole = W.partitionBy("g")
+    days = days.withColumns({"upto": F.sum("c").over(whole.orderBy("day")), "n": F.sum("c").over(whole)})
+    wanted = F.array(*(F.struct(F.lit(i).alias("cut"), c.cast("bigint").alias("at")) for i, c in enumerate(at)))
+    in_day = days.select("g", "day", "upto", "c", F.explode(wanted).alias("w")).where((F.col("w.at") <= F.col("upto")) & (F.col("w.at") > F.col("upto") - F.col("c")))
+    in_day = in_day.select(F.col("g").alias("g2"), F.col("day").alias("day2"), "w.cut", (F.col("w.at") - F.col("upto") + F.col("c")).alias("at"))
+    same = F.col("g").eqNullSafe(F.col("g2")) & F.col("day").eqNullSafe(F.col("day2"))
+    parts = keys.join(in_day, same).groupBy("g", "day", "cut", "at", "part").agg(F.count("*").alias("c"))
+    parts = parts.withColumn("upto", F.sum("c").over(W.partitionBy("g", "cut").orderBy("part")))
+    in_part = parts.where((F.col("at") <= F.col("upto")) & (F.col("at") > F.col("upto") - F.col("c"))).select(
+        F.col("g").alias("g2"), F.col("day").alias("day2"), F.col("part").alias("part2"), "cut", (F.col("at") - F.col("upto") + F.col("c")).alias("at"))
+    rank = F.row_number().over(W.partitionBy("g", "cut").orderBy("tie", "who"))
+    found = keys.join(in_part, same & (F.col("part") == F.col("part2"))).withColumn("rank", rank).where(F.col("rank") == F.col("at"))
+    return found.groupBy(F.col("g").alias(by)).agg(F.sort_array(F.collect_list(F.struct("day", "tie", "who"))).alias("cuts"))
+
+
 def _count_cuts(df: DataFrame, cuts: list[Column]) -> DataFrame:
     """``cut_id, at`` rows from expressions over the row count ``n``."""
     rows = [F.struct(F.lit(i).alias("cut_id"), c.cast("bigint").alias("at")) for i, c in enumerate(cuts)]
