@@ -65,19 +65,20 @@ class Centred:
         self.n = blocks.agg(F.sum("n")).first()[0] or 0
 
         def sums(x: np.ndarray) -> np.ndarray:  # high and low halves apart, so that no sum leaves 64 bits
-            return np.stack([(x >> 32).sum(0), (x & 0xFFFFFFFF).sum(0), np.abs(x.astype(float)).max(0).astype(np.int64)], 1)
+            return np.stack([(x >> 32).sum(0), (x & 0xFFFFFFFF).sum(0)], 1)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for data in batch.column(0):
-                    found = sums(np.frombuffer(data.as_buffer(), np.int64).reshape(-1, size))
-                    yield pa.record_batch([pa.array(np.arange(size)), *(pa.array(found[:, i]) for i in range(3))], names=["i", "high", "low", "most"])
+                    x = np.frombuffer(data.as_buffer(), np.int64).reshape(-1, size)
+                    found = sums(x)
+                    yield pa.record_batch([pa.array(np.arange(size)), pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(np.abs(x.astype(float)).max(0))], names=["i", "high", "low", "most"])
 
-        rows = blocks.select("data").mapInArrow(run, "i bigint, high bigint, low bigint, most bigint")
+        rows = blocks.select("data").mapInArrow(run, "i bigint, high bigint, low bigint, most double")
         big = lambda c: F.sum(F.col(c).cast("decimal(20,0)"))
         found = {r["i"]: r for r in rows.groupBy("i").agg(big("high").alias("high"), big("low").alias("low"), F.max("most").alias("most")).collect()}
         self.sums = [(int(found[i]["high"]) << 32) + int(found[i]["low"]) for i in range(size)] if self.n else [0] * size
-        most = max([r["most"] for r in found.values()], default=0) + 1
+        most = int(max([r["most"] for r in found.values()], default=0)) + 1
         #: Whether n x - S and the sum of its squares fit 64 bits with certainty.
         self.exact = 4 * (self.n * most) ** 2 * size < 2**63
 
@@ -237,7 +238,7 @@ def whitened(rows: DataFrame, id_: str = "vec_id", vector: str = "embedding", co
         # the sums of z and of its products in one pass
         total = fit.summed(lambda c: (z := c @ onto) is not None and np.vstack([z.T @ z, z.sum(0)]), (k + 1, k)) / fit.n
         error = float(np.abs(total[:k] - np.outer(total[k], total[k]) - np.eye(k)).max())
-    explained = [float(v / trace) if trace else 0.0 for v in values]
+    explained = [max(0.0, float(v / trace)) if trace else 0.0 for v in values]
     centre, n, exact, sums = fit.centring(), fit.n, fit.exact, fit.sums
     places = [int(np.flatnonzero(full).tolist().index(j)) if full[j] else -1 for j in range(len(values))]
 
