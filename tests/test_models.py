@@ -72,3 +72,29 @@ def test_requests_to_plans(spark, folder, tmp_path):
     plans = plan_requests(bands, *parts, F.to_timestamp(F.lit("2025-01-01 00:00:00")))
     assert plans.count() == good.count()
     assert plans.select("plan.requestId").distinct().count() == good.count()
+
+
+def test_search_stages_equal_separate_fits_and_halving_keeps_the_best(data):
+    train, later = data.where("x < 8"), data.where("x >= 8")
+    trials = L.search(train, later, {"depth": [1, 2], "rate": [0.1, 0.5]}, trees=8, label="y", features=["x", "z"])
+    assert [t.rung for t in trials] == [2, 1, 0, 0] and [t.trees for t in trials] == [8, 4, 2, 2]
+    for t in trials[:2]:
+        model = L.boosted("squared", "y", "p", ["x", "z"], iterations=t.best, **t.options).fit(train)
+        assert model.transform(later).agg(F.avg(F.abs(F.col("y") - F.col("p")))).first()[0] == pytest.approx(t.error, abs=1e-9)
+        assert len(t.errors) == t.trees and t.error == min(t.errors)
+    # a rung keeps the half with the smaller errors
+    assert min(t.errors[:2][-1] for t in trials[:2]) <= min(t.error for t in trials[2:]) + 1e-9
+
+
+def test_quantile_fit_stops_early_and_keeps_the_best_trees(data):
+    vectors = VectorAssembler(inputCols=["x", "z"], outputCol="features").transform(data)
+    train, later = vectors.where("x < 8"), vectors.where("x >= 8")
+    whole = L.fit_quantile(train, 0.9, "y", rounds=7, depth=2, rate=0.9)
+    losses = whole.staged_losses(later, "y")
+    assert len(losses) == 8
+    for n in (0, 3):
+        gap = F.col("y") - F.col("p")
+        assert whole.first(n).transform(later, "p").agg(F.avg(L.pinball(gap, 0.9))).first()[0] == pytest.approx(losses[n], abs=1e-9)
+    early = L.fit_quantile(train, 0.9, "y", rounds=7, depth=2, rate=0.9, validation=later, patience=2)
+    stop = next((i for i in range(2, 8) if min(losses[:i + 1]) < min(losses[i - 1:i + 1])), 7)
+    assert len(early.steps) == losses[:stop + 1].index(min(losses[:stop + 1]))

@@ -72,3 +72,19 @@ def test_crowded_buckets_are_divided(spark, monkeypatch, limit, parts):
     check(quantiles(frame(spark, values), {"v": F.col("v")}, PROBS).first(), values)
     for r in quantiles(frame(spark, values, groups), {"v": F.col("v")}, PROBS, ["g"]).collect():
         check(r, values[[g == r["g"] for g in groups]])
+
+
+def test_sets_of_groups_share_one_search(spark, monkeypatch):
+    from wardcast.operators import quantiles as Q
+
+    rows = [("a" if i % 3 else None, i % 2, float((i * 37) % 101) - 50) for i in range(500)] + [("b", 7, None), ("b", 7, float("nan"))]
+    df = spark.createDataFrame(rows, "k string, m int, v double")
+    monkeypatch.setattr(Q, "ORDERABLE", 20)
+    sets = [[], ["k"], ["k", "m"]]
+    found = Q.quantiles(df, {"v": F.col("v")}, [0.25, 0.9], ["k", "m"], sets=sets).collect()
+    expected = set()
+    for i, own in enumerate(sets):
+        single = Q.quantiles(df, {"v": F.col("v")}, [0.25, 0.9], own).collect()
+        expected |= {(i, r["k"] if "k" in own else None, r["m"] if "m" in own else None, r["n"], tuple(r["q"])) for r in single}
+    assert {(r["set"], r["k"], r["m"], r["n"], tuple(r["q"])) for r in found} == expected and len(found) == len(expected) == 1 + 2 + 4
+    assert Q.quantiles(df.limit(0), {"v": F.col("v")}, [0.5], ["k"], sets=[[], ["k"]]).isEmpty()

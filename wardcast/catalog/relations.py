@@ -107,8 +107,8 @@ def cities(spark, folder):
 def percentiles(spark, folder):
     events = table(spark, folder, "events")
     cells = [F.round(F.col("q")[i], 6).alias(f"p{int(round(p * 100))}") for i, p in enumerate(LEVELS)]
-    whole = quantiles(events, {"value": F.col("value")}, LEVELS).select(F.lit("all").alias("event_type"), "n", *cells)
-    return whole.unionByName(quantiles(events, {"value": F.col("value")}, LEVELS, ["event_type"]).select("event_type", "n", *cells))
+    found = quantiles(events, {"value": F.col("value")}, LEVELS, ["event_type"], sets=[[], ["event_type"]])
+    return found.select(F.when(F.col("set") == 0, F.lit("all")).otherwise(F.col("event_type")).alias("event_type"), "n", *cells)
 
 
 @query("adjustment_stats", f"""WITH {FORECAST_SQL}, t AS (SELECT quantile_cont(y, 0.7) AS p70 FROM pred)

@@ -91,6 +91,18 @@ class PinballModel:
     def _move(self, model: Model, values: dict[float, float]) -> Column:
         return F.lit(self.rate) * F.element_at(_leaf_map(values), F.col("leaf"))
 
+    def staged_losses(self, df: DataFrame, label: str) -> list[float]:
+        """Mean pinball loss of the first 0, 1, 2, ... trees, in one pass over ``df``."""
+        out, names = df.withColumn("__p0", F.lit(self.start)), ["__p0"]
+        for i, (model, values) in enumerate(self.steps):
+            names.append(f"__p{i + 1}")
+            out = model.transform(out).withColumn(names[-1], F.col(names[-2]) + self._move(model, values)).drop("leaf", "tree_prediction")
+        return list(out.agg(*[F.avg(pinball(F.col(label) - F.col(n), self.level)).alias(n) for n in names]).first())
+
+    def first(self, trees: int) -> PinballModel:
+        """The model of the first trees only."""
+        return PinballModel(self.level, self.start, self.rate, self.steps[:trees])
+
     def transform(self, df: DataFrame, prediction: str) -> DataFrame:
         out = df.withColumn(prediction, F.lit(self.start))
         for model, values in self.steps:
@@ -99,15 +111,22 @@ class PinballModel:
         return out
 
 
+def pinball(gap: Column, level: float) -> Column:
+    """Loss of a quantile that lies ``gap`` below the value."""
+    return F.greatest(F.lit(level) * gap, F.lit(level - 1) * gap)
+
+
 def _leaf_map(values: dict[float, float]) -> Column:
     return F.create_map(*[F.lit(float(x)) for kv in values.items() for x in kv])
 
 
-def fit_quantile(df: DataFrame, level: float, label: str = "admissions", features_col: str = "features", rounds: int = 6, depth: int = 4, rate: float = 0.3, seed: int = 7) -> PinballModel:
+def fit_quantile(df: DataFrame, level: float, label: str = "admissions", features_col: str = "features", rounds: int = 6, depth: int = 4, rate: float = 0.3, seed: int = 7,
+                 validation: DataFrame | None = None, patience: int = 3) -> PinballModel:
     """Gradient boosting on the pinball loss.
 
     A tree is grown on the loss gradient, each leaf takes the residual quantile of its rows
-    (at most ``2**depth`` leaves come to the driver), and lineage is cut every round.
+    (at most ``2**depth`` leaves come to the driver), and lineage is cut every round. With ``validation`` rows the fit ends when their loss has not
+    fallen for ``patience`` rounds, and keeps the trees up to its lowest.
     """
     start = quantiles(df, {"y": F.col(label)}, [level]).first()["q"][0]
     model = PinballModel(level, start, rate)
@@ -124,20 +143,88 @@ def fit_quantile(df: DataFrame, level: float, label: str = "admissions", feature
         state = cut_lineage(leaves.select(
             features_col, "__y", (F.col("__p") + F.lit(rate) * F.element_at(_leaf_map(values), F.col("leaf"))).alias("__p")
         ))
-    return model
+        if validation is not None:
+            losses = model.staged_losses(validation, label)
+            best = losses.index(min(losses))
+            if len(losses) - 1 - best >= patience:
+                break
+    return model.first(best) if validation is not None and rounds else model
 
 
-def tune(train: DataFrame, validation: DataFrame, grid: dict[str, Sequence], label: str = "admissions", features: Sequence[str] = tuple(FEATURES), parallelism: int = 2) -> list[dict]:
-    """Fit every combination on the earlier rows, rank by MAE on the later ones."""
+@dataclass
+class Trial:
+    """One combination of a search: its settings, the number of trees tried, the error of each number of trees, and the rung it reached."""
+
+    options: dict
+    trees: int
+    errors: list[float]
+    rung: int
+
+    @property
+    def best(self) -> int:
+        """The number of trees with the smallest error; the smaller one of equals."""
+        return self.errors.index(min(self.errors)) + 1
+
+    @property
+    def error(self) -> float:
+        return min(self.errors)
+
+
+def _staged_mae(train: DataFrame, validation: DataFrame, label: str, features: Sequence[str], trees: int, options: dict) -> list[float]:
+    """Mean absolute error on the validation rows of the first 1, 2, ... trees of one fit, in one pass."""
+    model = boosted("squared", label, "prediction", features, iterations=trees, **options).fit(train)
+    rows = model.stages[0].transform(validation).select("features", F.col(label).cast("double").alias(label))
+    return list(model.stages[1].evaluateEachIteration(rows, "absolute"))
+
+
+def _staged_pinball(train: DataFrame, validation: DataFrame, label: str, features: Sequence[str], trees: int, options: dict, level: float) -> list[float]:
+    vectors = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    model = fit_quantile(vectors.transform(train), level, label, rounds=trees, **options)
+    return model.staged_losses(vectors.transform(validation), label)[1:]
+
+
+def search(
+    train: DataFrame, validation: DataFrame, grid: dict[str, Sequence], trees: int = 20, label: str = "admissions", features: Sequence[str] = tuple(FEATURES),
+    level: float | None = None, keep: float = 0.5, parallelism: int = 2,
+) -> list[Trial]:
+    """Successive halving over all combinations of ``grid`` (depth, rate, ...), best first.
+
+    A rung fits what is left, scores every number of trees of each fit in one pass over the later rows, and keeps the better part. The number of trees grows from
+    rung to rung by as much as the combinations shrink, up to ``trees``; so a rung costs about as much as any other. Errors are mean absolute errors, or with
+    ``level`` pinball losses of quantile models. Equal errors keep the order of the grid. Boosting adds trees one after the other from fixed seeds, so the best
+    number of trees can be fitted by itself. Tables are read once per tree level and should be stored.
+    """
     combos = [dict(zip(grid, values)) for values in product(*grid.values())]
+    rungs = 1
+    while len(combos) * keep**rungs >= 1 and trees * keep**rungs >= 1:
+        rungs += 1
+    trials: dict[int, Trial] = {}
+    left = list(range(len(combos)))
+
+    def run(task: tuple[int, int]) -> tuple[int, list[float]]:
+        i, size = task
+        if level is None:
+            return i, _staged_mae(train, validation, label, features, size, combos[i])
+        return i, _staged_pinball(train, validation, label, features, size, combos[i], level)
+
+    for rung in range(rungs):
+        size = max(1, round(trees * keep ** (rungs - 1 - rung)))
+        with ThreadPool(parallelism if level is None else 1) as pool:  # quantile fits cut lineage, one after the other
+            for i, errors in pool.map(run, [(i, size) for i in left]):
+                trials[i] = Trial(combos[i], size, errors, rung)
+        left = sorted(left, key=lambda i: (trials[i].error, i))[:max(1, int(len(left) * keep))]
+    return [trials[i] for i in sorted(trials, key=lambda i: (-trials[i].rung, trials[i].error, i))]
 
-    def run(options: dict) -> dict:
-        model = boosted("squared", label, "prediction", features, **options).fit(train)
-        mae = model.transform(validation).agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0]
-        return {**options, "mae": mae}
 
+def tune(train: DataFrame, validation: DataFrame, grid: dict[str, Sequence], label: str = "admissions", features: Sequence[str] = tuple(FEATURES), parallelism: int = 2) -> list[dict]:
+    """Every combination, ranked by MAE on the later rows. Combinations that differ in ``iterations`` only share one fit, that of the most."""
+    rest = {k: v for k, v in grid.items() if k != "iterations"}
+    counts = list(grid.get("iterations", [20]))
+    combos = [dict(zip(rest, values)) for values in product(*rest.values())]
     with ThreadPool(parallelism) as pool:
-        return sorted(pool.map(run, combos), key=lambda r: r["mae"])
+        errors = pool.map(lambda options: _staged_mae(train, validation, label, features, max(counts), options), combos)
+    rows = [{**options, "iterations": n, "mae": own[min(n, len(own)) - 1]} for options, own in zip(combos, errors) for n in counts]
+    return sorted(rows, key=lambda r: r["mae"])
 
 
 def persist_model(model: PipelineModel, path: str) -> str:

@@ -58,13 +58,16 @@ def quantiles(
     columns: dict[str, Column],
     probs: Sequence[float],
     by: Sequence[str] = (),
+    sets: Sequence[Sequence[str]] | None = None,
 ) -> DataFrame:
     """One row per group and metric: ``*by, metric, n, q`` with ``q`` in the order of ``probs``.
 
-    Nulls and NaN are left out, so a conditional quantile is ``F.when(cond, value)``.
+    Nulls and NaN are left out, so a conditional quantile is ``F.when(cond, value)``. With ``sets`` (lists of columns of ``by``) there are groups for each
+    of them, numbered by a column ``set``, and columns not in a group's set are null. Counts per bucket are taken once, for all of ``by``, and added up
+    for the sets; so all sets share the scans and the search.
     """
     by = list(by)
-    group = [*by, "metric"]
+    group = ["set", *by, "metric"] if sets is not None else [*by, "metric"]
     # Where a bucket comes from: the buckets divided so far, outermost first.
     path, inner = "__path", [*group, "__path", "b"]
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), c.cast("double").alias("v")) for m, c in columns.items()])
@@ -77,7 +80,7 @@ def quantiles(
     def chosen(buckets: DataFrame, upto: Column, n: Column) -> tuple[DataFrame, int]:
         ranged = buckets.select(*inner, "c", "lo", "hi", upto.alias("upto"), n.alias("n"))
         return _settled(
-            ranged.withColumn("before", F.col("upto") - F.col("c")).where(F.size(here) > 0).drop("upto"), bool(by)
+            ranged.withColumn("before", F.col("upto") - F.col("c")).where(F.size(here) > 0).drop("upto"), bool(by or sets)
         )
 
     values = (
@@ -86,7 +89,19 @@ def quantiles(
         .withColumns({path: F.lit(""), "b": _bucket(F.col("v"))})
     )
     whole = W.partitionBy(*group)
-    first = values.groupBy(*inner).agg(*counts)
+    if sets is None:
+        first = values.groupBy(*inner).agg(*counts)
+    else:
+        kinds = {k: df.schema[k].dataType for k in by}
+        each = F.explode(F.array(*[
+            F.struct(F.lit(i).alias("set"), *[(F.col(k) if k in own else F.lit(None).cast(kinds[k])).alias(k) for k in by]) for i, own in enumerate(sets)])).alias("__in")
+
+        def rolled(rows: DataFrame) -> DataFrame:
+            return rows.select(each, *[c for c in rows.columns if c not in by]).select("__in.*", *[c for c in rows.columns if c not in by])
+
+        fine = values.groupBy(*by, "metric", path, "b").agg(*counts)
+        first = rolled(fine).groupBy(*inner).agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        values = rolled(values)
     hit, fullest = chosen(first, F.sum("c").over(whole.orderBy("b")), F.sum("c").over(whole))
     while fullest > ORDERABLE:  # ends: the smallest and the largest value of a bucket never stay together
         part = F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * F.lit(float(PARTS)))
