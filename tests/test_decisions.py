@@ -63,3 +63,15 @@ def test_plan_document(spark):
     assert digest["3"]["alert_level"] == "CRITICAL" and digest["3"]["inflow"] == "201.26"
     gap = alert_digest(plans.limit(1).withColumn("plan", F.lit(None).cast(plans.schema["plan"].dataType)), as_of).first()
     assert (gap["alert_level"], gap["inflow"], gap["hospital"]) == ("UNKNOWN", "N/A", "N/A")
+
+
+def test_a_part_with_a_repeated_key_is_refused(spark):
+    df = monitored(frame(spark)).withColumns({"date": F.lit("2025-12-05").cast("date"), "median": F.lit(1.0)})
+    part = df.select("hospital_id", "date", F.lit(50).alias("doctors_needed"), F.lit(9).alias("nurses_needed"), F.lit(3).alias("support_staff_needed"))
+    supplies = df.limit(0).select("hospital_id", "date", F.lit(7).alias("oxygen_cylinders"), F.lit(5).alias("beds"), F.array(F.lit("x")).alias("common_medicines"), F.array(F.lit("y")).alias("special_medicines"))
+    advisory = df.limit(0).select("hospital_id", "date", *[F.lit(c).alias(c) for c in ("public_advisory", "triage_rules", "teleconsultation", "pollution_care")])
+    as_of = F.to_timestamp(F.lit("2025-12-04 08:00:00"))
+    whole = assemble_plan(df, part, supplies, advisory, as_of).collect()
+    assert len(whole) == len(SAMPLES) and all(r["plan"]["staffingPlan"] and r["plan"]["suppliesPlan"] is None for r in whole)
+    with pytest.raises(Exception, match="staffing has more than one row"):
+        assemble_plan(df, part.unionByName(part), supplies, advisory, as_of).collect()

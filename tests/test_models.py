@@ -68,7 +68,7 @@ def test_requests_to_plans(spark, folder, tmp_path):
     assert good.count() + bad.count() == rows.count() and bad.where("hospital_id <> 3").count() == 0 and bad.count() > 0
     bands = forecast_requests(good, models)
     assert bands.count() == good.count() and bands.where("median IS NULL OR lower IS NULL").count() == 0
-    parts = plan_parts(good)
+    parts = plan_parts(good, ["request_id", "hospital_id", "date"])
     plans = plan_requests(bands, *parts, F.to_timestamp(F.lit("2025-01-01 00:00:00")))
     assert plans.count() == good.count()
     assert plans.select("plan.requestId").distinct().count() == good.count()
@@ -98,3 +98,49 @@ def test_quantile_fit_stops_early_and_keeps_the_best_trees(data):
     early = L.fit_quantile(train, 0.9, "y", rounds=7, depth=2, rate=0.9, validation=later, patience=2)
     stop = next((i for i in range(2, 8) if min(losses[:i + 1]) < min(losses[i - 1:i + 1])), 7)
     assert len(early.steps) == losses[:stop + 1].index(min(losses[:stop + 1]))
+
+
+def test_a_saved_set_is_whole_or_the_one_before(spark, folder, monkeypatch):
+    """A second set without a spike stage does not meet the first one's; a write that breaks off leaves the old set."""
+    from wardcast.plans import training
+
+    panel = via_table(lagged_panel(spark, folder), "panel")
+    models = train_global(panel, iterations=2, depth=2)
+    models.extreme = None
+    where = scratch_path(spark, "models")
+    with pytest.raises(FileNotFoundError):
+        training.load_models(spark, where)
+    training.save_models(models, where)
+    first = training.load_models(spark, where)
+    assert first.spike is not None and first.extreme is None and first.offsets == models.offsets
+    models.spike, models.offsets = None, {"q10": -1.0, "q90": 1.0}
+    kept, calls = training.persist_model, []
+
+    def broken(model, path):
+        calls.append(path)
+        if len(calls) == 2:
+            raise OSError("stopped")
+        return kept(model, path)
+
+    monkeypatch.setattr(training, "persist_model", broken)
+    with pytest.raises(OSError):
+        training.save_models(models, where)
+    monkeypatch.setattr(training, "persist_model", kept)
+    assert training.load_models(spark, where).spike is not None
+    training.save_models(models, where)
+    last = training.load_models(spark, where)
+    assert last.spike is None and last.second is not None and last.offsets == models.offsets
+    assert training.load_models(spark, where, version=1).spike is not None
+
+
+def test_entries_are_written_once_and_broken_ones_do_not_count(spark):
+    from wardcast.sources.ledger import enter, entries
+
+    where = scratch_path(spark, "ledger")
+    assert entries(spark, where) == {}
+    assert enter(spark, where, 3, {"a": 1}) and not enter(spark, where, 3, {"a": 2}) and enter(spark, where, 1, {"b": "é"})
+    assert entries(spark, where) == {1: {"b": "é"}, 3: {"a": 1}}
+    assert enter(spark, where, 3, {"a": 2}, replace=True)
+    with open(f"{where.removeprefix('file:')}/0000000009.json", "w") as broken:
+        broken.write('{"a"')
+    assert entries(spark, where) == {1: {"b": "é"}, 3: {"a": 2}}

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from wardcast.catalog.registry import QUERIES, SQL
 
-SECTIONS = ["files", "cleaning", "features", "series", "relations", "bands", "decisions", "learning", "percity", "streams"]
+SECTIONS = ["files", "cleaning", "features", "series", "relations", "bands", "decisions", "learning", "percity", "requests", "streams"]
 
 
 def _load() -> None:

@@ -82,9 +82,9 @@ def plan_trace(as_of: Column, alert: str = "alert_level") -> Column:
     return F.array(*entries)
 
 
-def request_id(entity: str, time: str) -> Column:
+def request_id(*keys: str) -> Column:
     """Reproducible plan id."""
-    return F.sha2(F.concat_ws("/", F.col(entity).cast("string"), F.col(time).cast("string")), 256)
+    return F.sha2(F.concat_ws("/", *[F.col(k).cast("string") for k in keys]), 256)
 
 
 def assemble_plan(
@@ -98,21 +98,24 @@ def assemble_plan(
 ) -> DataFrame:
     """One nested ``plan`` per forecast row.
 
-    ``df`` is a monitored forecast; the three other tables carry the written plans by key. A row keeps its plan when a part is
-    missing: that part is null. A part with a repeated key is refused, since it would multiply plans.
+    ``df`` is a monitored forecast; the three other tables carry the written plans by key, the entity being the last key but one. A row keeps its plan when a part is
+    missing: that part is null. A part with a repeated key is refused when the plans are computed, since it would multiply them.
     """
-    entity, time = keys
+    entity = keys[-2]
     joined, names = df, ("staffing", "supplies", "advisory")
     for name, part in zip(names, (staffing, supplies, advisory)):
-        if not part.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-            raise ValueError(f"{name} has more than one row for a key of {list(keys)}")
-        joined = joined.join(part.withColumn(f"__{name}", F.lit(True)), list(keys), "left")
+        cells = [c for c in part.columns if c not in keys]
+        once = part.groupBy(*keys).agg(F.any_value(F.struct(*cells)).alias("cells"), F.count("*").alias("n"))
+        repeated = F.raise_error(F.lit(f"{name} has more than one row for a key of {list(keys)}"))
+        whole = F.when(F.col("n") > 1, repeated.cast(once.schema["cells"].dataType)).otherwise(F.col("cells"))
+        joined = joined.join(once.select(*keys, whole.alias(f"__{name}")), list(keys), "left")
+        joined = joined.withColumns({c: F.col(f"__{name}.{c}") for c in cells}).withColumn(f"__{name}", F.col(f"__{name}").isNotNull())
 
     def given(name: str, *cells: Column) -> Column:
         return F.when(F.col(f"__{name}"), F.struct(*cells))
 
     plan = F.struct(
-        request_id(entity, time).alias("requestId"),
+        request_id(*keys).alias("requestId"),
         as_of.alias("timestamp"),
         F.coalesce(F.col(entity).cast("string"), F.lit(V.DEFAULT_HOSPITAL)).alias("hospitalId"),
         F.col(inflow).cast("double").alias("predictedInflow"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,10 +168,9 @@ answers AS (
   FROM bodies)"""
 
 
-def plan_parts(forecast: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def plan_parts(forecast: DataFrame, keys: Sequence[str] = ("hospital_id", "date")) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Written staffing, supplies and advisory tables for a forecast with column ``k``."""
     k = F.col("k")
-    keys = ["hospital_id", "date"]
     staffing = forecast.select(
         *keys, (k % 60).cast("int").alias("doctors_needed"), (k % 150).cast("int").alias("nurses_needed"),
         (k % 90).cast("int").alias("support_staff_needed"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -21,6 +22,7 @@ from wardcast.operators.ordering import time_split
 from wardcast.operators.quantiles import quantile_row
 from wardcast.operators.weights import extreme_weights, residuals, spike_weights
 from wardcast.session import via_table
+from wardcast.sources.ledger import enter, entries
 
 KEYS = ("hospital_id", "date")
 LEVELS = {"q10": 0.1, "q90": 0.9}
@@ -68,20 +70,32 @@ def train_global(panel: DataFrame, target: str = "admissions", second: bool = Tr
 
 
 def save_models(models: GlobalModels, folder: str) -> str:
-    """The whole set below one folder; stages that were not fitted leave no model."""
+    """The whole set as a new version below one folder.
+
+    The stages are written to a folder of their own; the entry that names it comes last, in one step. So a reader finds a whole set, the old one while the
+    new one is written or if that is broken off, and never stages of two sets. Of two writers at a time both sets stay, and the one entered last counts.
+    """
     spark = SparkSession.active()
-    for name in STAGES:
-        if getattr(models, name) is not None:
-            persist_model(getattr(models, name), f"{folder}/{name}")
+    version = f"{folder}/sets/{uuid.uuid4().hex}"
+    stages = [name for name in STAGES if getattr(models, name) is not None]
+    for name in stages:
+        persist_model(getattr(models, name), f"{version}/{name}")
     rows = [(k, float(v)) for k, v in models.offsets.items()]
-    spark.createDataFrame(rows, "level string, offset double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/offsets")
+    spark.createDataFrame(rows, "level string, offset double").coalesce(1).write.parquet(f"{version}/offsets")
+    number = max(entries(spark, f"{folder}/versions"), default=0) + 1
+    while not enter(spark, f"{folder}/versions", number, {"set": version, "stages": stages}):
+        number += 1
     return folder
 
 
-def load_models(spark: SparkSession, folder: str) -> GlobalModels:
-    """A saved set; its training table is not part of it."""
-    stages = {name: load_persisted_model(spark, f"{folder}/{name}") for name in STAGES}
-    offsets = {r["level"]: r["offset"] for r in spark.read.parquet(f"{folder}/offsets").collect()}  # two rows
+def load_models(spark: SparkSession, folder: str, version: int | None = None) -> GlobalModels:
+    """A saved set, by default the last version; its training table is not part of it."""
+    known = entries(spark, f"{folder}/versions")
+    if not known or (version is not None and version not in known):
+        raise FileNotFoundError(f"no models of version {version or 'any'} below {folder}")
+    entry = known[max(known) if version is None else version]
+    stages = {name: load_persisted_model(spark, f"{entry['set']}/{name}") if name in entry["stages"] else None for name in STAGES}
+    offsets = {r["level"]: r["offset"] for r in spark.read.parquet(f"{entry['set']}/offsets").collect()}  # two rows
     return GlobalModels(offsets=offsets, data=None, **stages)
 
 

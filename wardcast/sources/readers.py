@@ -112,7 +112,13 @@ def scan_requests(spark: SparkSession, path: str, multiline: bool = False, requi
     (then hash) keeps it, the others get their hash as if they had none. A request is rejected when it
     is no JSON, has no data, no readable record, or when a required column is in none of its records.
     """
-    lines = spark.read.text(path, wholetext=multiline).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value", F.lit(" \t\r\n")) != "")
+    lines = spark.read.text(path, wholetext=multiline).select(F.col("_metadata.file_path").alias("file"), "value")
+    return requests_of(lines, required).drop("own")
+
+
+def requests_of(lines: DataFrame, required: Sequence[str] = tuple(REQUEST_COLUMNS)) -> DataFrame:
+    """``scan_requests`` of texts already read (file, value); ``own`` is the hash of a request's file and text."""
+    lines = lines.where(F.trim("value", F.lit(" \t\r\n")) != "")
     lines = lines.withColumn("own", F.sha2(F.concat_ws("\n", "file", "value"), 256))
     kind = T.StructType([*REQUEST, T.StructField("request_id", T.StringType()), T.StructField("_corrupt_record", T.StringType())])
     r = F.col("r")
@@ -133,12 +139,17 @@ def scan_requests(spark: SparkSession, path: str, multiline: bool = False, requi
     used = ids.groupBy("request_id").agg(F.min(F.struct("file", "own")).alias("_first"), F.max(F.struct("file", "own")).alias("_last")).where("_first < _last")
     both = payload_defaults(named).join(used.drop("_last"), "request_id", "left")
     request_id = F.when(F.col("own") != F.col("_first.own"), F.col("own")).otherwise(F.col("request_id"))
-    return both.withColumn("request_id", request_id).drop("own", "_first")
+    return both.withColumn("request_id", request_id).drop("_first")
 
 
 def scan_json_payload(spark: SparkSession, path: str, multiline: bool = False, required: Sequence[str] = tuple(REQUEST_COLUMNS)) -> DataFrame:
     """Records of good requests: one row each with its ``request_id``, ``position`` and the request's settings."""
-    good = scan_requests(spark, path, multiline, required).where(F.size("reject_reasons") == 0)
+    return request_records(scan_requests(spark, path, multiline, required))
+
+
+def request_records(requests: DataFrame) -> DataFrame:
+    """The records of requests without reject reasons."""
+    good = requests.where(F.size("reject_reasons") == 0)
     opened = good.select("request_id", "mode", "weight_tft", "hospital_id", "disease_sensitivity", F.posexplode_outer("records").alias("position", "record"))
     return opened.select("request_id", "position", "mode", "weight_tft", "hospital_id", "disease_sensitivity", "record.*")
 
