@@ -62,7 +62,7 @@ def test_a_single_row_follows_itself(frame):
 # ---- URL filters ------------------------------------------------------------------------------------------------------------
 
 def test_hosts(spark):
-    cases = {"http://A.Example.com:80/x?y#z": "a.example.com", "https://user:pw@h.net": "h.net", "h.org.": "h.org", "": None, None: None, "http:///x": None, "x.com?q=http://y": "x.com", "ftp://b\\c": "b"}
+    cases = {"http://A.Example.com:80/x?y#z": "a.example.com", "https://user:pw@h.net": "h.net", "h.org.": "h.org", "": None, None: None, "http:///x": None, "x.com?q=http://y": "x.com", "//a.b/x": "a.b", "ftp://b\\c": "b"}
     df = spark.createDataFrame([(k,) for k in cases], "url string").withColumn("h", urls.host_of(F.col("url")))
     assert {r["url"]: r["h"] for r in df.collect()} == cases
 

@@ -55,16 +55,18 @@ def preference_pairs(pairs: DataFrame) -> DataFrame:
 
     Adds n_common, prompt, chosen_text, rejected_text and their masks (spans to be learned). The last turn of the shorter side never goes to the
     prompt when both sides are equal so far, so that each side has a completion; an empty or null side gives an empty completion
-    and an empty mask. Identical sides are kept and told by ``same``. Other columns stay.
+    and an empty mask. Identical sides are kept and told by ``same``. Other columns stay, but for those with the name of an added one.
     """
+    added = ("n_common", "prompt", "chosen_text", "rejected_text", "chosen_mask", "rejected_mask", "same")
+    kept = [c for c in pairs.columns if c not in ("chosen", "rejected", *added)]
+    pairs = pairs.select(F.struct(*(F.col(f"`{c}`") for c in kept) if kept else [F.lit(0)]).alias("all"), "chosen", "rejected")
     empty = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
     chosen, rejected = (F.coalesce(F.col(c), empty) for c in ("chosen", "rejected"))
     out = pairs.withColumns({"chosen": chosen, "rejected": rejected}).withColumn("n_common", common_prefix(F.col("chosen"), F.col("rejected")))
     shorter = F.least(F.size("chosen"), F.size("rejected"))
     out = out.withColumn("n_common", F.when(F.col("n_common") == shorter, F.greatest(shorter - 1, F.lit(0))).otherwise(F.col("n_common")))
-    kinds = [c for c in pairs.columns if c not in ("chosen", "rejected")]
     tails = {c: F.slice(F.col(c), F.col("n_common") + 1, F.greatest(F.size(c), F.lit(1))) for c in ("chosen", "rejected")}
     out = out.withColumns({"_prompt": F.slice("chosen", F.lit(1), F.col("n_common")), "_chosen": tails["chosen"], "_rejected": tails["rejected"]})
     same = F.transform("_chosen", lambda t: F.struct(t["role"], t["text"])) == F.transform("_rejected", lambda t: F.struct(t["role"], t["text"]))
-    return out.select(*kinds, "n_common", rendered(F.col("_prompt")).alias("prompt"), rendered(F.col("_chosen")).alias("chosen_text"), rendered(F.col("_rejected")).alias("rejected_text"),
+    return out.select(*(F.col(f"all.`{c}`") for c in kept), "n_common", rendered(F.col("_prompt")).alias("prompt"), rendered(F.col("_chosen")).alias("chosen_text"), rendered(F.col("_rejected")).alias("rejected_text"),
                       learned_spans(F.col("_chosen")).alias("chosen_mask"), learned_spans(F.col("_rejected")).alias("rejected_mask"), same.alias("same"))

@@ -19,18 +19,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wardcast.llm.components import components
-from wardcast.llm.text import digest, mix, shingle_set, text_bytes
-from wardcast.session import via_table
+from wardcast.llm.text import digest, mix, placed, shingle_set, text_bytes
+from wardcast.session import drop_table, via_table
 
 REGISTERS, ROWS = 252, 6
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
-#: Ids or places of rows sent to all tasks to pick texts at the scan (8 or 16 bytes each); more ids take a shuffled join.
+#: Places of rows sent to all tasks to pick texts at the scan (a row carries node, size and place: 32 bytes); more ids take a shuffled join.
 MAX_IDS = 1_000_000
 #: Counters of the shingle frequencies that order the prefix filter: 4 bytes each.
 COUNTERS = 1 << 20
@@ -118,19 +117,13 @@ def sketched(docs: DataFrame, size: int, *keep: str) -> DataFrame:
     return text_bytes(docs, F.col("doc_id").cast("bigint").alias("doc_id"), *keep).mapInArrow(run, kinds)
 
 
-def _pick(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node, n and text of the given nodes (node, rep, key, n): the row with the node's smallest id and its set."""
-    wanted = nodes.select("node", F.col("rep").alias("_rep"), F.col("key").alias("_key"), "n")
+def _pick(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n and text of the given nodes (node, n, file, row): each node's first row, found by its place."""
+    wanted = nodes.select("node", "n", F.col("file").alias("_file"), F.col("row").alias("_row"))
     if wanted.count() <= MAX_IDS:
         wanted = F.broadcast(wanted)
-    rows = text_bytes(docs, F.col("doc_id").cast("bigint").alias("_id")).join(wanted, F.col("_id").eqNullSafe(F.col("_rep")))
-
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [digest(shingle_set(t.as_py(), size)) == k.as_py() for t, k in zip(batch.column(3), batch.column(2))]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["node", "n", "text"])
-
-    return rows.select("node", "n", "_key", "text").mapInArrow(same, "node bigint, n bigint, text binary")
+    rows = text_bytes(docs, "file", "row").join(wanted, (F.col("file") == F.col("_file")) & (F.col("row") == F.col("_row")))
+    return rows.select("node", "n", "text")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -274,29 +267,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     nothing and kept. Rows that repeat a doc_id are judged by their own texts. A null doc_id is never
     kept, unless it has no words or its whole group has no id. Ties (equal sets) are one class. An empty table gives an empty table.
     """
-    found = _grouped(docs, size, percent)
+    found = _grouped(_texts(placed(docs)), size, percent)
     component = F.coalesce("first", "rep", "doc_id")
     kept = F.col("key").isNull() | component.isNull() | F.coalesce(F.col("doc_id") == component, F.lit(False))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
-def _grouped(docs: DataFrame, size: int, percent: int, *keep: str) -> DataFrame:
+def _texts(rows: DataFrame) -> DataFrame:
+    """doc_id, text, file and row of ``placed`` rows."""
+    return rows.select("all.doc_id", "all.text", "place.file", "place.row")
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Rows of ``sketched`` with their class (node, rep: its smallest doc_id) and of linked ones the component and its smallest doc_id (first)."""
-    rows = via_table(sketched(docs, size, *keep), "sketches")
-    classes = rows.where("key is not null").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("registers").alias("registers"))
+    rows = via_table(sketched(docs, size, "file", "row"), "sketches")
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
+    classes = rows.where("key is not null").groupBy("key").agg(F.min(at).alias("at"), F.any_value("n_shingles").alias("n"), F.any_value("registers").alias("registers"))
+    classes = classes.select("key", F.col("at.doc_id").alias("rep"), "n", "registers", "at.file", "at.row")
     nodes = via_table(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     bands = nodes.select("node", "n", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))).alias("band", "value"))
     members = via_table(_shared(bands.select(F.xxhash64("band", "value").alias("bucket"), "node", "n")), "buckets")
     labels = None
     if not members.isEmpty():
-        texts = via_table(_pick(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), size), "texts")
+        texts = via_table(_pick(docs, nodes.join(members.select("node").distinct(), "node", "left_semi")), "texts")
         links = via_table(_verified(_likely(_first_stars(members, percent / 100), nodes, percent / 100), texts, size, percent), "pairs")
         labels = via_table(components(links), "labels")
         rest = via_table(_labelled(members, labels).select("node").distinct(), "rest")
+        drop_table(members)
         if not rest.isEmpty():
             labels = _exact_rest(via_table(texts.join(rest, "node", "left_semi"), "rest-texts"), labels, size, percent)
+        drop_table(texts)
     result = rows.join(nodes.select("key", "node", "rep"), "key", "left")
     if labels is not None:
         first = nodes.select("node", "rep").join(labels, "node").groupBy("component").agg(F.min("rep").alias("first"))
@@ -321,27 +322,18 @@ def _exact_rest(texts: DataFrame, labels: DataFrame, size: int, percent: int) ->
     return via_table(components(links), "labels")
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the file (hashed) and the row of each, the same in every scan; rows not straight from files are written to the shared folder first."""
-    place = [F.xxhash64("_metadata.file_path").alias("_copy_file"), F.col("_metadata.row_index").alias("_copy_row")]
-    try:
-        return docs.select("*", *place)
-    except AnalysisException:
-        return via_table(docs, "documents").select("*", *place)
-
-
 def without_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group, all columns kept: the one of the smallest doc_id, a null id last, then of the first place in the files.
 
     Rows are judged one by one, whether or not they have an id or repeat one. Rows without words all stay.
     """
-    docs, names = _placed(docs), docs.columns
-    found = _grouped(docs, size, percent, "_copy_file", "_copy_row").where("key is not null")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_copy_file", "_copy_row")
-    rows = via_table(found.select(F.coalesce("component", "node").alias("group"), order.alias("at")), "groups")
-    stays = rows.groupBy("group").agg(F.min("at").alias("stays"), F.max("at").alias("last")).where("stays < last").select("group", "stays")
-    gone = rows.join(stays, "group").where("at != stays").select(F.col("at._copy_file").alias("_copy_file"), F.col("at._copy_row").alias("_copy_row"))
-    gone = via_table(gone, "gone")
+    rows = placed(docs)
+    found = _grouped(_texts(rows), size, percent).where("key is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
+    members = via_table(found.select(F.coalesce("component", "node").alias("group"), order.alias("at")), "groups")
+    stays = members.groupBy("group").agg(F.min("at").alias("stays"), F.max("at").alias("last")).where("stays < last").select("group", "stays")
+    gone = via_table(members.join(stays, "group").where("at != stays").select("at.file", "at.row"), "gone")
     if gone.count() <= MAX_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, ["_copy_file", "_copy_row"], "left_anti").select(*names)
+    same = (F.col("place.file") == F.col("file")) & (F.col("place.row") == F.col("row"))
+    return rows.join(gone, same, "left_anti").select("all.*")

@@ -228,11 +228,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = 4000) -> Data
 
     Lengths must lie in 1..capacity; others raise. The pieces are written once to the shared folder, without binary ids: keep
     those out and join by doc_id and piece, as ``sequences`` does. Pieces of one length are ranked in lots, so a
-    common length is never sorted in one task. An empty table gives an empty table.
+    common length is never sorted in one task. An empty table gives an empty table. Columns stay whatever
+    their names; those named sequence_id and offset are replaced.
     """
     spark = pieces.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = pieces.columns
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    pieces = pieces.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("all"), "length")
     # A row's lot must not change between the passes below, so the numbered rows are stored.
     stored = via_table(pieces.withColumns({"_row": F.monotonically_increasing_id()}), "pieces").withColumn("_lot", F.pmod(F.xxhash64("_row"), F.lit(parts)))
     tally = stored.groupBy("length", "_lot").agg(F.count("*").alias("_n"))
@@ -250,7 +252,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = 4000) -> Data
     places = F.broadcast(spark.createDataFrame(plan, SEGMENT).withColumnRenamed("length", "_size"))  # bounded by the number of lengths
     inside = (F.col("length") == F.col("_size")) & (F.col("_rank") >= F.col("first_rank")) & (F.col("_rank") < F.col("end_rank"))
     return ranked.join(places, inside).select(
-        *names, F.expr("first_sequence + (_rank - first_rank) div per").alias("sequence_id"),
+        "all.*", F.expr("first_sequence + (_rank - first_rank) div per").alias("sequence_id"),
         F.expr("base + (_rank - first_rank) % per * length").alias("offset"))
 
 

@@ -156,7 +156,7 @@ def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op8_url_filters", r"""
 WITH page AS (SELECT page_id, DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS fetched,
-    lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.\-]*://', ''), '[/?#\\].*$', ''), '^.*@', ''), '(:[0-9]*)?$', ''), '\.$', '')) AS h FROM pages),
+    lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^([A-Za-z][A-Za-z0-9+.\-]*:)?//', ''), '[/?#\\].*$', ''), '^.*@', ''), '(:[0-9]*)?$', ''), '\.$', '')) AS h FROM pages),
 cap AS (SELECT page_id, fetched, CASE WHEN length(h) > 0 THEN h END AS host FROM page),
 seen AS (SELECT host AS pattern, min(page_id) AS m FROM cap WHERE host IS NOT NULL GROUP BY host),
 up AS (SELECT regexp_replace(host, '^[^.]*\.', '') AS pattern, min(page_id) AS m FROM cap WHERE len(string_split(host, '.')) > 3 GROUP BY 1),

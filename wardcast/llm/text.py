@@ -10,9 +10,12 @@ import hashlib
 from functools import cache
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardcast.session import via_table
+
 _RANDOM = np.random.default_rng(20240229)
 BYTE_VALUES = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15
@@ -114,3 +117,14 @@ def text_bytes(docs: DataFrame, *keep: str) -> DataFrame:
     """The named columns and the text as UTF-8 bytes, null as empty."""
     bounded_batches(docs)
     return docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """The rows as structs: ``all`` their columns, ``place`` file (hashed) and row of each, the same in every scan. Rows not straight from files are
+    written to the shared folder first."""
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("place")
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all")
+    try:
+        return docs.select(every, place)
+    except AnalysisException:
+        return via_table(docs, "documents").select(every, place)

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 PERIOD = 32
-SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
+SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*:)?//"
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host of a URL: no scheme, user, port, path, query or fragment, no dot at the end; null without a host."""
+    """The lower-case host of a URL (a scheme may be missing, before ``//`` too): no user, port, path, query or fragment, no dot at the end; null without a host."""
     rest = F.regexp_replace(url, SCHEME, "")
     authority = F.regexp_replace(rest, r"[/?#\\].*$", "")
     host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r"(:[0-9]*)?$", ""))
@@ -48,9 +48,10 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     ``captures`` needs url and fetched (a date); ``entries`` list (``block`` or ``allow``), pattern, day and action. A pattern covers the host and all
     hosts below it. The longest pattern active on the day of the fetch decides; between lists of one length, allow does. Captures
     without an active pattern, a host or a day get verdict ``keep`` with nulls. Every capture gives one row, repeated
-    ones too; without entries all are kept.
+    ones too; without entries all are kept. Columns stay whatever their names; one named decision is replaced.
     """
-    names = captures.columns
+    names = [c for c in captures.columns if c != "decision"]
+    captures = captures.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("all"), "url", "fetched")
     period = F.lit(PERIOD)
     days = captures.agg(F.max("fetched")).first()[0]
     spans = validity(entries)
@@ -67,4 +68,4 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     best = active.groupBy("_host", "_day").agg(F.max(rank).alias("_best"))
     found = keyed.join(best.withColumnRenamed("_host", "_of"), (F.col("_host") == F.col("_of")) & (F.col("fetched") == F.col("_day")), "left")
     verdict = F.when(F.col("_best").isNull() | (F.col("_best.list") == "allow"), "keep").otherwise("drop")
-    return found.select(*names, F.struct(verdict.alias("verdict"), F.col("_best.list").alias("list"), F.col("_best.pattern").alias("pattern"), F.col("_best.first_day").alias("first_day")).alias("decision"))
+    return found.select("all.*", F.struct(verdict.alias("verdict"), F.col("_best.list").alias("list"), F.col("_best.pattern").alias("pattern"), F.col("_best.first_day").alias("first_day")).alias("decision"))
