@@ -71,3 +71,19 @@ def test_events_near_count_every_event(spark, days):
     got = event_window_join(df, events, 80.0).orderBy("date").collect()
     assert [r["event_effect"] for r in got] == [80.0, 160.0, 160.0, 80.0, 0.0, 0.0]
     assert [r["near_flag"] for r in got] == [1, 1, 1, 1, 0, 0]
+
+
+def test_dense_calendar_equals_the_grid_joined_with_the_rows(spark, days):
+
+    d = days(12)
+    rows = [(1, d[3], 5), (1, d[3], 6), (1, d[7], None), (2, d[0], 1), (None, d[11], 9), (None, d[2], 8), (3, None, 4)]
+    df = spark.createDataFrame(rows, "hospital_id int, date date, v int")
+    grid = df.where("date IS NOT NULL").select("hospital_id").distinct().crossJoin(spark.createDataFrame([(x,) for x in d], "date date"))
+    expected = [(r["hospital_id"], r["date"], v) for r in grid.collect() for v in ([v for h, x, v in rows if (h, x) == (r["hospital_id"], r["date"])] or [None])]
+    got = [tuple(r) for r in dense_calendar(df).collect()]
+    key = lambda r: tuple((x is None, x or 0) if not isinstance(x, dt.date) else (False, x) for x in r)
+    assert sorted(got, key=key) == sorted(expected, key=key)
+    own = [tuple(r) for r in dense_calendar(df, own_range=True).collect()]
+    inside = [r for r in expected if r[1] >= min(x for h, x, _ in rows if h == r[0] and x) and r[1] <= max(x for h, x, _ in rows if h == r[0] and x)]
+    assert sorted(own, key=key) == sorted(inside, key=key)
+    assert dense_calendar(df.limit(0)).isEmpty()

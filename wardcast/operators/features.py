@@ -14,6 +14,7 @@ from wardcast.functions.features import air_columns, calendar_columns, interacti
 from wardcast.functions.scalars import known, number_or_zero
 from wardcast.operators.clean import add_missing_as_zero, require_columns
 from wardcast.operators.windows import exogenous_identity, fill_forward_back_zero, lag_exogenous
+from wardcast.session import via_table
 
 LAGS = ("lag_1_admissions", "lag_7_admissions", "rolling_14_admissions")
 
@@ -54,6 +55,8 @@ def feature_matrix(
     full = features(df, profile, entity, time)
     if fill_gaps:
         present = [c for c in FEATURES if c in full.columns]
+        # the audit and the matrix both read it
+        full = via_table(full.select(*dict.fromkeys([*keys, *keep, *[k for k in (entity, time) if k in full.columns], *present])), "unfilled")
         gaps = full.agg(*[F.count_if(known(F.col(c)).isNull()).alias(c) for c in present]).first()
         holes = [c for c in present if gaps[c]]
         full = fill_forward_back_zero(full, holes, entity, time) if holes else full

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardcast.functions.calendar import weekday_of, yearly_wave
@@ -18,14 +19,24 @@ def daily_rollup(df: DataFrame, entity: Sequence[str], moment: str, measures: di
     return df.groupBy(*entity, day).agg(*[m.alias(n) for n, m in measures.items()])
 
 
-def dense_calendar(df: DataFrame, entity: Sequence[str] = ("hospital_id",), time: str = "date") -> DataFrame:
-    """Every entity on every day of the table's range, with the known rows attached.
+def dense_calendar(df: DataFrame, entity: Sequence[str] = ("hospital_id",), time: str = "date", own_range: bool = False) -> DataFrame:
+    """Every entity on every day of the table's range, or with ``own_range`` of its own, with the known rows attached.
 
-    Each entity generates its own days, so nothing is joined to build the grid.
+    Each row brings the days up to its entity's next one, the first row also those before it. So the rows are shuffled once and nothing is joined.
+    Rows of one entity and day all stay; rows without a day bring none. With the table's range the result has entities times days rows.
     """
-    span = fixed_row(df.agg(F.min(time).alias("lo"), F.max(time).alias("hi")))
-    grid = df.select(*entity).distinct().select(*entity, F.explode(F.sequence(span["lo"], span["hi"])).alias(time))
-    return grid.join(df, [*entity, time], "left")
+    day, line = F.col(time), W.partitionBy(*entity).orderBy(time)
+    following, before = F.lead(time).over(line), F.lag(time).over(line)
+    first, last = day, F.coalesce(F.date_sub(following, 1), day)
+    if not own_range:
+        span = fixed_row(df.agg(F.min(time).alias("lo"), F.max(time).alias("hi")))
+        first, last = F.when(before.isNull(), span["lo"]).otherwise(day), F.when(following.isNull(), span["hi"]).otherwise(F.date_sub(following, 1))
+    cells = [c for c in df.columns if c not in (*entity, time)]
+    known = F.struct(day.alias("day"), *cells).alias("__row")
+    spans = df.where(day.isNotNull()).select(*entity, known, first.alias("__first"), F.greatest(last, day).alias("__last"))
+    grid = spans.select(*entity, "__row", F.explode(F.sequence("__first", "__last")).alias(time))
+    here = F.col(time) == F.col("__row.day")
+    return grid.select(*entity, time, *[F.when(here, F.col(f"__row.{c}")).alias(c) for c in cells])
 
 
 def near_event_days(events: DataFrame, day: str = "day", radius: int = 1) -> DataFrame:
