@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -61,11 +62,29 @@ def test_search_is_no_worse_than_best_fit_and_improves_some():
     assert better
 
 
-def test_completions_come_by_waste():
-    counts = counts_of([5, 4, 3, 3, 2], 10)
-    found = completions(counts, 7, 3)
-    assert 7 - sum(found[0]) == 0 and [7 - sum(f) for f in found] == sorted(7 - sum(f) for f in found)
-    assert completions(counts_of([9], 10), 3, 2) == [()]
+def undominated(items, room, most):
+    """All fillings that waste at most ``most`` and in which no item left out fits in place of some of the items."""
+    items, out = [x for x in items if x <= room], set()
+    for n in range(len(items) + 1):
+        for filling in itertools.combinations(sorted(items, reverse=True), n):
+            waste = room - sum(filling)
+            if not 0 <= waste <= most:
+                continue
+            left = Counter(items) - Counter(filling)
+            swaps = ((k, sum(part), x) for k in range(n + 1) for part in itertools.combinations(filling, k) for x in left)
+            if not any(s <= x <= s + waste and not (k == 1 and x == s) for k, s, x in swaps):
+                out.add(filling)
+    return out
+
+
+def test_completions_are_all_undominated_ones_by_waste():
+    r = random.Random(2)
+    for _ in range(200):
+        room, items = r.randint(1, 25), [r.randint(1, 14) for _ in range(r.randint(0, 8))]
+        most = r.randint(0, room)
+        found = list(completions(counts_of(items, 40), room, most))
+        assert set(found) == undominated(items, room, most) and len(found) == len(set(found))
+        assert [room - sum(f) for f in found] == sorted(room - sum(f) for f in found)
 
 
 def test_pieces_are_the_tokenizers_ids(awkward):

@@ -22,6 +22,8 @@ from wardcast.llm.text import text_bytes
 from wardcast.session import via_table
 
 CAPACITY = 2048
+#: Branches of the search at most.
+NODES = 4000
 TOKENIZER = "byte_bpe_50k.json"
 #: The same vocabulary as ranks, for the faster encoder; None always takes ``tokenizers``.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -139,69 +141,100 @@ def best_fit(counts: np.ndarray, capacity: int) -> Plan:
     return [(f, n) for fillings in free.values() for f, n in fillings.items()]
 
 
-def completions(counts: np.ndarray, room: int, width: int) -> list[Filling]:
-    """Up to ``width`` undominated fillings of ``room`` from the items at hand, least waste first.
+def _with_copies(sums: int, size: int, n: int, mask: int) -> int:
+    """The bit set of sums after up to ``n`` items of a size may be added."""
+    step = 1
+    while n > 0:
+        take = min(step, n)
+        sums |= (sums << (take * size)) & mask
+        n, step = n - take, step * 2
+    return sums
 
-    A filling is dominated if swapping some of its items for one that fits in their place would leave no more waste; taking the
-    longest item that fits at each place, and trying shorter first items only while the waste gets smaller,
-    keeps to undominated ones.
+
+def dominated(filling: Filling, waste: int, counts: np.ndarray, room: int) -> bool:
+    """Whether an item left out fits in place of some items of the filling and leaves no more waste: it is as long as they are together, or up to ``waste`` longer."""
+    mask, took = (1 << (room + 1)) - 1, Counter(filling)
+    out = 0
+    for size in np.flatnonzero(counts[:room + 1]).tolist():
+        if counts[size] > took[size]:
+            out |= 1 << size
+    sums, several = 1, 0  # sums of any items, and of two and more
+    for size in filling:
+        several |= ((several | (sums & ~1)) << size) & mask
+        sums |= (sums << size) & mask
+    return bool(several & out) or any((sums << k) & out for k in range(1, waste + 1))
+
+
+def completions(counts: np.ndarray, room: int, most: int) -> Iterator[Filling]:
+    """All undominated fillings of ``room`` from the items at hand that waste at most ``most``, least waste first, then longest items first.
+
+    For each waste the fillings of that sum are enumerated in depth; sums that the shorter items cannot make are not entered.
     """
-    found: dict[Filling, int] = {}
-    sizes = np.flatnonzero(counts[:room + 1])[::-1]
-    least = room + 1
-    for first in sizes[:64 * width].tolist():
-        left, took = room - first, Counter({first: 1})
-        for size in sizes[np.searchsorted(-sizes, -min(first, left)):].tolist() if left else ():
-            if size > left:
-                continue
-            n = min(left // size, int(counts[size]) - took[size])
-            if n > 0:
-                took[size] += n
-                left -= n * size
+    sizes = np.flatnonzero(counts[:room + 1])[::-1].tolist()
+    mask = (1 << (room + 1)) - 1
+    reach = [1]  # sums of the items from the i-th size on, from the back
+    for size in reversed(sizes):
+        reach.append(_with_copies(reach[-1], size, min(int(counts[size]), room // size), mask))
+    reach.reverse()
+    for waste in range(min(most, room) + 1):
+        if not reach[0] >> (room - waste) & 1:
+            continue
+        # place among the sizes, sum to make, items so far; the most items of the longest size come first
+        stack: list[tuple[int, int, Filling]] = [(0, room - waste, ())]
+        while stack:
+            i, left, took = stack.pop()
             if not left:
-                break
-        if left < least or (left == least and len(found) < width):
-            least = min(least, left)
-            found[tuple(sorted(took.elements(), reverse=True))] = left
-        if not least and len(found) >= width:
-            break
-    return sorted(found, key=lambda f: (found[f], len(f)))[:width] or [()]
+                if not dominated(took, waste, counts, room):
+                    yield took
+                continue
+            size = sizes[i]
+            for n in range(0, min(int(counts[size]), left // size) + 1):
+                if i + 1 < len(reach) and reach[i + 1] >> (left - n * size) & 1:
+                    stack.append((i + 1, left - n * size, took + (size,) * n))
 
 
-def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 4000, width: int = 3) -> Plan:
+def bin_completion(counts: np.ndarray, capacity: int, nodes: int = NODES) -> Plan:
     """Branch and bound over fillings around the longest item left.
 
     Best-fit decreasing is the first incumbent. A branch takes one completion of the longest item for as many bins as the counts
-    allow. It is cut when the bins so far plus the bound for the rest reach the incumbent, that is when its waste
-    exceeds what a better packing may waste. The search ends at the lower bound or after ``nodes`` branches.
+    allow; its completions are all undominated ones whose waste a better packing may still have, made as the search comes to them. It is cut when the bins so
+    far plus the bound for the rest reach the incumbent. The search ends at the lower bound, when all is tried, or after ``nodes`` branches.
     """
     counts = np.asarray(counts, np.int64)
     best = best_fit(counts, capacity)
     bins, floor = sum(n for _, n in best), lower_bound(counts, capacity)
     total = int((counts * np.arange(len(counts))).sum())
-    stack: list[tuple[np.ndarray, Plan, int, int]] = [(counts, [], 0, total)]
+    stack: list[list] = [[counts, [], 0, total, None]]  # items left, plan, bins, their total, completions to come
     while stack and bins > floor and nodes:
-        left, plan, used, mass = stack.pop()
-        nodes -= 1
-        if not mass:
-            if used < bins:
-                best, bins = plan, used
-            continue
-        if used - (-mass // capacity) >= bins or (used < 3 and used + lower_bound(left, capacity) >= bins):
+        left, plan, used, mass, more = stack[-1]
+        if more is None:
+            if not mass:
+                if used < bins:
+                    best, bins = plan, used
+                stack.pop()
+                continue
+            if used - (-mass // capacity) >= bins or (used < 3 and used + lower_bound(left, capacity) >= bins):
+                stack.pop()
+                continue
+            longest = int(np.flatnonzero(left)[-1])
+            rest = left.copy()
+            rest[longest] -= 1
+            most = (bins - 1 - used) * capacity - mass
+            more = stack[-1][4] = ((longest, *c) for c in completions(rest, capacity - longest, most))
+        filling = next(more, None)
+        waste = (bins - 1 - used) * capacity - mass  # less than when the completions were begun, if the incumbent is better now
+        if filling is None or capacity - sum(filling) > waste:
+            stack.pop()
             continue
-        longest = int(np.flatnonzero(left)[-1])
-        rest = left.copy()
-        rest[longest] -= 1
-        branches = []
-        for completion in completions(rest, capacity - longest, width):
-            filling = (longest, *completion)
-            need = Counter(filling)
-            times = min(int(left[s]) // n for s, n in need.items())
-            after = left.copy()
-            for s, n in need.items():
-                after[s] -= n * times
-            branches.append((after, [*plan, (filling, times)], used + times, mass - sum(filling) * times))
-        stack.extend(reversed(branches))
+        nodes -= 1
+        need = Counter(filling)
+        times = min(int(left[s]) // n for s, n in need.items())
+        if capacity > sum(filling):
+            times = min(times, waste // (capacity - sum(filling)))
+        after = left.copy()
+        for s, n in need.items():
+            after[s] -= n * times
+        stack.append([after, [*plan, (filling, times)], used + times, mass - sum(filling) * times, None])
     return best
 
 
@@ -223,7 +256,7 @@ def segments(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = 4000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
     """``pieces`` (any columns with length) plus sequence_id and offset, as few sequences as the search finds.
 
     Lengths must lie in 1..capacity; others raise. The pieces are written once to the shared folder, without binary ids: keep
