@@ -123,6 +123,24 @@ def rejects(spark, folder):
     return found.withColumn("loaded", F.lit(scan_all_entities(spark, base).count()))
 
 
+@query("ingest_panel", f"""WITH {LAGGED_SQL}, two AS (SELECT count(*) AS n FROM lagged WHERE city = 'ASIA')
+SELECT count(*) AS n_rows, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date, count(DISTINCT hospital_id) AS n_hospitals, CAST(sum(admissions) AS BIGINT) AS admissions,
+  any_value(n) AS duplicate_keys, 2 * any_value(n) AS duplicate_rows, any_value(n) AS surplus_rows, 1::BIGINT AS files_left_out FROM lagged, two""")
+def ingested(spark, folder):
+    """The files of all cities, one of another layout, and a later one that repeats a city's days with other admissions: the first rows stay."""
+    from wardcast.plans.ingest import ingest
+
+    base = _panel_files(spark, folder)
+    again = _panel_rows(spark, folder).where("city = 'ASIA'").withColumn("admissions", F.col("admissions") + 1000)
+    again.coalesce(1).write.option("header", True).csv(f"{base}/zz_again_xgb.csv")
+    _panel_rows(spark, folder).select("date", "city").coalesce(1).write.option("header", True).csv(f"{base}/other_xgb.csv")
+    done = ingest(spark, base)
+    left = done.rejects.agg(F.countDistinct("file").alias("files_left_out"))
+    total = done.panel.agg(F.sum("admissions").cast("bigint").alias("admissions"))
+    rows = [fixed_row(x).alias(n) for x, n in ((done.profile.drop("n_cities"), "p"), (total, "t"), (done.duplicates, "d"), (left, "l"))]
+    return spark.range(1).select(*rows).select("p.*", "t.*", "d.*", "l.*")
+
+
 _KINDS = """CASE hospital_id % 6 WHEN 0 THEN 'no readable data' WHEN 1 THEN 'not JSON' WHEN 2 THEN 'missing columns: aqi, rainfall' ELSE 'good' END"""
 
 
