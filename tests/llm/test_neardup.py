@@ -129,3 +129,24 @@ def test_one_row_of_each_group_stays_whatever_the_ids(frame):
         left = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
         first = [x for x in left if x[1].startswith(a)]
         assert len(first) == 1 and sorted([x for x in left if x not in first], key=str) == sorted([(5, b), (3, c), (7, "other text of id seven"), (None, ""), (None, "")], key=str)
+
+
+def test_bitmaps_bound_what_two_sets_share(spark):
+    """No pair at the threshold is left out, most others are."""
+    from wardcast.llm import neardup
+    from wardcast.llm.text import shingle_set
+
+    r, rows = random.Random(6), []
+    for k in range(40):
+        text = words(9000 + k % 4, 100 + 20 * (k % 4))
+        for i in r.sample(range(len(text)), k // 4):
+            text[i] = f"other{k}x{i}"
+        rows.append((k, " ".join(text).encode()))
+    texts = spark.createDataFrame(rows, "node bigint, text binary")
+    sets = {k: set(shingle_set(t, 3).tolist()) for k, t in rows}
+    bits = neardup._bitmaps(texts, 3).collect()
+    sizes = spark.createDataFrame([(r["node"], len(sets[r["node"]]), r["bits"]) for r in bits], "node bigint, n bigint, bits array<bigint>")
+    pairs = sizes.crossJoin(sizes.toDF("center", "center_n", "center_bits")).where(neardup._bits_allow(0.85)).select("node", "center").collect()
+    passed = {(r["node"], r["center"]) for r in pairs}
+    linked = {(a, b) for a in sets for b in sets if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert linked <= passed and len(passed) < len(linked) + 0.2 * len(sets) ** 2 < len(sets) ** 2

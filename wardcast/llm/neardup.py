@@ -7,7 +7,7 @@
    these links close most buckets.
 3. Buckets that still hold several components go to an exact way: the nodes in them are joined on the rare shingles of
    which linked sets must share one (prefix filter), again star by star, until no bucket has two components
-   with pairs not yet compared.
+   with pairs not yet compared. Sizes, places in the order and a bitmap of each set bound what two sets can share; only pairs that pass go on.
 
 No step emits all pairs of a bucket while components can still merge, and none brings a bucket into one task.
 """
@@ -37,6 +37,8 @@ COUNTERS = 1 << 20
 CENTERS = 16
 #: Shingles before a prefix shingle that its row carries, so that most pairs are met once.
 BEFORE = 8
+#: 64-bit words of the bitmap of a set that rows of open buckets carry.
+BITMAP = 8
 
 
 @cache
@@ -207,6 +209,29 @@ def _first_stars(members: DataFrame, least: float) -> DataFrame:
     return _pairs(members.join(centers, "bucket").where(F.col("node") != F.col("center")).where(_sizes_allow(least)))
 
 
+def _bitmaps(texts: DataFrame, size: int) -> DataFrame:
+    """node and bits: which of 64 * ``BITMAP`` places the shingles of its set fall on."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(1):
+                flags = np.zeros(64 * BITMAP, np.uint8)
+                flags[(mix(shingle_set(text.as_py(), size)) % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
+                out.append(np.packbits(flags).view(">i8").astype(np.int64).tolist())
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "bits"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, bits array<bigint>")
+
+
+def _bits_allow(least: float):
+    """Whether two sets can share enough by their bitmaps: a place that only one of them has stands for a shingle that the other lacks."""
+    def lacks(a: str, b: str):
+        return sum((F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))) for i in range(1, BITMAP)), F.bit_count(F.col(a)[0].bitwiseAND(F.bitwise_not(F.col(b)[0]))))
+
+    most = F.least(F.col("n") - lacks("bits", "center_bits"), F.col("center_n") - lacks("center_bits", "bits"))
+    return most >= (F.col("n") + F.col("center_n")) * (least / (1 + least)) - 1e-6
+
+
 def _stars(members: DataFrame, least: float, centers_each: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of each bucket's nodes with ``centers_each`` nodes of its smallest components, and what is left without these.
 
@@ -217,11 +242,11 @@ def _stars(members: DataFrame, least: float, centers_each: int) -> tuple[DataFra
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "node"))
     centers = members.join(sizes, ["bucket", "label"]).withColumn("rank", rank).where(F.col("rank") <= centers_each)  # limited before the shuffle
     centers = via_table(centers.select(
-        "bucket", F.col("node").alias("center"), F.col("label").alias("center_label"), F.col("n").alias("center_n"), F.col("place").alias("center_place"), F.col("before").alias("center_before")), "centers")
+        "bucket", F.col("node").alias("center"), F.col("label").alias("center_label"), F.col("n").alias("center_n"), F.col("place").alias("center_place"), F.col("before").alias("center_before"), F.col("bits").alias("center_bits")), "centers")
     enough = F.least(F.col("n") - F.col("place"), F.col("center_n") - F.col("center_place")) >= (F.col("n") + F.col("center_n")) * (least / (1 + least)) - 1e-6
     # Two sets that also share one of the shingles just before this one in their orders meet in that one's bucket.
     earlier = F.arrays_overlap("before", "center_before")
-    pairs = _pairs(members.join(centers, "bucket").where("label != center_label").where(_sizes_allow(least)).where(enough & ~earlier))
+    pairs = _pairs(members.join(centers, "bucket").where("label != center_label").where(_sizes_allow(least)).where(enough & _bits_allow(least) & ~earlier))
     left = members.join(centers.select("bucket", F.col("center").alias("node")), ["bucket", "node"], "left_anti")
     return pairs, _still_open(left.select(*members.columns))
 
@@ -312,12 +337,14 @@ def _exact_rest(texts: DataFrame, labels: DataFrame, size: int, percent: int) ->
     log2(n / CENTERS) rounds.
     """
     least, centers = percent / 100, CENTERS
-    members = via_table(_labelled(_in_reach(_shared(_prefixes(texts, size, percent)), least), labels), "open")
+    members = via_table(_labelled(_in_reach(_shared(_prefixes(texts, size, percent)), least), labels).join(_bitmaps(texts, size), "node"), "open")
     links = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
     while not members.isEmpty():
         pairs, left = _stars(members, least, centers)
         links = links.unionByName(via_table(_verified(pairs, texts, size, percent), "links"))
-        members = via_table(left, "open")
+        left = via_table(left, "open")
+        drop_table(members)
+        members = left
         centers *= 2
     return via_table(components(links), "labels")
 
