@@ -90,12 +90,12 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
 
 
-def via_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder; later reads can prune columns and partitions."""
+def via_table(df: DataFrame, name: str, partition_by: Sequence[str] = (), codec: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder; later reads can prune columns and partitions. ``codec`` is the session's unless given."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     with freed_shuffles(spark):
-        df.write.partitionBy(*partition_by).parquet(path)
+        df.write.partitionBy(*partition_by).parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     out.stored_at = path
     return out
