@@ -44,3 +44,14 @@ def test_pipeline_stages_keep_the_columns_and_pack_what_is_left(spark, folder):
     assert ids[0] >= ids[1] > ids[2] == ids[3] > ids[4] == ids[5]
     toxic = {r["doc_id"] for r in spark.read.parquet(f"{folder}/labels.parquet").where("toxic = 0").collect()}
     assert len(toxic - ids[1]) <= 0.05 * len(toxic)
+
+
+def test_stages_on_awkward_and_empty_tables(spark, awkward, empty, folder):
+    sizes = []
+    for docs in (awkward, empty):
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, folder)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert docs.dtypes == awkward.dtypes, name
+        sizes.append(docs.count())
+    assert sizes[0] > 0 and not sizes[1]
