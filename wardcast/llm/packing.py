@@ -24,6 +24,8 @@ from wardcast.session import via_table
 CAPACITY = 2048
 #: Branches of the search at most.
 NODES = 4000
+#: Fillings tried before the enumeration; steps of all enumerations at most, and what one test of dominance counts.
+WIDTH, STEPS, DOMINANCE = 3, 2_000_000, 50
 TOKENIZER = "byte_bpe_50k.json"
 #: The same vocabulary as ranks, for the faster encoder; None always takes ``tokenizers``.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -165,11 +167,37 @@ def dominated(filling: Filling, waste: int, counts: np.ndarray, room: int) -> bo
     return bool(several & out) or any((sums << k) & out for k in range(1, waste + 1))
 
 
-def completions(counts: np.ndarray, room: int, most: int) -> Iterator[Filling]:
+def greedy(counts: np.ndarray, room: int, width: int = WIDTH) -> list[Filling]:
+    """Up to ``width`` fillings of ``room``, least waste first: for each first length the longest items that still fit. They are tried before all others."""
+    found: dict[Filling, int] = {}
+    sizes = np.flatnonzero(counts[:room + 1])[::-1]
+    least = room + 1
+    for first in sizes[:64 * width].tolist():
+        left, took = room - first, Counter({first: 1})
+        for size in sizes[np.searchsorted(-sizes, -min(first, left)):].tolist() if left else ():
+            if size > left:
+                continue
+            n = min(left // size, int(counts[size]) - took[size])
+            if n > 0:
+                took[size] += n
+                left -= n * size
+            if not left:
+                break
+        if left < least or (left == least and len(found) < width):
+            least = min(least, left)
+            found[tuple(sorted(took.elements(), reverse=True))] = left
+        if not least and len(found) >= width:
+            break
+    return sorted(found, key=lambda f: (found[f], len(f)))[:width]
+
+
+def completions(counts: np.ndarray, room: int, most: int, budget: list[int] | None = None) -> Iterator[Filling]:
     """All undominated fillings of ``room`` from the items at hand that waste at most ``most``, least waste first, then longest items first.
 
-    For each waste the fillings of that sum are enumerated in depth; sums that the shorter items cannot make are not entered.
+    For each waste the fillings of that sum are enumerated in depth; sums that the shorter items cannot make are not entered. ``budget`` holds the
+    steps that may still be taken; at 0 the enumeration ends.
     """
+    budget = [1 << 60] if budget is None else budget
     sizes = np.flatnonzero(counts[:room + 1])[::-1].tolist()
     mask = (1 << (room + 1)) - 1
     reach = [1]  # sums of the items from the i-th size on, from the back
@@ -182,8 +210,12 @@ def completions(counts: np.ndarray, room: int, most: int) -> Iterator[Filling]:
         # place among the sizes, sum to make, items so far; the most items of the longest size come first
         stack: list[tuple[int, int, Filling]] = [(0, room - waste, ())]
         while stack:
+            budget[0] -= 1
+            if budget[0] < 0:
+                return
             i, left, took = stack.pop()
             if not left:
+                budget[0] -= DOMINANCE
                 if not dominated(took, waste, counts, room):
                     yield took
                 continue
@@ -193,17 +225,25 @@ def completions(counts: np.ndarray, room: int, most: int) -> Iterator[Filling]:
                     stack.append((i + 1, left - n * size, took + (size,) * n))
 
 
+def _branches(counts: np.ndarray, room: int, most: int, budget: list[int]) -> Iterator[Filling]:
+    first = [f for f in greedy(counts, room) or [()] if room - sum(f) <= most and not dominated(f, room - sum(f), counts, room)]
+    yield from first
+    yield from (f for f in completions(counts, room, most, budget) if f not in first)
+
+
 def bin_completion(counts: np.ndarray, capacity: int, nodes: int = NODES) -> Plan:
     """Branch and bound over fillings around the longest item left.
 
     Best-fit decreasing is the first incumbent. A branch takes one completion of the longest item for as many bins as the counts
     allow; its completions are all undominated ones whose waste a better packing may still have, made as the search comes to them. It is cut when the bins so
-    far plus the bound for the rest reach the incumbent. The search ends at the lower bound, when all is tried, or after ``nodes`` branches.
+    far plus the bound for the rest reach the incumbent. The search ends at the lower bound, when all is tried, or after ``nodes`` branches or ``STEPS`` steps
+    of the enumeration.
     """
     counts = np.asarray(counts, np.int64)
     best = best_fit(counts, capacity)
     bins, floor = sum(n for _, n in best), lower_bound(counts, capacity)
     total = int((counts * np.arange(len(counts))).sum())
+    budget = [STEPS]
     stack: list[list] = [[counts, [], 0, total, None]]  # items left, plan, bins, their total, completions to come
     while stack and bins > floor and nodes:
         left, plan, used, mass, more = stack[-1]
@@ -220,7 +260,7 @@ def bin_completion(counts: np.ndarray, capacity: int, nodes: int = NODES) -> Pla
             rest = left.copy()
             rest[longest] -= 1
             most = (bins - 1 - used) * capacity - mass
-            more = stack[-1][4] = ((longest, *c) for c in completions(rest, capacity - longest, most))
+            more = stack[-1][4] = ((longest, *c) for c in _branches(rest, capacity - longest, most, budget))
         filling = next(more, None)
         waste = (bins - 1 - used) * capacity - mass  # less than when the completions were begun, if the incumbent is better now
         if filling is None or capacity - sum(filling) > waste:
