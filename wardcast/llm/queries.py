@@ -107,7 +107,52 @@ def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-@query("op11_conversation_repair")
+def _edit(best: str, cost: str, letters: str) -> str:
+    """SQL of a repair (six digits of cost, then letters) with more edits; null where there is none."""
+    return f"lpad(CAST(CAST(substr({best}, 1, 6) AS BIGINT) + {cost} AS VARCHAR), 6, '0') || substr({best}, 7) || '{letters}'"
+
+
+def _when(condition: str, *edits: str) -> list[str]:
+    return [f"CASE WHEN {condition} THEN {e} END" for e in edits]
+
+
+#: Per turn, the least (cost, letters) that ends in each state: none, system, user, assistant. At most one insert before a kept or changed turn can help.
+_NONE = _edit("b0", "3", "D")
+_SYSTEM = ", ".join([_edit("b1", "3", "D"), *_when("stays AND ini = 's'", _edit("b0", "t", "K"))])
+_USER = ", ".join([
+    _edit("b2", "3", "D"), *_when("stays AND ini = 'u'", *(_edit(b, "t", "K") for b in ("b0", "b1", "b3")), _edit("b2", "2 + t", "IK")),
+    *_when("stays", *(_edit(b, "2 + t", "R") for b in ("b0", "b1", "b3")), _edit("b2", "4 + t", "IR"))])
+_ASSISTANT = ", ".join([
+    _edit("b3", "3", "D"), *_when("stays AND ini = 'a'", _edit("b2", "t", "K"), *(_edit(b, "2 + t", "IK") for b in ("b0", "b1", "b3"))),
+    *_when("stays", _edit("b2", "2 + t", "R"), *(_edit(b, "4 + t", "IR") for b in ("b0", "b1", "b3")))])
+
+
+@query("op11_conversation_repair", rf"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS kind FROM raw),
+dam AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM kinds),
+ord AS (SELECT *, substr(role, 1, 1) AS ini, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy) AS p,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM dam),
+fault AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+  WHEN right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault, lag(ini) OVER (PARTITION BY conv_id ORDER BY p) || ini AS pair FROM ord),
+turns AS (SELECT *, fault IN ('none', 'truncated') AS stays, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS t FROM fault),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+step AS (SELECT conv_id, 0::BIGINT AS i, '000000' AS b0, CAST(NULL AS VARCHAR) AS b1, CAST(NULL AS VARCHAR) AS b2, CAST(NULL AS VARCHAR) AS b3 FROM ids UNION ALL
+  SELECT step.conv_id, i + 1, {_NONE}, least({_SYSTEM}), least({_USER}), least({_ASSISTANT}) FROM step JOIN turns ON turns.conv_id IS NOT DISTINCT FROM step.conv_id AND turns.p = step.i + 1),
+best AS (SELECT conv_id, least(arg_max(b0, i), arg_max(b3, i), {_edit("arg_max(b2, i)", "2", "I")}, {_edit("arg_max(b1, i)", "4", "II")}) AS b FROM
+  (SELECT step.conv_id, i, coalesce(b0, '999999') AS b0, coalesce(b1, '999990') AS b1, coalesce(b2, '999990') AS b2, coalesce(b3, '999999') AS b3 FROM step) GROUP BY conv_id),
+spelled AS (SELECT conv_id, substr(b, 7) AS audit, CAST(substr(b, 1, 6) AS BIGINT) AS cost FROM best),
+letter AS (SELECT conv_id, pos, audit[pos] AS l FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS pos FROM spelled)),
+placed AS (SELECT *, sum(CASE WHEN l <> 'I' THEN 1 ELSE 0 END) OVER w AS src, sum(CASE WHEN l <> 'D' THEN 1 ELSE 0 END) OVER w AS e FROM letter WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+line AS (SELECT placed.*, ini, role, text, max(CASE WHEN e = 1 AND l = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY placed.conv_id) AS sys
+  FROM placed LEFT JOIN turns ON l <> 'I' AND turns.conv_id IS NOT DISTINCT FROM placed.conv_id AND turns.p = src),
+told AS (SELECT conv_id, sha256(string_agg(CASE WHEN l = 'K' THEN role WHEN (e - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN l = 'I' THEN '' ELSE text END, chr(10) ORDER BY pos)) AS sha FROM line WHERE l <> 'D' GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit,
+  coalesce(sha, sha256('')) AS repaired_sha256 FROM ids JOIN spelled ON spelled.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM ids.conv_id""")
 def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     conversations = table(spark, folder, "conversations")
     return structure.repaired(conversations, structure.damaged(conversations))
