@@ -34,6 +34,22 @@ def test_plain_city_files_and_a_bad_one(spark, folder, tmp_path):
         R.scan_entity_csv(spark, str(tmp_path), "Nowhere")
 
 
+def test_a_large_file_with_another_header_is_left_out_whole(spark, folder, tmp_path):
+    """Its later blocks have as many columns of the same kinds; only its start tells that they are others."""
+    one_city = lagged_panel(spark, folder).where("city = 'ASIA'").select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PANEL])
+    local = one_city.toPandas()
+    local.to_csv(tmp_path / "asia_xgb.csv", index=False)
+    local.rename(columns={"aqi": "temp", "temp": "aqi"}).to_csv(tmp_path / "other_xgb.csv", index=False)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert R.scan_all_entities(spark, str(tmp_path)).groupBy("city").count().collect() == [("Asia", len(local))]
+        rejects = [(r["file"].rpartition("/")[2], r["reason"], r["rows"]) for r in R.scan_rejects(spark, str(tmp_path)).collect()]
+        assert rejects == [("other_xgb.csv", "no row in the expected layout", None)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_one_folder_per_city(spark, folder):
     base = _panel_files(spark, folder)
     picked = R.scan_all_entities(spark, base, cities=["Asia", "europe"])

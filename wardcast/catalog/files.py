@@ -34,6 +34,10 @@ def as_of():
     return F.to_timestamp(F.lit(AS_OF))
 
 
+#: A city's file, of one part or of many.
+_CITY_FILE = "regexp_extract(file, '([^/=]+_xgb[.]csv)', 1)"
+
+
 def _panel_files(spark, folder):
     base = scratch_path(spark, "csv")
     cells = [F.col(f.name).cast(f.dataType).alias(f.name) for f in PANEL]
@@ -117,9 +121,9 @@ def rejects(spark, folder):
     base = _panel_files(spark, folder)
     asia = lagged_panel(spark, folder).where("city = 'ASIA' and k % 2 = 0").select(
         *[(F.lit("someday") if f.name == "date" else F.col(f.name).cast(f.dataType)).alias(f.name) for f in PANEL])
-    asia.coalesce(1).write.option("header", True).csv(f"{base}/broken_xgb.csv")
-    _panel_rows(spark, folder).select("date", "city").coalesce(1).write.option("header", True).csv(f"{base}/other_xgb.csv")
-    found = scan_rejects(spark, base).groupBy("reason").agg(F.countDistinct("file").alias("files"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+    asia.write.option("header", True).csv(f"{base}/broken_xgb.csv")
+    _panel_rows(spark, folder).select("date", "city").write.option("header", True).csv(f"{base}/other_xgb.csv")
+    found = scan_rejects(spark, base).groupBy("reason").agg(F.countDistinct(F.expr(_CITY_FILE)).alias("files"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
     return found.withColumn("loaded", F.lit(scan_all_entities(spark, base).count()))
 
 
@@ -132,10 +136,10 @@ def ingested(spark, folder):
 
     base = _panel_files(spark, folder)
     again = _panel_rows(spark, folder).where("city = 'ASIA'").withColumn("admissions", F.col("admissions") + 1000)
-    again.coalesce(1).write.option("header", True).csv(f"{base}/zz_again_xgb.csv")
-    _panel_rows(spark, folder).select("date", "city").coalesce(1).write.option("header", True).csv(f"{base}/other_xgb.csv")
+    again.write.option("header", True).csv(f"{base}/zz_again_xgb.csv")
+    _panel_rows(spark, folder).select("date", "city").write.option("header", True).csv(f"{base}/other_xgb.csv")
     done = ingest(spark, base)
-    left = done.rejects.agg(F.countDistinct("file").alias("files_left_out"))
+    left = done.rejects.agg(F.countDistinct(F.expr(_CITY_FILE)).alias("files_left_out"))
     total = done.panel.agg(F.sum("admissions").cast("bigint").alias("admissions"))
     rows = [fixed_row(x).alias(n) for x, n in ((done.profile.drop("n_cities"), "p"), (total, "t"), (done.duplicates, "d"), (left, "l"))]
     return spark.range(1).select(*rows).select("p.*", "t.*", "d.*", "l.*")
