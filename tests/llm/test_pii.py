@@ -85,6 +85,15 @@ def test_terms_that_reveal_an_entity_equal_brute_force(frame):
     assert "remove" not in expected["only in copies: Xanadu a@b.cc"]
 
 
+def test_terms_far_from_the_mention_count_and_are_marked(frame):
+    texts = [f"Write to bob@x.org {w} " + "lorem " * 300 + "Zebulon, 😀 Zebulon" for w in ("now", "soon", "never")] + ["lorem " * 3000]
+    rows = pii.personal_data(frame([(i, t, "en", "s", 0, "n", "s", 1, "l", "x", "f") for i, t in enumerate(texts)])).collect()
+    for r in [r for r in rows if r["doc_id"] < 3]:
+        own = [tuple(s) for s in r["spans"] if s["value"] in ("zebulon", "lorem")]
+        places = [m.span() for m in re.finditer("Zebulon", texts[r["doc_id"]])]
+        assert own == [(s, 4, e, "remove", "zebulon") for s, e in places]
+
+
 def test_sanitised_text_and_odd_tables(spark, frame, awkward, empty):
     docs = frame([(1, t, "en", "s", 0, "n", "s", 1, "l", "x", "f") for t in TEXTS])
     text = "Write to a@b.cc or 10.0.0.1 now"

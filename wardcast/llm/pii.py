@@ -1,13 +1,15 @@
 """Personal data: patterns for what is always protected, and information-theoretic sanitisation of the terms beside it. Built-in functions only.
 
 1. ``with_base`` finds e-mail addresses, IP addresses, card numbers and phone numbers. Their values are the protected entities.
-2. A term is a word of at least three letters, A-Z and other letters in lower case. It co-occurs with an entity where it stands within
-   ``CONTEXT`` characters of one of its mentions, so a mention gives a bounded number of pairs, however long the text.
-3. With n(e) mentions of an entity, n(t) occurrences of a term, n(e,t) mentions that have the term beside them, and N words in all, the entity's
+2. A term is a word of at least three letters, A-Z and other letters in lower case. It co-occurs with an entity where it stands in a text that
+   mentions it, however far away.
+3. With n(e) mentions of an entity, n(t) occurrences of a term, n(e,t) of them in texts that mention the entity, and N words in all, the entity's
    information content is log2(N / n(e)) and what the term tells of it PMI = log2(N n(e,t) / (n(e) n(t))). The difference, -log2 of the
-   share of the term's occurrences that stand by the entity, is what stays unknown of the entity to one who reads the term.
-4. Terms that leave at most ``REMOVE`` bits unknown are removed where they stand beside the entity; up to ``GENERALISE`` bits they are
-   generalised. Only terms seen beside the entity in ``LEAST_CONTEXTS`` different contexts count: a copied text is one context.
+   share of the term's occurrences in texts with the entity, is what stays unknown of the entity to one who reads the term.
+4. Terms that leave at most ``REMOVE`` bits unknown are removed wherever they stand in a text with the entity; up to ``GENERALISE`` bits they are
+   generalised. Only terms seen with the entity in ``LEAST_CONTEXTS`` texts with different contexts count: a context is the text within ``CONTEXT`` characters
+   of a mention, so copies and near copies are one. Entities without so many contexts, and terms of which too few occurrences lie in texts with any such
+   entity, cannot count and leave before pairs are made; pairs of a text are its other entities times its other terms.
 
 Nulls: a null text is empty; a null id is kept. Repeated rows each get the same spans. A row without personal data has empty spans.
 """
@@ -17,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardcast.session import via_table
@@ -122,21 +125,30 @@ def _contexts(context: int) -> Column:
 
 
 def found(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
-    """doc_id, base spans, contexts and a key of the text for rows with personal data; stored in the shared folder, without the texts."""
+    """doc_id, base spans, and for rows with personal data contexts, a key of the text and the text; stored in the shared folder."""
     rows = with_base(docs, ["doc_id"]).select(
-        "doc_id", "base", F.when(F.size("base") > 0, _contexts(context)).alias("contexts"), F.when(F.size("base") > 0, F.sha2(F.col("text").cast("binary"), 256)).alias("key"))
+        "doc_id", "base", F.when(F.size("base") > 0, _contexts(context)).alias("contexts"), F.when(F.size("base") > 0, F.sha2(F.col("text").cast("binary"), 256)).alias("key"),
+        F.when(F.size("base") > 0, F.col("text")).alias("text"))
     return via_table(rows, "personal")
 
 
-def _terms(rows: DataFrame) -> DataFrame:
-    """key, entity, context (hash) and term with its span, for each different text."""
-    # One row per different text first; copies are counted, not repeated.
-    texts = rows.where("key is not null").groupBy("key").agg(F.first("contexts").alias("contexts"), F.count("*").alias("copies"))
-    sides = texts.select("key", "copies", F.posexplode("contexts").alias("mention", "c")).select(
-        "key", "copies", "mention", "c.entity", F.xxhash64("c.sides.words").alias("context"), F.explode("c.sides").alias("side"))
-    words = sides.select("key", "copies", "mention", "entity", "context", "side.from", F.col("side.words").alias("text"))
-    spans = words.select("key", "copies", "mention", "entity", "context", "from", F.explode(matches("text", LETTERS, "term", 0)).alias("s"))
-    return spans.select("key", "copies", "mention", "entity", "context", F.lower("s.value").alias("term"), (F.col("from") + F.col("s.start")).alias("start"), (F.col("from") + F.col("s.end")).alias("end"))
+def _texts(rows: DataFrame) -> DataFrame:
+    """One row per different text with personal data; copies are counted, not repeated."""
+    return rows.where("key is not null").groupBy("key").agg(F.first("text").alias("text"), F.first("contexts").alias("contexts"), F.count("*").alias("copies"))
+
+
+def _marked(texts: DataFrame) -> DataFrame:
+    """key, entity and context (hash; one of the mentions') of each entity of each text."""
+    mentions = texts.select("key", F.explode("contexts").alias("c")).select("key", "c.entity", F.xxhash64("c.sides.words").alias("context"))
+    return mentions.groupBy("key", "entity").agg(F.min("context").alias("context"))
+
+
+def _terms(texts: DataFrame) -> DataFrame:
+    """key and term with its span, for every occurrence; places are running sums, so a long text costs no more per word than a short one."""
+    found = F.regexp_extract_all(F.col("text"), F.lit(LETTERS), F.lit(0))
+    pairs = texts.select("key", F.posexplode(F.arrays_zip(F.split(F.col("text"), LETTERS, -1).alias("gap"), found.alias("value"))).alias("i", "x")).where("x.value is not null")
+    end = F.sum(F.length("x.gap") + F.length("x.value")).over(W.partitionBy("key").orderBy("i")).cast("int")
+    return pairs.select("key", F.lower("x.value").alias("term"), end.alias("end"), F.length("x.value").alias("size")).select("key", "term", (F.col("end") - F.col("size")).alias("start"), "end")
 
 
 def disclosures(docs: DataFrame, rows: DataFrame, generalise: float = GENERALISE, least: int = LEAST_CONTEXTS) -> DataFrame:
@@ -144,18 +156,22 @@ def disclosures(docs: DataFrame, rows: DataFrame, generalise: float = GENERALISE
 
     Counts are over all documents, copies included; different contexts are counted once. Empty tables give an empty result.
     """
-    terms = _terms(rows)
-    # a mention counts a term once
-    mentions = terms.groupBy("key", "mention", "entity", "term").agg(F.first("context").alias("context"), F.first("copies").alias("copies"))
-    # by context first, so that a hot pair is spread and counted without a list of contexts
-    pairs = mentions.groupBy("entity", "term", "context").agg(F.sum("copies").alias("n")).groupBy("entity", "term").agg(
+    texts = _texts(rows)
+    marked = _marked(texts)
+    # by context first, here and below, so that a hot entity or pair is spread and counted without a list of contexts
+    often = marked.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= least)
+    marked = via_table(marked.join(often, "entity", "left_semi").select("key", "entity", "context"), "marked")
+    words = docs.select(F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(LETTERS), F.lit(0))).alias("word")).groupBy(F.lower("word").alias("term")).agg(F.count("*").alias("n_term"))
+    own = texts.join(marked.select("key").distinct(), "key", "left_semi").select("key", "copies", F.explode(F.regexp_extract_all(F.col("text"), F.lit(LETTERS), F.lit(0))).alias("word"))
+    own = via_table(own.groupBy("key", F.lower("word").alias("term")).agg((F.count("*") * F.first("copies")).alias("n")), "terms")
+    # a term with one entity has at most as many occurrences as with any
+    near = own.groupBy("term").agg(F.sum("n").alias("n_near")).join(words, "term").where(F.col("n_near") >= F.col("n_term") * F.lit(0.999 * 2.0**-generalise)).select("term", "n_term")
+    pairs = own.join(near, "term").join(marked, "key").groupBy("entity", "term", "n_term", "context").agg(F.sum("n").alias("n")).groupBy("entity", "term", "n_term").agg(
         F.sum("n").alias("n_both"), F.count("*").alias("contexts")).where(F.col("contexts") >= least)
     entities = rows.where("key is not null").select(F.explode("contexts.entity").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = docs.select(F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(LETTERS), F.lit(0))).alias("word")).groupBy(F.lower("word").alias("term")).agg(F.count("*").alias("n_term"))
     total = words.agg(F.sum("n_term").alias("n"))
-    both = pairs.join(words, "term").join(entities, "entity").withColumn("total", total.scalar())
-    # a word between two mentions of one entity stands by both
-    share = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
+    both = pairs.join(entities, "entity").withColumn("total", total.scalar())
+    share = F.col("n_both") / F.col("n_term")
     information = F.log2(F.col("total") / F.col("n_entity"))
     out = both.withColumns({"unknown": F.abs(F.log2(share)), "information": information}).withColumn("pmi", F.col("information") - F.col("unknown"))
     return out.where(F.col("unknown") <= generalise).select("entity", "term", "n_entity", "n_term", "n_both", "contexts", "information", "pmi", "unknown")
@@ -169,8 +185,9 @@ def personal_data(docs: DataFrame, remove: float = REMOVE, generalise: float = G
     """
     rows = found(docs, context)
     revealing = via_table(disclosures(docs, rows, generalise, least), "disclosures")
-    spans = _terms(rows).join(revealing.select("entity", "term", "unknown"), ["entity", "term"])
-    spans = spans.groupBy("key", "start", "end", "term").agg(F.min("unknown").alias("unknown"))
+    texts = _texts(rows)
+    wanted = via_table(_marked(texts).join(revealing.select("entity", "term", "unknown"), "entity").groupBy("key", "term").agg(F.min("unknown").alias("unknown")), "wanted")
+    spans = _terms(texts.join(wanted.select("key").distinct(), "key", "left_semi")).join(wanted, ["key", "term"])
     kind = F.when(F.col("unknown") <= remove, "remove").otherwise("general")
     rank = F.when(F.col("unknown") <= remove, len(KINDS)).otherwise(len(KINDS) + 1)
     added = spans.groupBy("key").agg(F.collect_list(F.struct("start", rank.cast("int").alias("rank"), "end", kind.alias("kind"), F.col("term").alias("value"))).alias("added"))
