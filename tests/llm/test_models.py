@@ -142,6 +142,26 @@ def test_spelling_probabilities_add_up():
     assert lengths.tolist() == [3, 4, 2, 3]
 
 
+def test_spelling_contexts_are_the_same_rule_in_every_corpus(spark, monkeypatch):
+    """The most frequent contexts have restaurants; adding words with new, rarer ones takes no byte from the others."""
+    monkeypatch.setattr(lm, "CONTEXTS", 40)
+    common = [(b"banana" + bytes([97 + i]), 1) for i in range(20)]
+    rare = [(w.encode() * 2, 1) for w in sorted(set(words(4, 10)))]
+    kept = lm._contexts(spark.createDataFrame(common + rare, "word binary, n bigint"))
+    assert len(kept) == 40
+    held = {(int(c) >> 32, int(c) & (2**32 - 1)) for c in kept}
+    assert all(k == 1 or (k - 1, c & ((1 << 8 * (k - 1)) - 1)) in held for k, c in held)
+    assert (4, int.from_bytes(b"anan", "big")) in held  # where all contexts lost a byte at once, none of four was left
+    codes, where, _ = lm.spelled([b"banana", b"zzz"])
+    short = lm.shortened(codes, kept)
+    assert all((lm.ORDER - (int(c) >> 40), int(c) >> 8 & (2**32 - 1)) in held | {(0, 0)} for c in short) and (short & 255 == codes & 255).all()
+    restaurants = lm.SpellingRestaurants()
+    for k in range(3):
+        s = restaurants.sweep(*np.unique(short[where], return_counts=True), k)
+        for context in (b"    ", b"anan", b" ban", b"zzzz"):
+            assert s.chance(np.arange(256) + (int.from_bytes(context, "big") << 8)).sum() == pytest.approx(1)
+
+
 def test_class_probabilities_add_up():
     counts = np.random.default_rng(2).poisson(0.7, (30, 30))
     counts[4] = 0
