@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from wardcast.catalog.files import _panel_files
 from wardcast.plans.tables import lagged_panel
+from wardcast.session import scratch_path
 from wardcast.sources import readers as R
 from wardcast.sources.schemas import PANEL
+from wardcast.sources.writers import sink_plan_json
 
 RECORD = {
     "date": "2023-02-14", "admissions": 31, "aqi": 88, "temp": 11.5, "humidity": 43, "rainfall": 0.5, "wind_speed": 3.0,
@@ -102,3 +104,14 @@ def test_different_requests_with_one_id_are_all_kept(spark, tmp_path):
     ids = [r["request_id"] for r in [*rows, *rejects]]
     assert len(set(ids)) == 5 and ids.count("7") == ids.count("8") == 1
     assert sorted(ids) == sorted(r["request_id"] for r in R.scan_requests(spark, str(tmp_path)).collect())
+
+
+def test_plan_files_are_compressed_and_whole(spark):
+    path = scratch_path(spark, "plans")
+    plans = spark.range(5000).select(F.struct(F.col("id").alias("requestId"), F.lit("Wear a mask outdoors " * 10).alias("advisory")).alias("plan"))
+    for _ in range(2):  # a date written again is replaced
+        sink_plan_json(plans, path, F.to_timestamp(F.lit("2025-12-05 10:30:00")))
+    back = spark.read.schema(plans.schema.add("run_date", "date")).json(path)
+    assert back.agg(F.countDistinct("plan.requestId"), F.count("*")).first()[:2] == (5000, 5000)
+    size = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("path like '%.json%'").agg(F.sum("length")).first()[0]
+    assert size < 5000 * len("Wear a mask outdoors ")

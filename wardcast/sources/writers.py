@@ -19,10 +19,13 @@ def sink_csv_by_entity(df: DataFrame, base: str, layout: str = "xgb", city: str
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").option("header", True).csv(base)
 
 
-def sink_plan_json(df: DataFrame, path: str, as_of: Column) -> None:
-    """Plans as JSON lines, one folder per run date; a date written again is replaced."""
+def sink_plan_json(df: DataFrame, path: str, as_of: Column, compression: str = "gzip") -> None:
+    """Plans as JSON lines, one folder per run date; a date written again is replaced.
+
+    Plans repeat most of their text, so files are compressed; rebalancing bounds what one of them holds, since such a file is read by one task.
+    """
     dated = df.withColumn("run_date", F.to_date(as_of)).hint("rebalance")
-    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").json(path)
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").json(path, compression=compression)
 
 
 def prediction_records(df: DataFrame, digits: int = 6) -> DataFrame:
