@@ -88,3 +88,18 @@ def test_sets_of_groups_share_one_search(spark, monkeypatch):
         expected |= {(i, r["k"] if "k" in own else None, r["m"] if "m" in own else None, r["n"], tuple(r["q"])) for r in single}
     assert {(r["set"], r["k"], r["m"], r["n"], tuple(r["q"])) for r in found} == expected and len(found) == len(expected) == 1 + 2 + 4
     assert Q.quantiles(df.limit(0), {"v": F.col("v")}, [0.5], ["k"], sets=[[], ["k"]]).isEmpty()
+
+
+def test_small_groups_take_one_shuffle_and_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = [None, float("nan"), -0.5, 3.0, *rng.normal(0, 40, 300).round(1)]
+    groups = ["gone", "gone", None, None, *[f"g{i % 37}" for i in range(300)]]
+    df = frame(spark, values, groups)
+    columns = {"v": F.col("v"), "up": F.when(F.col("v") > 0, F.col("v"))}
+    small = quantile_row(df, columns, PROBS, ["g"])
+    assert small._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr("wardcast.operators.quantiles.SMALL", 0)
+    large = quantile_row(df, columns, PROBS, ["g"])
+    assert large._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") > 1
+    assert small.schema.simpleString() == large.schema.simpleString()
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
