@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+import wardcast.operators.features as M
 from wardcast.fixed_values import FEATURES
 from wardcast.functions.calendar import periodic_mark
 from wardcast.functions.features import air_class, air_score
@@ -74,3 +75,14 @@ def test_marks_follow_the_day_number(spark):
     for n, mark in ((111 * 6653, 1.0), (37 * 19961, 0.4), (111 * 6653 + 1, 0.0)):
         day = dt.date.fromordinal(n)
         assert spark.createDataFrame([(day,)], "d date").select(periodic_mark(F.col("d"))).first()[0] == mark
+
+
+def test_filled_table_is_written_once_without_gaps_and_empty_tables_end(spark, monkeypatch):
+    names, real = [], M.via_table
+    monkeypatch.setattr(M, "via_table", lambda df, name, *rest: names.append(name) or real(df, name, *rest))
+    days = [(h, dt.date(2024, 1, d), float(d), 20.0, 50.0, 1.0, 2.0, 60.0, 0.0, 0) for h in (1, 2) for d in (1, 2, 3)]
+    df = spark.createDataFrame(days, "hospital_id int, date date, aqi double, temp double, humidity double, rainfall double, wind_speed double, mobility_index double, outbreak_index double, is_weekend int")
+    assert M.filled_matrix(df).count() == 6 and names == ["features"]
+    holed = df.withColumn("temp", F.when(F.dayofmonth("date") != 2, F.col("temp")))
+    assert M.filled_matrix(holed).where("temp = 20").count() == 6
+    assert M.filled_matrix(df.limit(0)).isEmpty() and M.filled_matrix(df.where("false")).isEmpty()
