@@ -42,6 +42,13 @@ def test_quantile_boosting_is_calibrated(spark, data):
     assert out.where("q10 > q90").count() < 30
 
 
+def test_searches_assemble_once(data, monkeypatch):
+    written, real = [], L.via_table
+    monkeypatch.setattr(L, "via_table", lambda df, name, *rest: written.append(name) or real(df, name, *rest))
+    L.search(data.where("x < 8"), data.where("x >= 8"), {"depth": [1, 2]}, 2, "y", ["x", "z"])
+    assert written == ["vectors", "vectors"]
+
+
 def test_tuning_ranks_by_validation_error(data):
     ranked = L.tune(data.where("x < 8"), data.where("x >= 8"), {"depth": [1, 3], "iterations": [2]}, "y", ["x", "z"])
     assert len(ranked) == 2 and ranked[0]["mae"] <= ranked[1]["mae"]
