@@ -129,6 +129,61 @@ def test_lm_awkward_rows(spark, awkward, empty):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 and r["score"] < 0 for r in none)
 
 
+def plain_scores(spark, texts, train):
+    """Scores of texts by id from plain counts of pairs; word and class probabilities come from their own restaurants."""
+    counts = Counter(w for d in train for w in tokens(texts[d])) + Counter()
+    names = sorted({w for t in texts.values() for w in tokens(t)}, key=lambda w: (-counts[w], w))
+    number = {w: i + 1 for i, w in enumerate(names[:lm.CLASSES - 1]) if counts[w]}
+    restaurant = lm.word_restaurant(spark.createDataFrame([(w, counts[w]) for w in names], "word binary, n bigint"))
+    chance = dict(zip(names, restaurant.chances(names, np.array([counts[w] for w in names]))))
+    rest = 1 - sum(chance[w] for w in number)
+
+    def steps(text):
+        before, frame = b"\n", number.get(b"\n", 0)
+        for w in tokens(text):
+            yield frame, before, w
+            before, frame = w, number.get(w, frame)
+
+    follow, dishes = np.zeros((len(number) + 1, len(number) + 1), int), Counter()
+    for d in train:
+        for frame, before, w in steps(texts[d]):
+            follow[frame, number.get(w, 0)] += 1
+            if before not in number or w not in number:
+                dishes[(frame, before), w] += 1
+    follow = lm.class_chances(follow)
+    one, two = (sum(n == k for n in dishes.values()) for k in (1, 2))
+    discount, out = min(0.95, max(0.05, (one + 0.5) / (one + 2 * two + 1))), {}
+    for d, text in texts.items():
+        out[d] = 0
+        for frame, before, w in steps(text):
+            base = 1 if w in number else chance[w] / rest
+            if before not in number:
+                base *= follow[frame, number.get(w, 0)]
+            if before not in number or w not in number:
+                own = [n for (place, _), n in dishes.items() if place == (frame, before)]
+                base = (max(dishes[(frame, before), w] - discount, 0) + (lm.STRENGTH + discount * len(own)) * base) / (lm.STRENGTH + sum(own))
+            out[d] += math.log10(base * (follow[frame, number.get(w, 0)] if before in number else 1))
+    return out
+
+
+@pytest.mark.parametrize("classes, chunk", [(1, 12_000_000), (4, 1500), (40, 2500)])
+def test_lm_all_words_are_contexts(spark, tmp_path, monkeypatch, classes, chunk):
+    """Scores equal those of plain counts, also where pairs lie in several chunks; a pair of rare words that was seen is likelier than the same words turned round."""
+    monkeypatch.setattr(lm, "CLASSES", classes)
+    monkeypatch.setattr(lm, "CHUNK", chunk)
+    some = words(7, 60)
+    texts = {i: " ".join(some[(i * 7 + k * (1 + i % 3)) % 60] for k in range(12)) for i in range(40)}
+    texts |= {i: f"the {w} of the {v}" for i, (w, v) in enumerate(zip(some, some[1:]), 40)}
+    texts |= {200 + k: "zebra quartz" for k in range(3)} | {300: "zebra quartz", 301: "quartz zebra", 302: "", 303: "new words the new words"}
+    train = [d for d in texts if d < 300]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string").repartition(3, "doc_id").write.parquet(path)
+    found = {r["doc_id"]: r["score"] for r in lm.scores(spark.read.parquet(path), F.col("doc_id") < 300).collect()}
+    expected = plain_scores(spark, texts, train)
+    assert found.keys() == expected.keys() and all(found[d] == pytest.approx(expected[d], rel=1e-4) for d in texts)
+    assert found[300] > found[301] + 0.5
+
+
 def test_spelling_probabilities_add_up():
     names = [b"ab", b"abc", b"b", b"ab"]
     codes, where, lengths = lm.spelled(names)
